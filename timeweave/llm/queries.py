@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import chat_format
+from timeweave.llm import chat_format, license_scan, mixing, pii, warc
+from timeweave.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,5 +60,109 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Query] = {"op9_chat_format": op9_chat_format}
-ORACLES: dict[str, str] = {"op9_chat_format": OP9_SQL}
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every whole text."""
+    got = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(
+        "doc_id",
+        F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("license_sentences", ",").alias("license_sentences"),
+        F.size("licenses").cast("long").alias("n_licenses"),
+    )
+
+
+def _op2_sql() -> str:
+    names = list(license_scan.SENTENCES)
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({q(license_scan.normal(t))}, {i})" for i, t in enumerate(license_scan.SENTENCES.values()))
+    labels = ", ".join(f"({i}, {q(n)})" for i, n in enumerate(names))
+    runs = [(lic, "," + "".join(f"{names.index(x)}," for x in run)) for lic, run in license_scan.RULES]
+    hits = []
+    for k, (lic, run) in enumerate(runs):
+        longer = "".join(f" AND NOT contains(seq, {q(o)})" for j, (_, o) in enumerate(runs) if j != k and run in o)
+        hits.append(f"SELECT doc_id, {q(lic)} AS license FROM seqs WHERE contains(seq, {q(run)}){longer}")
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}), labels(id, label) AS (VALUES {labels}),
+parts AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\r?\n([a-z])', ' \1', 'g'), '[\r\n]+|[.!?;]+(?:[ \t]+|$)') AS p
+          FROM documents WHERE regexp_matches(text, '(?i)licen|permission|copyright|redistribut')),
+each_one AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, p FROM parts),
+found AS (SELECT doc_id, i, id FROM each_one JOIN known ON trim(regexp_replace(lower(p[i]), '[^a-z0-9]+', ' ', 'g')) = sentence
+          WHERE regexp_matches(p[i], '(?i)licen|permission|copyright|redistribut')),
+seqs AS (SELECT doc_id, ',' || string_agg(CAST(f.id AS VARCHAR), ',' ORDER BY i) || ',' AS seq, string_agg(label, ',' ORDER BY i) AS names
+         FROM found f JOIN labels l ON f.id = l.id GROUP BY doc_id),
+hits AS ({" UNION ".join(hits)}),
+per AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n FROM hits GROUP BY doc_id)
+SELECT d.doc_id, coalesce(per.licenses, '') AS licenses, coalesce(seqs.names, '') AS license_sentences, CAST(coalesce(per.n, 0) AS BIGINT) AS n_licenses
+FROM documents d LEFT JOIN seqs ON d.doc_id = seqs.doc_id LEFT JOIN per ON d.doc_id = per.doc_id
+"""
+
+
+#: Target weights of the mixture; sources that are not named weigh 1.
+WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+MIX_SEED, EPOCHS = 17, 1.0
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's rows: which documents it takes, how often, and in which order."""
+    got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), WEIGHTS, 1.0, EPOCHS, MIX_SEED)
+    return got.select("doc_id", "source", F.col("mix_copies").cast("long").alias("n_copies"), F.col("mix_copy").cast("long").alias("copy"), "mix_key")
+
+
+def _op5_sql() -> str:
+    weight = "CASE " + " ".join(f"WHEN k = 's{n}' THEN {w}e0" for n, w in WEIGHTS.items()) + " ELSE 1e0 END"
+    return f"""
+WITH per AS (SELECT k, size, {weight} AS w FROM (
+    SELECT coalesce('s' || source, 'n') AS k, CAST(sum(greatest(coalesce(n_chars, 0), 0)) AS DOUBLE) AS size FROM documents GROUP BY 1) a),
+rates AS (SELECT k, w * ({EPOCHS}e0 * (SELECT sum(size) FROM per)) / ((SELECT sum(w) FROM per) * size) AS lam FROM per WHERE size > 0),
+terms AS (SELECT k, i, exp(i * ln(lam) - lam - lgamma(i + 1e0)) AS p FROM (
+    SELECT k, lam, unnest(range(0, CAST(ceil(lam + sqrt(lam) * 12 + 20) AS BIGINT) + 1)) AS i FROM rates) b),
+cdf AS (SELECT k, i, sum(p) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM terms),
+u AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident FROM documents),
+v AS (SELECT *, CAST(CAST('0x' || substr(md5('mix{MIX_SEED}:' || ident), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS x FROM u),
+n AS (SELECT v.doc_id, v.source, v.ident, count(*) AS n_copies FROM v JOIN cdf ON v.k = cdf.k AND cdf.c <= v.x GROUP BY 1, 2, 3)
+SELECT doc_id, source, CAST(n_copies AS BIGINT) AS n_copies, CAST(copy AS BIGINT) AS copy, md5('order{MIX_SEED}:' || ident || ':' || CAST(copy AS VARCHAR)) AS mix_key
+FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM n) c
+"""
+
+
+#: The key of the registered query; a real run takes its own from a secret store.
+PII_KEY = "registered-query-key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with its personal values replaced by pseudonyms of the same format."""
+    got = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, found="kinds")
+    return got.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, and its capture as the index over those archives has it."""
+    at = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), f"{at}/archives")
+    warc.build_index(warc.read_warc(spark, f"{at}/archives"), f"{at}/index")
+    return warc.index_captures(spark, f"{at}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _op10_sql() -> str:
+    letters = " || ".join(
+        f"substr('{warc.BASE32}', CAST(((CAST('0x' || substr(h, {5 * (j // 4) + 1}, 5) AS BIGINT) >> {15 - 5 * (j % 4)}) & 31) + 1 AS BIGINT), 1)" for j in range(32)
+    )
+    return f"""
+WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT h, max(page_id) AS winner FROM d GROUP BY h)
+SELECT page_id, payload_bytes, {letters} AS payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM d JOIN w USING (h)
+"""
+
+
+QUERIES: dict[str, Query] = {
+    "op2_license_scan": op2_license_scan,
+    "op5_mix_sources": op5_mix_sources,
+    "op7_pii": op7_pii,
+    "op9_chat_format": op9_chat_format,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op5_mix_sources": _op5_sql(), "op9_chat_format": OP9_SQL, "op10_warc": _op10_sql()}
