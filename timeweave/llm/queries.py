@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import chat_format, license_scan, mixing, pii, warc
+from timeweave.llm import bpe, chat_format, license_scan, mixing, pii, quality, warc
 from timeweave.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,10 +158,37 @@ FROM d JOIN w USING (h)
 """
 
 
+#: Scores from here on keep a document.
+KEEP_SCORE = 0.3
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's probability of good quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary's place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again, as digests."""
+    got = bpe.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), decoded="decoded", keep=["doc_id"])
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_warc": op10_warc,
 }
