@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import bpe, chat_format, license_scan, mixing, pii, quality, warc
+from timeweave.llm import bpe, chat_format, license_scan, mixing, ngram_join, pii, quality, warc
 from timeweave.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are similar to 85 in a hundred."""
+    return ngram_join.similarity_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every whole text."""
     got = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -184,6 +189,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality": op6_quality,
