@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import bpe, chat_format, license_scan, mixing, ngram_join, pii, quality, warc
+from timeweave.llm import ann, bpe, chat_format, hnsw, license_scan, mixing, ngram_join, pii, quality, warc
 from timeweave.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,17 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for every row whose id is divisible by 100, among all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 and their components over all vectors."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every whole text."""
     got = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -191,6 +202,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
+    "op3_ann": op3_ann,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
