@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from timeweave.plans import intervals
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+for module in (intervals,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
+
+FLAGSHIP = "d5_speaking_time"
