@@ -6,21 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from timeweave.operators import intervals as iv
-from timeweave.sources.fixtures import fixture, with_fixtures
+from timeweave.plans.base import registrar
+from timeweave.sources.fixtures import fixture
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str, *names: str):
-    """Register a function under its name with its SQL, which may use the named derived tables."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_fixtures(sql, *names) if names else sql
-        return f
-
-    return put
+QUERIES, ORACLES, query = registrar()
 
 
 def _clips(spark, d):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from timeweave.plans import intervals
+from timeweave.plans import catalog, intervals, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals,):
+for module in (intervals, text, catalog):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
