@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from timeweave.plans import catalog, intervals, text
+from timeweave.plans import catalog, intervals, series, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals, text, catalog):
+for module in (intervals, text, catalog, series):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
