@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: the pre-tokenisation of byte-level BPE; white space is the Unicode property.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 _NONE = 1 << 62
 
 
@@ -22,35 +23,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class PairTree:
-    """A tree of minima over the pairs that begin at each position of one piece.
-
-    A leaf holds rank * 2**31 + position, so the root is the leftmost pair of lowest rank. A merge changes at most
-    three leaves, each in logarithmic time.
-    """
-
-    __slots__ = ("node", "half")
-
-    def __init__(self, leaves: list[int]):
-        self.half = half = 1 << max(len(leaves) - 1, 0).bit_length()
-        self.node = node = [_NONE] * half + leaves + [_NONE] * (half - len(leaves))
-        for i in range(half - 1, 0, -1):
-            a, b = node[2 * i], node[2 * i + 1]
-            node[i] = a if a < b else b
-
-    def put(self, at: int, leaf: int) -> None:
-        node, i = self.node, self.half + at
-        node[i] = leaf
-        i >>= 1
-        while i:
-            a, b = node[2 * i], node[2 * i + 1]
-            low = a if a < b else b
-            if node[i] == low:
-                break
-            node[i] = low
-            i >>= 1
-
-
 class Tokenizer(dict):
     """Encodes pieces; as a dict it maps a piece to its packed ids, filled on demand and emptied when full."""
 
@@ -67,10 +39,11 @@ class Tokenizer(dict):
             self.bytes_of[i] = raw = bytes(letters[c] for c in token)
             if len(raw) == 1:
                 self.of_byte[raw[0]] = i
-        self.merges = {}
+        self.merges, self.into = {}, {}
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank << 31, vocab[a + b])
+            self.merges[vocab[a] << 17 | vocab[b]] = rank << 31
+            self.into[rank << 31] = vocab[a + b]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
@@ -79,38 +52,64 @@ class Tokenizer(dict):
         self.pieces = regex.compile(PRETOKENS).findall
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one piece."""
-        ids = [self.of_byte[b] for b in data]
-        n, pairs = len(ids), self.merges
+        """Ids of one piece.
+
+        A tree of minima stands over the pairs that begin at each position; a leaf holds rank * 2**31 + position, so
+        the root is the leftmost pair of lowest rank. A merge changes three leaves at most, each in logarithmic time.
+        """
+        ids = list(map(self.of_byte.__getitem__, data))
+        n, rank = len(ids), self.merges.get
         if n < 2:
             return ids
-        leaves = []
+        half = 1 << (n - 2).bit_length()
+        node = [_NONE] * (2 * half)
         for i in range(n - 1):
-            hit = pairs.get((ids[i], ids[i + 1]))
-            leaves.append(hit[0] + i if hit else _NONE)
-        tree = PairTree(leaves)
+            hit = rank(ids[i] << 17 | ids[i + 1])
+            if hit is not None:
+                node[half + i] = hit + i
+        for i in range(half - 1, 0, -1):
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (low := tree.node[1]) != _NONE:
+        into, left = self.into, n
+        while (low := node[1]) != _NONE:
             i = low & 0x7FFFFFFF
             j = after[i]
-            ids[i] = pairs[ids[i], ids[j]][1]
+            new = ids[i] = into[low - i]
             ids[j] = -1
+            left -= 1
             k = after[i] = after[j]
+            changed = []
             if j < n - 1:
-                tree.put(j, _NONE)
+                changed.append((half + j, _NONE))
             if k < n:
                 before[k] = i
-                hit = pairs.get((ids[i], ids[k]))
-                tree.put(i, hit[0] + i if hit else _NONE)
+                hit = rank(new << 17 | ids[k])
+                changed.append((half + i, _NONE if hit is None else hit + i))
             else:
-                tree.put(i, _NONE)
-            if (p := before[i]) >= 0:
-                hit = pairs.get((ids[p], ids[i]))
-                tree.put(p, hit[0] + p if hit else _NONE)
-        return [x for x in ids if x >= 0]
+                changed.append((half + i, _NONE))
+            p = before[i]
+            if p >= 0:
+                hit = rank(ids[p] << 17 | new)
+                changed.append((half + p, _NONE if hit is None else hit + p))
+            for at, leaf in changed:
+                if node[at] == leaf:
+                    continue
+                node[at] = leaf
+                at >>= 1
+                while at:
+                    a, b = node[2 * at], node[2 * at + 1]
+                    if b < a:
+                        a = b
+                    if node[at] == a:
+                        break
+                    node[at] = a
+                    at >>= 1
+        return ids if left == n else [x for x in ids if x >= 0]
 
     def __missing__(self, piece: str) -> bytes:
-        made = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = self.merge(piece.encode())
+        made = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= self.cache_entries:
                 self.clear()
@@ -143,7 +142,8 @@ def tokenize(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str
     """
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        # a list, in which a worker process keeps its tokenizer from task to task
+        spec = spark.sparkContext.broadcast([f.read()])
     made = [ids, n_tokens] + [decoded] * bool(decoded)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     schema = docs.select(*kept).schema.add(ids, "binary").add(n_tokens, "long")
@@ -151,7 +151,10 @@ def tokenize(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str
         schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizer(spec.value)
+        kept_here = spec.value
+        if isinstance(kept_here[0], str):
+            kept_here[0] = Tokenizer(kept_here[0])
+        tok = kept_here[0]
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
