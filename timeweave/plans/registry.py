@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from timeweave.plans import catalog, intervals, series, text
+from timeweave.plans import catalog, intervals, search, series, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals, text, catalog, series):
+for module in (intervals, text, catalog, series, search):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
-FLAGSHIP = "d5_speaking_time"
+FLAGSHIP = "f5_moments"
