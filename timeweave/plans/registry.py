@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from timeweave.plans import catalog, intervals, search, series, text
+from timeweave.plans import catalog, folds, intervals, search, series, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals, text, catalog, series, search):
+for module in (intervals, text, catalog, series, search, folds):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
