@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from timeweave.plans import catalog, edits, folds, intervals, search, series, text
+from timeweave.plans import catalog, edits, folds, intervals, search, series, streams, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals, text, catalog, series, search, folds, edits):
+for module in (intervals, text, catalog, series, search, folds, edits, streams):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
