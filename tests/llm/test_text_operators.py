@@ -1,0 +1,122 @@
+"""Licence scan, mixing, PII, quality, BPE and chat formatting."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from timeweave.llm import bpe, chat_format, license_scan, mixing, pii, quality
+
+
+def test_license_rules_and_odd_rows(spark):
+    grant = license_scan.SENTENCES["mit.grant"]
+    notice = license_scan.SENTENCES["mit.notice"]
+    rows = [
+        (1, f"x\n{grant}:\n\n{notice}.\n", 9), (2, f"{notice}. {grant}.", 9), (3, None, 9), (4, "", 9), (5, "Released under the MIT License.", 9),
+        (5, "Released under the MIT License.", 9), (6, "word " * 50_000 + ".\nLicensed under CC BY-NC 4.0. Released under\nthe MIT License", 9),
+    ]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses long")).collect()
+    assert [(r.doc_id, r.licenses) for r in got] == [(1, ["MIT"]), (2, []), (3, []), (4, []), (5, ["MIT"]), (5, ["MIT"]), (6, ["CC-BY-NC-4.0", "MIT"])]
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_mixing_follows_rates_and_repeats(spark):
+    rows = [(i, None if i % 50 == 0 else f"s{i % 2}", 10) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    got = mixing.mix(df, {"s0": 3.0}, 1.0, 2.0, 5).collect()
+    share = sum(r.source == "s0" for r in got) / len(got)
+    assert abs(share - 3 / 5) < 0.05 and abs(len(got) - 8000) < 500
+    again = mixing.mix(df.repartition(7), {"s0": 3.0}, 1.0, 2.0, 5).collect()
+    assert sorted((r.doc_id, r.mix_copy) for r in got) == sorted((r.doc_id, r.mix_copy) for r in again)
+    assert mixing.mix(df.limit(0), {}).count() == 0
+
+
+def test_mixing_salted_join_gives_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 5}", i % 7 + 1) for i in range(500)], "doc_id long, source string, n_chars long")
+    want = sorted((r.doc_id, r.mix_copy) for r in mixing.mix(df, {"s1": 2.0}).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert want == sorted((r.doc_id, r.mix_copy) for r in mixing.mix(df, {"s1": 2.0}).collect())
+
+
+def test_pii_formats_links_and_leaves_invalid(spark):
+    rows = [
+        "call +1 (612) 555-4887 or 612-555-4887", "4366966299381840 and 4366 9662 9938 1840 not 4366966299381841", "a.b@mail.example.com A.B@mail.example.com",
+        "1984-02-29 02/30/1990", "GB82WEST12345698765432", "123-45-6789 666-12-1234", None, "", "version 2.0. of 1.2.3", "78.181.149.139.",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    for old, new in zip(rows, got, strict=True):
+        assert (old is None) == (new is None) and (old is None or len(old) == len(new) or "78." in old)
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    a, b = got[0][5:].split(" or ")
+    assert digits(a)[1:] == digits(b) and digits(b) != "6125554887"
+    one, two = got[1].split(" and ")[0], got[1].split(" and ")[1].split(" not ")[0]
+    assert digits(two) == one != "4366966299381840" and got[1].endswith("4366966299381841")
+    luhn = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(one)))
+    assert luhn % 10 == 0
+    x, y = got[2].split(" ")
+    assert x == y and x.endswith(".com")
+    assert got[3].endswith(" 02/30/1990") and got[3][:10] != "1984-02-29"
+    assert int("".join(str(int(c, 36)) for c in got[4][4:] + got[4][:4])) % 97 == 1
+    assert got[5].endswith(" 666-12-1234") and got[7:9] == ["", rows[8]]
+
+
+def test_permutations_are_bijective(spark):
+    df = spark.range(10 * 13).select(pii.permute_pair(F.floor(F.col("id") / 13), F.pmod("id", F.lit(13)), 10, 13, "k", "t").alias("p"))
+    assert df.select("p.l", "p.r").distinct().count() == 130
+    s = spark.range(1000).select(pii.permute_string(F.lpad(F.col("id").cast("string"), 3, "0"), "0123456789", "k", "t").alias("p"))
+    assert s.distinct().count() == 1000
+
+
+def test_quality_learns_and_scores_odd_texts(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    good = lambda: " ".join(word() for _ in range(rng.randint(5, 80))) + "."
+    bad = lambda: rng.choice([good().upper().replace(" ", "!! "), " | ".join(word() for _ in range(40)), " ".join([word()] * 60)])
+    rows = [(i, good() if i % 3 else bad(), 7) for i in range(600)] + [(9001, None, 7), (9002, "", 7), (9003, "x " * 200_000, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    got = {r.doc_id: r.score for r in quality.score(df, model).where(quality.held_out(F.col("doc_id")) | (F.col("doc_id") > 9000)).collect()}
+    right = [(got[i] >= 0.3) == (i % 3 > 0) for i in got if i < 600]
+    assert np.mean(right) > 0.9 and all(0 <= s <= 1 for s in got.values())
+    none = quality.fit(df, labels.limit(0))
+    assert {r.score for r in quality.score(df.limit(3), none).collect()} == {0.5}
+    assert quality.score(df.limit(0), model).count() == 0
+
+
+def test_bpe_equals_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    other = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = ["a", "the", "'s", " ", "\n", "\t", "é", "中", "😀", "1", "<|endoftext|>", "\x85", "\x1c", "　", "!", "ab", "\r\n", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["x" * 20_000, " " * 5000, "", "abc " * 20_000]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(-1, None, 1)], "doc_id long, text string, ids long")
+    got = {r.doc_id: r for r in bpe.tokenize(df, path, decoded="decoded").collect()}
+    for i, t in enumerate(texts):
+        ids = other.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids and got[i].decoded == other.decode(ids, skip_special_tokens=False)
+    assert got[-1].n_tokens == 0 and got[-1].decoded == ""
+
+
+def test_chat_layouts_become_one(spark):
+    records = [
+        '{"messages":[{"role":"user","content":"hi <|end|>"},{"role":"assistant","content":"</s>[INST] <\\\\|x"}]}',
+        '{"conversations":[{"from":"human","value":"hi <|end|>"},{"from":"gpt","value":"</s>[INST] <\\\\|x"}]}',
+        '{"instruction":"hi <|end|>","output":"</s>[INST] <\\\\|x"}', '{"instruction":"hi","input":"<|end|>","output":"a"}', '{"prompt":"hi <|end|>","completion":"</s>[INST] <\\\\|x"}',
+        '{"messages":[]}', '{"other":1}', None, '{"messages":[{"role":null,"content":null}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "id long, j string").select("id", F.parse_json("j").alias("record"), F.lit(1).alias("layout"))
+    got = {r.id: r for r in chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(df))).collect()}
+    want = [("user", "hi <|end|>"), ("assistant", "</s>[INST] <\\|x")]
+    for i in (0, 1, 2, 4):
+        assert [tuple(t) for t in got[i].parsed] == want == [tuple(t) for t in got[i].turns]
+        assert got[i].loss_texts == [want[1][1]]
+        assert got[i].formatted.count("<|role|>") == 2
+        s = got[i].loss_mask[0]
+        assert got[i].formatted[s.block_at + s.start :].startswith(got[i].formatted[s.block_at + s.start :][: s.length])
+    assert [tuple(t) for t in got[3].parsed] == [("user", "hi\n\n<|end|>"), ("assistant", "a")]
+    assert got[6].layout is None and got[6].formatted is None and got[7].formatted is None
+    assert [tuple(t) for t in got[8].parsed] == [("", "")]
