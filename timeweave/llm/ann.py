@@ -134,10 +134,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 2
     rows, asked = usable(vectors, vec_id, embedding), usable(queries, vec_id, embedding)
     spark = rows.sparkSession
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
-    sample = np.array(got["embedding"].tolist(), dtype=float).reshape(len(got), -1)
     kind = "query_id long, vec_id long, score double"
-    if not len(sample):
+    if not len(got):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = np.array(got["embedding"].tolist(), dtype=float)
     index = Tables.fit(sample, k, tables, dims, success)
     shared = spark.sparkContext.broadcast((index.directions, index.offsets, index.width, index.sample, index.success))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
