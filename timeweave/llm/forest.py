@@ -1,0 +1,21 @@
+"""Components of the edges that one task has found."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes of an edge list, by repeated minima."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = inverse[: len(a)], inverse[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
