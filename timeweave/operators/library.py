@@ -166,3 +166,64 @@ def faces_on_screen(boxes: DataFrame, spans: DataFrame, key: str, per_second: fl
         F.least(F.lit(1.0), F.count(F.lit(1)) / expected).alias("presence"),
     )
     return got.where(F.col("presence") >= least)
+
+
+def apply_selection(df: DataFrame, key: str, chosen: DataFrame | None) -> DataFrame:
+    """Rows of the chosen keys; all without a choice, none with an empty one."""
+    return df if chosen is None else df.join(chosen.select(key).distinct(), key, "left_semi")
+
+
+def live(df: DataFrame) -> DataFrame:
+    """Rows that aren't in the trash."""
+    return df.where("trash_id IS NULL")
+
+
+def on_mic_span(ranges: DataFrame, segments: DataFrame, ident: Sequence[str], cols=("in_ms", "out_ms"), tail: int = 1_500) -> DataFrame:
+    """Each range cut to its first and last on-mic line, a last line of at most ``tail`` past its end carried."""
+    from timeweave.operators.intervals import overlap_join
+
+    on = segments.where(~F.coalesce("off_mic", F.lit(False))).select("video_id", "start_ms", "end_ms")
+    got = overlap_join(ranges, on, "video_id", a_cols=cols).groupBy(*ident, *cols).agg(F.min("b_start_ms").alias("_s"), F.max("b_end_ms").alias("_e"))
+    end = F.when(F.col("_e") - F.col(cols[1]) <= tail, F.greatest(F.col("_e"), F.lit(0))).otherwise(F.col(cols[1]))
+    return got.select(*ident, F.greatest(F.col("_s"), F.col(cols[0])).alias(cols[0]), F.least(end, F.col("_e")).alias(cols[1]))
+
+
+def quotable_runs(segments: DataFrame, key: str, least: int, most: int, ahead: int = 12) -> DataFrame:
+    """The longest run from each segment that ends a sentence, within the length limits and without a hole of 2 s."""
+    from timeweave.functions.text import ends_sentence, last_word
+
+    w = Window.partitionBy(key).orderBy("start_ms", "segment_id")
+    gap = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w), F.lit(0)) > 2_000
+    marked = segments.withColumn("_hole", gap).withColumn("_run", F.sum(F.col("_hole").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_ends", ends_sentence(last_word(F.col("text"))))
+    near = Window.partitionBy(key, "_run").orderBy("start_ms", "segment_id").rowsBetween(0, ahead)
+    spread = marked.withColumn("_next", F.collect_list(F.struct("end_ms", "segment_id", "_ends")).over(near)).withColumn("_e", F.explode("_next"))
+    ok = spread.where(F.col("_e._ends") & (F.col("_e.end_ms") - F.col("start_ms")).between(least, most))
+    return ok.groupBy(key, "segment_id", "start_ms").agg(F.max("_e.end_ms").alias("end_ms"))
+
+
+def names_from_introductions(segments: DataFrame, people: DataFrame) -> DataFrame:
+    """(speaker, name): the name most often heard in a speaker's own introductions, where people(speaker, name) has none."""
+    from timeweave.functions.text import introduced_name
+
+    said = segments.where("speaker IS NOT NULL").select("speaker", introduced_name(F.col("text")).alias("heard")).where("heard IS NOT NULL")
+    unnamed = people.where(F.coalesce(F.trim("name"), F.lit("")) == "").select("speaker")
+    per = said.join(unnamed, "speaker", "left_semi").groupBy("speaker", "heard").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("speaker").orderBy(F.col("n").desc(), "heard")
+    return per.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("speaker", F.col("heard").alias("name"), "n")
+
+
+def enrich_hits(hits: DataFrame, videos: DataFrame, frames: DataFrame, reach: int = 30_000) -> DataFrame:
+    """Hits with their video's path and the frame nearest to their start."""
+    from timeweave.operators.intervals import nearest
+
+    near = nearest(hits, frames.select("video_id", F.col("at_ms").alias("frame_ms"), "frame_id"), "video_id", "start_ms", "frame_ms", ["frame_id"], reach)
+    return near.drop("matched_frame_ms").join(videos.select("video_id", "path"), "video_id", "left")
+
+
+def outline(videos: DataFrame, chapters: DataFrame, lines: DataFrame) -> DataFrame:
+    """(project_id, outline): nested videos, chapters and standout lines, in order, as one array a project."""
+    at = lines.join(chapters.select("video_id", "chapter", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")), "video_id").where("start_ms >= _s AND start_ms < _e")
+    said = at.groupBy("video_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("start_ms", "text"))).alias("lines"))
+    each = chapters.join(said, ["video_id", "chapter"], "left").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "chapter", "title", "lines"))).alias("chapters"))
+    return videos.join(each, "video_id", "left").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("video_id", "path", "chapters"))).alias("outline"))

@@ -141,3 +141,46 @@ def d16_faces_on_screen(spark, d):
     boxes = s.select(F.col("series_id").alias("video_id"), (F.col("idx") * 200).alias("at_ms"), (F.col("event_id") % 3).alias("track_id"), (F.col("level") % 100 / 100).alias("x"), (F.col("event_id") % 40 / 100).alias("h"))
     spans = s.select(F.col("series_id").alias("video_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(6_000).cast("long").alias("end_ms"), F.col("series_id").alias("span_id")).distinct()
     return li.faces_on_screen(boxes, spans, "video_id")
+
+
+@query("SELECT segment_id FROM segments WHERE video_id % 2 = 0 AND NOT off_mic", "segments")
+def b3_b4_selection(spark, d):
+    s = fixture(spark, d, "segments").withColumn("trash_id", F.when(F.col("off_mic"), F.col("segment_id")))
+    return li.apply_selection(li.live(s), "video_id", s.where("video_id % 2 = 0").select("video_id")).select("segment_id")
+
+
+@query("""WITH o AS (SELECT script_id, clip_index, in_ms, out_ms, min(start_ms) AS s, max(end_ms) AS e FROM clips c JOIN segments g ON c.video_id = g.video_id AND in_ms < end_ms AND start_ms < out_ms WHERE NOT off_mic GROUP BY 1, 2, 3, 4)
+SELECT script_id, clip_index, greatest(s, in_ms) AS in_ms, least(CASE WHEN e - out_ms <= 1500 THEN e ELSE out_ms END, e) AS out_ms FROM o""", "clips", "segments")
+def w24_on_mic_span(spark, d):
+    return li.on_mic_span(fixture(spark, d, "clips"), fixture(spark, d, "segments"), ["script_id", "clip_index"])
+
+
+@query("")
+def l8_quotable_runs(spark, d):
+    return li.quotable_runs(fixture(spark, d, "segments"), "video_id", 4_000, 60_000)
+
+
+@query("""WITH t AS (SELECT video_id * 10 + coalesce(speaker, 0) AS speaker, CASE WHEN segment_id % 5 = 0 THEN 'A' || chr(98 + CAST(segment_id % 3 AS INTEGER)) END AS heard FROM segments WHERE speaker IS NOT NULL),
+c AS (SELECT speaker, heard, count(*) AS n FROM t WHERE heard IS NOT NULL AND speaker % 3 <> 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY n DESC, heard) AS k FROM c) SELECT speaker, heard AS name, n FROM r WHERE k = 1""", "segments")
+def d23_names_from_introductions(spark, d):
+    s = fixture(spark, d, "segments").where("speaker IS NOT NULL").withColumn("speaker", F.col("video_id") * 10 + F.col("speaker"))
+    text = F.when(F.col("segment_id") % 5 == 0, F.concat(F.lit("Hi, my name is A"), F.char((F.col("segment_id") % 3 + 98).cast("long")), F.lit("."))).otherwise("no")
+    people = s.select("speaker", F.when(F.col("speaker") % 3 == 0, "known").otherwise("").alias("name")).distinct()
+    return li.names_from_introductions(s.withColumn("text", text), people)
+
+
+@query("""WITH r AS (SELECT c.chunk_id, t.track_id, row_number() OVER (PARTITION BY c.chunk_id ORDER BY abs(c.start_ms - t.start_ms), t.start_ms DESC, t.track_id) AS k FROM chunks c JOIN tracks t ON c.video_id = t.video_id AND abs(c.start_ms - t.start_ms) <= 30000)
+SELECT c.chunk_id, r.track_id AS frame_id, CASE WHEN c.video_id % 2 = 0 THEN 'v' || CAST(c.video_id AS VARCHAR) END AS path FROM chunks c LEFT JOIN r ON c.chunk_id = r.chunk_id AND k = 1""", "chunks", "tracks")
+def f6_enrich_hits(spark, d):
+    hits = fixture(spark, d, "chunks").select("chunk_id", "video_id", "start_ms")
+    videos = hits.where("video_id % 2 = 0").select("video_id", F.concat(F.lit("v"), F.col("video_id").cast("string")).alias("path")).distinct()
+    frames = fixture(spark, d, "tracks").select("video_id", F.col("start_ms").alias("at_ms"), F.col("track_id").alias("frame_id"))
+    return li.enrich_hits(hits, videos, frames).select("chunk_id", "frame_id", "path")
+
+
+@query("")
+def u5_outline(spark, d):
+    s = fixture(spark, d, "segments").withColumn("cut", F.col("segment_id") % 3 == 0)
+    chapters = li.chapters_from_boundaries(s, "video_id", "cut")
+    videos = s.select("video_id", (F.col("video_id") % 5).alias("project_id"), F.concat(F.lit("v"), F.col("video_id").cast("string")).alias("path")).distinct()
+    return li.outline(videos, chapters, s.where("segment_id % 4 = 0").select("video_id", "start_ms", "text"))
