@@ -26,8 +26,8 @@ PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
 ANY = "|".join((EMAIL, SECRET, IBAN, CARD, SSN, IPV4, DATE, PHONE))
-#: A text without any of these holds no value of the kinds above.
-MAYBE = r"\d{4}|@|\d\.\d|(?i:password|passwd|pwd|secret|token|api_?key)[=:]"
+#: A text without any of these holds no value of the kinds above: each alternative of ANY contains one of them.
+MAYBE = r"\d{4}|@|\d\.\d|\+\d|[A-Z]{2}\d{2}|AKIA|\"[0-9a-f]{24}|(?i:password|passwd|pwd|secret|token|api_?key)[=:]"
 
 
 def _noise(key: str, tweak: str, i: Column, x: Column, modulus: int) -> Column:
