@@ -1,5 +1,7 @@
 """Licence scan, mixing, PII, quality, BPE and chat formatting."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -32,6 +34,25 @@ def test_mixing_follows_rates_and_repeats(spark):
     assert mixing.mix(df.limit(0), {}).count() == 0
 
 
+def test_mixing_a_tiny_source_beside_a_large_one(spark, monkeypatch):
+    rows = [(i, "tiny", 1) for i in range(3)] + [(100 + i, "big", 3000) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    rate = 300003 / (2 * 3)
+    want = {}
+    for i in range(3):
+        u, total, n = int(hashlib.md5(f"mix17:{i}".encode()).hexdigest()[:13], 16) / (1 << 52), 0.0, 0
+        while (total := total + math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))) <= u:
+            n += 1
+        want[i] = n
+    mixed = mixing.mix(df, {})
+    got = mixed.where("source = 'tiny'").groupBy("doc_id").agg(F.count(F.lit(1)), F.countDistinct("mix_copy"), F.min("mix_copy"), F.max("mix_copy"), F.max("mix_copies")).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == {i: (n, n, 1, n, n) for i, n in want.items()}
+    whole = lambda m: m.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "mix_copy", "mix_copies", "mix_key").cast("decimal(38,0)"))).first()
+    before = whole(mixed)
+    monkeypatch.setattr(mixing, "BLOCK_COPIES", 7000)
+    assert before == whole(mixing.mix(df, {}))
+
+
 def test_mixing_salted_join_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"s{i % 5}", i % 7 + 1) for i in range(500)], "doc_id long, source string, n_chars long")
     want = sorted((r.doc_id, r.mix_copy) for r in mixing.mix(df, {"s1": 2.0}).collect())

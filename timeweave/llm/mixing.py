@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,10 @@ from timeweave.sources.scratch import materialize
 #: Rate tables up to this many bytes are broadcast; larger ones are joined on salted keys.
 BROADCAST_BYTES = 4 << 20
 SALTS = 64
-MAX_RATE = 5000.0
+#: Up to this rate a source's cumulative probabilities are a table; beyond it each of its documents sums them itself.
+TABLE_RATE = 5000.0
+#: A document of more copies is dealt out in blocks of this many.
+BLOCK_COPIES = 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -34,6 +38,26 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, made).otherwise(F.array(F.lit(1.0)))
 
 
+def poisson_count(rate: Column, u: Column) -> Column:
+    """How many cumulative probabilities of a large ``rate`` are at most ``u``, by Stirling's series.
+
+    Counts over 12 standard deviations from the rate have no weight in double precision and are not summed. This takes
+    some 24 roots of the rate in steps, fewer than the copies that follow from it.
+    """
+    reach = F.sqrt(rate) * 12.0 + 20.0
+    low, last = F.floor(F.greatest(rate - reach, F.lit(1.0))), F.ceil(rate + reach)
+
+    def step(acc: Column, n: Column) -> Column:
+        k = n.cast("double")
+        off = k - acc["rate"]
+        lp = off - k * F.log1p(off / acc["rate"]) - F.log(k * (2 * math.pi)) / 2 - F.lit(1.0) / (k * 12) + F.lit(1.0) / (k * k * k * 360)
+        total = acc["total"] + F.exp(lp)
+        return F.struct(acc["rate"].alias("rate"), acc["u"].alias("u"), total.alias("total"), (acc["count"] + (total <= acc["u"]).cast("long")).alias("count"))
+
+    zero = F.struct(rate.alias("rate"), u.alias("u"), F.lit(0.0).alias("total"), low.cast("long").alias("count"))
+    return F.aggregate(F.sequence(low.cast("long"), last.cast("long")), zero, step, lambda a: a["count"])
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, epochs: float = 1.0,
                  source: str = "source", size: str = "n_chars") -> DataFrame:
     """(source key, rate): the mean repetitions that give every source its share of ``epochs`` times the input.
@@ -51,8 +75,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float], default_weight:
     total = per.agg(F.sum("_size"), F.sum("_weight")).first()
     size_sum, weight_sum = float(total[0] or 0.0), float(total[1] or 0.0)
     rate = F.when((F.col("_size") > 0) & F.lit(weight_sum > 0), F.col("_weight") * F.lit(epochs * size_sum) / (F.lit(weight_sum or 1.0) * F.col("_size"))).otherwise(0.0)
-    checked = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.concat(F.lit("repetition rate too high for source "), F.col("_key"))).cast("double"))
-    return per.select("_key", checked.alias("_rate"))
+    return per.select("_key", rate.alias("_rate"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, epochs: float = 1.0, seed: int = 17,
@@ -66,8 +89,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     the method says. No text is looked at. An empty table gives an empty result.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    rates = materialize(source_rates(docs, weights, default_weight, epochs, source, size).select("_key", poisson_cdf(F.col("_rate")).alias("_cdf")), "rates")
-    need = rates.agg(F.sum(F.octet_length("_key") + F.size("_cdf") * 8 + 64)).first()[0] or 0
+    rates = materialize(source_rates(docs, weights, default_weight, epochs, source, size).select("_key", "_rate", F.when(F.col("_rate") <= TABLE_RATE, poisson_cdf(F.col("_rate"))).alias("_cdf")), "rates")
+    told = rates.agg(F.sum(F.octet_length("_key") + F.greatest(F.size("_cdf"), F.lit(0)) * 8 + 72), F.max("_rate")).first()
+    need, most = told[0] or 0, told[1] or 0.0
     keyed = docs.withColumn("_key", key)
     if need <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(rates), "_key")
@@ -77,7 +101,16 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
         joined = keyed.withColumn("_salt", salt).join(spread, ["_key", "_salt"]).drop("_salt")
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     u = uniform(F.lit(f"mix{seed}"), ident)
-    counted = joined.withColumn("mix_copies", F.size(F.filter("_cdf", lambda c: c <= u))).drop("_cdf", "_key")
-    copies = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    count = F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")
+    if most > TABLE_RATE:
+        count = F.when(F.col("_cdf").isNotNull(), count).otherwise(poisson_count(F.col("_rate"), u))
+    counted = joined.withColumn("mix_copies", count).drop("_cdf", "_rate", "_key")
+    few = F.lit(BLOCK_COPIES).cast("long")
+    copies = counted.where(F.col("mix_copies").between(1, few)).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    if most + math.sqrt(most) * 12 + 20 > BLOCK_COPIES:
+        first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"), few))
+        blocks = counted.where(F.col("mix_copies") > few).withColumn("_first", first).repartition(ident, F.col("_first"))
+        each = F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + few - 1, F.col("mix_copies"))))
+        copies = copies.unionByName(blocks.withColumn("mix_copy", each).drop("_first"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("mix_copy").cast("string"))))
     return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
