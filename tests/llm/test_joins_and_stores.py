@@ -116,6 +116,34 @@ def test_embedding_duplicates_equal_brute_force(spark):
     assert all(got[i] == (0, i, True) for i in range(9001, 9006))
 
 
+def test_audit_sees_lost_small_groups_and_rare_links(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 16))
+    x[:1000] = x[0] + 0.02 * rng.standard_normal((1000, 16))  # one large group beside 300 pairs
+    x[2700:] = x[2400:2700] + 0.01 * rng.standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    within = hnsw.Graph.within
+
+    def lossy(self, q, least, width, slack):
+        """Finds the large group and each query's own vector only."""
+        a, v = within(self, q, least, width, slack)
+        at = {r.tobytes(): i for i, r in enumerate(x)}
+        who = np.array([at[r.tobytes()] for r in q])
+        keep = (who[a] < 1000) | (who[a] == part[v])
+        return a[keep], v[keep]
+
+    monkeypatch.setattr(hnsw.Graph, "within", lossy)
+    ids = np.arange(3000)
+    for part in (ids, ids[1000:], np.concatenate([ids[1000:2401], ids[2700:2701]])):
+        graph = hnsw.Graph(x[part])
+        a, v = hnsw.search(graph, x[part], part, part, 0.95)
+        got = {(part[i], part[j]) for i, j in zip(a, v, strict=True) if i != j}
+        near = x[part] @ x[part].T >= 0.95
+        np.fill_diagonal(near, False)
+        want = {(part[i], part[j]) for i, j in zip(*np.nonzero(near), strict=True)}
+        assert want and not want - got
+
+
 def test_warc_round_trip_index_and_fetch(spark, tmp_path):
     rows = [(1, "http://a.example.com/x?q=1", "<p>one</p>", 0), (2, "https://b.example.org/", "<p>one</p>", 0), (3, None, None, 0), (4, "http://a.example.com/x?q=1", "", 0), (5, "http://c.d/\n", "é\r\n\r\n" * 9000, 0), (5, "http://c.d/\n", "é\r\n\r\n" * 9000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, length int")
