@@ -17,6 +17,7 @@ SALTS = 64
 TABLE_RATE = 5000.0
 #: A document of more copies is dealt out in blocks of this many.
 BLOCK_COPIES = 100_000
+ADDED = ("mix_copies", "mix_copy", "mix_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -86,31 +87,33 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     rows are dealt to partitions and ordered within them. The count inverts the Poisson distribution of the source's
     rate at a number hashed from the seed and the id alone: a rerun, or any partitioning, gives the same copies.
     Repeated rows (and rows of null id) share the count of their id. Documents of count 0 leave the mixture, as
-    the method says. No text is looked at. An empty table gives an empty result.
+    the method says. No text is looked at. An empty table gives an empty result. Columns named as those added are
+    replaced; others are kept, whatever their names.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     rates = materialize(source_rates(docs, weights, default_weight, epochs, source, size).select("_key", "_rate", F.when(F.col("_rate") <= TABLE_RATE, poisson_cdf(F.col("_rate"))).alias("_cdf")), "rates")
     told = rates.agg(F.sum(F.octet_length("_key") + F.greatest(F.size("_cdf"), F.lit(0)) * 8 + 72), F.max("_rate")).first()
     need, most = told[0] or 0, told[1] or 0.0
-    keyed = docs.withColumn("_key", key)
+    ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    whole = F.struct(*[F.col(c) for c in docs.columns if c not in ADDED]).alias("_row")
+    keyed = docs.select(whole, key.alias("_key"), ident.alias("_ident"))
     if need <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(rates), "_key")
     else:
-        salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("_ident"), F.lit(SALTS)).cast("int")
         spread = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", salt).join(spread, ["_key", "_salt"]).drop("_salt")
-    ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    u = uniform(F.lit(f"mix{seed}"), ident)
+        joined = keyed.withColumn("_salt", salt).join(spread, ["_key", "_salt"])
+    u = uniform(F.lit(f"mix{seed}"), F.col("_ident"))
     count = F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")
     if most > TABLE_RATE:
         count = F.when(F.col("_cdf").isNotNull(), count).otherwise(poisson_count(F.col("_rate"), u))
-    counted = joined.withColumn("mix_copies", count).drop("_cdf", "_rate", "_key")
+    counted = joined.select("_row", "_ident", count.alias("mix_copies"))
     few = F.lit(BLOCK_COPIES).cast("long")
     copies = counted.where(F.col("mix_copies").between(1, few)).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
     if most + math.sqrt(most) * 12 + 20 > BLOCK_COPIES:
         first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"), few))
-        blocks = counted.where(F.col("mix_copies") > few).withColumn("_first", first).repartition(ident, F.col("_first"))
+        blocks = counted.where(F.col("mix_copies") > few).withColumn("_first", first).repartition("_ident", "_first")
         each = F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + few - 1, F.col("mix_copies"))))
         copies = copies.unionByName(blocks.withColumn("mix_copy", each).drop("_first"))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("mix_copy").cast("string"))))
-    return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "_ident", F.col("mix_copy").cast("string")))
+    return copies.select("_row.*", "mix_copies", "mix_copy", order.alias("mix_key")).repartition(F.col("mix_key")).sortWithinPartitions("mix_key")

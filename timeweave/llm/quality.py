@@ -114,13 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """Fit on the labelled rows that aren't held out, or on ``max_rows`` of them chosen by hash of the id.
 
     That bound makes the label table that is broadcast, and the statistics that come back, bounded. Rows with a
-    null id or label are left out; an id labelled both ways counts as 0; repeated rows count as often as they occur.
+    null id or label are left out; an id labelled both ways counts as 0; repeated rows of an id count once, as the
+    first of their texts in order. Without labels of both kinds every score is 0.5. Other columns are not read.
     """
     usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)))
     usable = usable.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
     share = min(1.0, max_rows / max(usable.count(), 1))
-    chosen = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(round(share * 1_000_000)))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_label", "_text")
+    chosen = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 52)) < int(share * (1 << 52)))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_label", "_text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 def score(docs: DataFrame, model: Discriminant, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of good quality, from nothing but the text.
 
-    Null and empty texts are scored as the empty text; whole texts are read; repeated rows have equal scores.
+    Null and empty texts are scored as the empty text; whole texts are read; repeated rows have equal scores; an
+    empty table gives an empty one. A column named as ``into`` is replaced, others are kept.
     """
     columns = [c for c in docs.columns if c != into]
     schema = docs.select(*columns).schema.add(into, "double")
