@@ -1,12 +1,13 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record is a VARIANT of any layout. The set of its nested field paths is hashed; the hash selects one of the
-declared layouts, whose mapping turns the record into canonical turns. The turns are then written in one template
+A record is a VARIANT of any layout. Its nested field paths, but for those that no layout knows, are hashed; the hash
+selects one of the declared layouts, whose mapping turns the record into canonical turns. The turns are then written in one template
 whose control strings cannot occur inside a text, because texts are escaped reversibly.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -23,29 +24,31 @@ _REST = r"(\||/?s>|/?SYS>|/?INST\])"
 class Layout:
     """A declared layout: its field paths and how turns are read from it.
 
-    ``paths`` is the nested shape, scalars written as ``V``. Either ``items`` names an array with the given role
-    and text fields, or ``turns`` lists (role, field) pairs of a flat record; fields missing a value are left out
-    when their role is repeated (an empty ``input``).
+    ``paths`` are the nested shapes it has, scalars written as ``V`` and an array without elements as ``ARRAY<>``.
+    Either ``items`` names an array with the given role and text fields, or ``turns`` lists (role, field) pairs of a
+    flat record; values that are empty are left out where several fields make one turn (an empty ``input``), and so
+    is an empty turn of a role in ``optional``.
     """
 
     name: str
-    paths: str
+    paths: Sequence[str]
     items: str | None = None
     role_field: str = "role"
     text_field: str = "content"
     turns: Sequence[tuple[str, str]] = ()
     roles: Mapping[str, str] = field(default_factory=dict)
+    optional: Sequence[str] = ()
 
     def read(self, v: Column) -> Column:
         if self.items:
-            kind = f"array<struct<`{self.role_field}`:string,`{self.text_field}`:string>>"
+            kind = f"array<struct<`{self.role_field}`:string,`{self.text_field}`:variant>>"
             got = F.variant_get(v, f"$.{self.items}", kind)
             known = F.create_map(*[F.lit(x) for kv in self.roles.items() for x in kv]) if self.roles else None
 
             def one(t: Column) -> Column:
                 role = t[self.role_field]
                 role = F.coalesce(known[role], role) if known is not None else role
-                return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(t[self.text_field], F.lit("")).alias("text"))
+                return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(content(t[self.text_field]), F.lit("")).alias("text"))
 
             return F.transform(F.filter(got, lambda t: t.isNotNull()), one).cast(TURNS)
         parts: dict[str, list[Column]] = {}
@@ -58,31 +61,58 @@ class Layout:
             )
             for role, cols in parts.items()
         ]
-        return F.array(*made).cast(TURNS)
+        return F.filter(F.array(*made), lambda t: ~t["role"].isin(*self.optional, "") | (t["text"] != "")).cast(TURNS)
+
+
+def content(v: Column) -> Column:
+    """A turn's text: of an array of parts the parts' texts, joined; of any other value its string."""
+    parts = F.variant_get(v, "$", "array<variant>")
+    text = F.transform(parts, lambda p: F.coalesce(F.when(F.schema_of_variant(p).startswith("OBJECT"), F.variant_get(p, "$.text", "string")).otherwise(F.variant_get(p, "$", "string")), F.lit("")))
+    return F.when(v.isNull(), None).when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(text, "")).otherwise(F.variant_get(v, "$", "string"))
+
+
+def _listed(name: str, role: str, text: str) -> tuple[str, ...]:
+    """The shapes of a layout of turns in an array: of texts, of texts in parts, and without turns."""
+    item = lambda t: "OBJECT<" + ", ".join(sorted((f"{text}: {t}", f"{role}: V"))) + ">"
+    return tuple(f"OBJECT<{name}: ARRAY<{x}>>" for x in (item("V"), item("ARRAY<OBJECT<text: V, type: V>>"), item("ARRAY<V>"), ""))
+
+
+def _flat(*names: str) -> tuple[str]:
+    return ("OBJECT<" + ", ".join(f"{n}: V" for n in sorted(names)) + ">",)
 
 
 _SHAREGPT = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 LAYOUTS = (
-    Layout("turns", "OBJECT<turns: ARRAY<OBJECT<role: V, text: V>>>", items="turns", text_field="text"),
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content: V, role: V>>>", items="messages"),
-    Layout("conversations", "OBJECT<conversations: ARRAY<OBJECT<from: V, value: V>>>", items="conversations", role_field="from", text_field="value", roles=_SHAREGPT),
-    Layout("instruction_input", "OBJECT<input: V, instruction: V, output: V>", turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("instruction", "OBJECT<instruction: V, output: V>", turns=(("user", "instruction"), ("assistant", "output"))),
-    Layout("prompt_completion", "OBJECT<completion: V, prompt: V>", turns=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt_response", "OBJECT<prompt: V, response: V>", turns=(("user", "prompt"), ("assistant", "response"))),
-    Layout("question_answer", "OBJECT<answer: V, question: V>", turns=(("user", "question"), ("assistant", "answer"))),
+    Layout("turns", _listed("turns", "role", "text"), items="turns", text_field="text"),
+    Layout("messages", _listed("messages", "role", "content"), items="messages"),
+    Layout("conversations", _listed("conversations", "from", "value"), items="conversations", role_field="from", text_field="value", roles=_SHAREGPT),
+    Layout("instruction_input", _flat("input", "instruction", "output"), turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("instruction", _flat("instruction", "output"), turns=(("user", "instruction"), ("assistant", "output"))),
+    Layout("prompt_completion", _flat("completion", "prompt"), turns=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt_response", _flat("prompt", "response"), turns=(("user", "prompt"), ("assistant", "response"))),
+    Layout("question_answer", _flat("answer", "question"), turns=(("user", "question"), ("assistant", "answer"))),
+    Layout("system_instruction", _flat("input", "instruction", "output", "system"), turns=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("system",)),
+    Layout("system_prompt", _flat("prompt", "response", "system"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
 )
 
 
-def field_paths(v: Column) -> Column:
-    """The nested shape of a VARIANT, scalar kinds written as ``V`` (so a null or a number keeps the shape)."""
+def field_paths(v: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """The nested shape of a VARIANT, scalar kinds written as ``V`` (so a null or a number keeps the shape).
+
+    Fields that no layout knows (an id, a name, metadata) are left out, nested ones up to four levels deep.
+    """
     kinds = r"\b(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|BINARY|FLOAT|DATE|TIMESTAMP(?:_NTZ)?|DECIMAL\(\d+, ?\d+\))(?=[,>]|$)"
-    return F.regexp_replace(F.schema_of_variant(v), kinds, "V")
+    shape = F.regexp_replace(F.regexp_replace(F.schema_of_variant(v), "ARRAY<VOID>", "ARRAY<>"), kinds, "V")
+    known = "|".join(sorted({w for x in layouts for p in x.paths for w in re.findall(r"(\w+):", p)}))
+    odd = rf"(?<=<|, )(?!(?:{known}): )[^<>,: ][^<>,:]*: (?:V|ARRAY<(?:V|OBJECT<>)?>|OBJECT<>)(?:, |(?=>))"
+    for _ in range(4):
+        shape = F.regexp_replace(F.regexp_replace(shape, odd, ""), ", >", ">")
+    return shape
 
 
-def fingerprint(v: Column) -> Column:
+def fingerprint(v: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
     """Hash of the record's nested field paths."""
-    return F.xxhash64(field_paths(v))
+    return F.xxhash64(field_paths(v, layouts))
 
 
 def escape(c: Column) -> Column:
@@ -97,17 +127,35 @@ def unescape(c: Column) -> Column:
 def canonical_turns(records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """Adds ``layout`` (name, or null when no declared layout has the record's fingerprint) and ``turns``.
 
-    A null record or an unknown layout has null ``turns``; null roles and texts become empty strings; a repeated
-    record gives a repeated row. Names ``layout`` and ``turns`` in the input are replaced.
+    A null record or an unknown layout has null ``turns``, a known one without turns has none; null roles and texts
+    become empty strings; a repeated record gives a repeated row, an empty table an empty one. Names ``layout`` and
+    ``turns`` in the input are replaced, other columns are kept.
     """
-    v, fp = F.col(record), F.col("_fp")
-    layout = turns = None
-    for x in layouts:
-        hit = fp == F.xxhash64(F.lit(x.paths))
-        layout = F.when(hit, x.name) if layout is None else layout.when(hit, x.name)
-        turns = F.when(hit, x.read(v)) if turns is None else turns.when(hit, x.read(v))
-    with_fp = records.withColumn("_fp", F.when(v.isNotNull(), fingerprint(v)))
-    return with_fp.withColumns({"layout": layout, "turns": turns}).drop("_fp")
+    v = F.col(record)
+
+    def read(fp: Column) -> Column:
+        out = None
+        for x in layouts:
+            hit, got = fp.isin([_hash(records, p) for p in x.paths]), F.struct(F.lit(x.name).alias("layout"), x.read(v).alias("turns"))
+            out = F.when(hit, got) if out is None else out.when(hit, got)
+        return out
+
+    told = F.transform(F.array(F.when(v.isNotNull(), fingerprint(v, layouts))), read)[0]
+    rest = [c for c in records.columns if c not in ("layout", "turns")]
+    name = "_told"
+    while name in rest:
+        name += "_"
+    return records.select(*rest, told.alias(name)).select(*rest, f"{name}.layout", f"{name}.turns")
+
+
+def _hash(df: DataFrame, shape: str) -> int:
+    """The fingerprint of a declared shape."""
+    if shape not in _HASHES:
+        _HASHES[shape] = df.sparkSession.range(1).select(F.xxhash64(F.lit(shape)).alias("h")).first()["h"]
+    return _HASHES[shape]
+
+
+_HASHES: dict[str, int] = {}
 
 
 def format_turns(df: DataFrame, turns: str = "turns", loss_roles: Sequence[str] = ("assistant",)) -> DataFrame:
@@ -115,7 +163,8 @@ def format_turns(df: DataFrame, turns: str = "turns", loss_roles: Sequence[str]
 
     ``loss_mask`` has one span for each turn whose role is in ``loss_roles``: the turn's position, where its
     block begins in ``formatted`` (``block_at``), and the span's start and length inside the block, all in code
-    points and from 0. No turns give an empty string and an empty mask; null turns give nulls.
+    points and from 0. No turns give an empty string and an empty mask; null turns give nulls. Texts are written whole,
+    however long; columns of these two names are replaced.
     """
     t = F.col(turns)
 
@@ -144,5 +193,12 @@ def read_back(df: DataFrame) -> DataFrame:
         text = F.substring_index(F.substring_index(b, TEXT, -1), "<|end|>", 1)
         return F.struct(role.alias("role"), unescape(text).alias("text"))
 
-    under = F.transform("loss_mask", lambda s: unescape(F.substring(F.element_at(F.col("_blocks"), s["turn"] + 1), s["start"] + 1, s["length"])))
-    return df.withColumn("_blocks", blocks).withColumns({"parsed": F.transform("_blocks", turn), "loss_texts": under}).drop("_blocks")
+    def told(b: Column) -> Column:
+        under = F.transform("loss_mask", lambda s: unescape(F.substring(F.element_at(b, s["turn"] + 1), s["start"] + 1, s["length"])))
+        return F.struct(F.transform(b, turn).alias("parsed"), under.alias("loss_texts"))
+
+    rest = [c for c in df.columns if c not in ("parsed", "loss_texts")]
+    name = "_told"
+    while name in rest:
+        name += "_"
+    return df.select(*rest, F.transform(F.array(blocks), told)[0].alias(name)).select(*rest, f"{name}.parsed", f"{name}.loss_texts")
