@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm import ann, bpe, chat_format, hnsw, license_scan, mixing, ngram_join, pii, quality, warc
@@ -17,20 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _in_some_layout(number: Column, rows: Column) -> Column:
+    """A conversation as a record of one of seven layouts by its number: what heterogeneous sources look like."""
+    made = lambda *fields: F.to_variant_object(F.struct(*fields))
+    each = lambda role, text, f=(lambda x: x): F.transform(rows, lambda x: F.struct(f(x["role"]).alias(role), x["text"].alias(text)))
+    told = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+    plain = ~F.exists(rows, lambda x: x["role"].isin("human", "gpt", "bot"))
+    pair = (F.size(rows) == 2) & (F.get(rows, F.lit(0))["role"] == "user") & (F.get(rows, F.lit(1))["role"] == "assistant")
+    said = lambda i, name: F.get(rows, F.lit(i))["text"].alias(name)
+    parts = F.transform(rows, lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content")))
+    k = F.coalesce(F.pmod(number, F.lit(6)), F.lit(0))
+    return (
+        F.when(pair & (k == 1), made(said(0, "prompt"), said(1, "completion")))
+        .when(pair & (k == 2), made(said(0, "instruction"), said(1, "output"), number.alias("id")))
+        .when(plain & (k == 3), made(each("from", "value", lambda r: F.coalesce(told[r], r)).alias("conversations")))
+        .when(k == 4, made(each("role", "content").alias("messages"), F.struct(number.alias("id"), F.lit("en").alias("lang")).alias("meta")))
+        .when(k == 5, made(parts.alias("messages")))
+        .when(k < 3, made(each("role", "content").alias("messages")))
+        .otherwise(made(each("role", "text").alias("turns")))
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation in the chat template, digests read back from the formatted string."""
+    """Every conversation, of whatever layout, in the chat template; digests read back from the formatted string."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = "</s>[INST] ok [/INST]"
     more = spark.sql(
         f"SELECT * FROM VALUES (-7L, 0L, 'user', '{extra}'), (-7L, 1L, 'assistant', '{extra}') AS t(conv_id, turn, role, text)"
     )
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    records = (
-        rows.unionByName(more)
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(turn)).alias("rows"))
-        .select("conv_id", F.to_variant_object(F.struct(F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))).alias("record"))
-    )
+    whole = rows.unionByName(more).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
+    records = whole.select("conv_id", _in_some_layout(F.col("conv_id"), F.col("rows")).alias("record"))
     made = chat_format.format_turns(chat_format.canonical_turns(records)).drop("record", "turns")
     back = chat_format.read_back(made)
     told = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -89,28 +106,31 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    names = list(license_scan.SENTENCES)
+    known, alone = license_scan.known_sentences()
+    number = {n: i for i, n in enumerate(known)}
     q = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({q(license_scan.normal(t))}, {i})" for i, t in enumerate(license_scan.SENTENCES.values()))
-    labels = ", ".join(f"({i}, {q(n)})" for i, n in enumerate(names))
-    runs = [(lic, "," + "".join(f"{names.index(x)}," for x in run)) for lic, run in license_scan.RULES]
-    hits = []
-    for k, (lic, run) in enumerate(runs):
-        longer = "".join(f" AND NOT contains(seq, {q(o)})" for j, (_, o) in enumerate(runs) if j != k and run in o)
-        hits.append(f"SELECT doc_id, {q(lic)} AS license FROM seqs WHERE contains(seq, {q(run)}){longer}")
+    values = ", ".join(f"({q(license_scan.normal(t))}, {number[n]}, {q(n)}, {q(alone[n]) if n in alone else 'CAST(NULL AS VARCHAR)'})" for n, t in known.items())
+    plain = "trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, into in license_scan.TEMPLATES:
+        plain = f"regexp_replace({plain}, {q(pattern)}, {q(into.replace('$1', chr(92) + '1'))})"
+    runs = [(lic, run, "," + "".join(f"{number[x]}," for x in run)) for lic, run in license_scan.RULES]
+    hits = " UNION ".join(f"SELECT doc_id, {q(lic)} AS license FROM seqs WHERE contains(seq, {q(seq)})" for lic, _, seq in runs)
+    longer = " ".join(f"AND NOT (h.license = {q(a)} AND EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND o.license = {q(b)}))"
+                      for a, ra, _ in runs for b, rb, _ in runs if a != b and license_scan._within(ra, rb))
+    reading = lambda k, pattern, into: f"SELECT doc_id, {k} AS k, string_split_regex(regexp_replace(t, {q(pattern)}, {q(into)}, 'g'), '[\r\n]+|[.!?;]+(?:[ \t]+|$)') AS p FROM led"
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), labels(id, label) AS (VALUES {labels}),
-parts AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\r?\n([a-z])', ' \1', 'g'), '[\r\n]+|[.!?;]+(?:[ \t]+|$)') AS p
-          FROM documents WHERE regexp_matches(text, '(?i)licen|permission|copyright|redistribut')),
-each_one AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, p FROM parts),
-found AS (SELECT doc_id, i, id FROM each_one JOIN known ON trim(regexp_replace(lower(p[i]), '[^a-z0-9]+', ' ', 'g')) = sentence
-          WHERE regexp_matches(p[i], '(?i)licen|permission|copyright|redistribut')),
-seqs AS (SELECT doc_id, ',' || string_agg(CAST(f.id AS VARCHAR), ',' ORDER BY i) || ',' AS seq, string_agg(label, ',' ORDER BY i) AS names
-         FROM found f JOIN labels l ON f.id = l.id GROUP BY doc_id),
-hits AS ({" UNION ".join(hits)}),
-per AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n FROM hits GROUP BY doc_id)
-SELECT d.doc_id, coalesce(per.licenses, '') AS licenses, coalesce(seqs.names, '') AS license_sentences, CAST(coalesce(per.n, 0) AS BIGINT) AS n_licenses
-FROM documents d LEFT JOIN seqs ON d.doc_id = seqs.doc_id LEFT JOIN per ON d.doc_id = per.doc_id
+WITH known(sentence, id, label, license) AS (VALUES {values}),
+led AS (SELECT doc_id, regexp_replace(text, {q(license_scan.LEADER)}, '\1', 'g') AS t FROM documents WHERE regexp_matches(text, {q(license_scan.ANCHOR)})),
+parts AS ({reading(0, license_scan.WRAPPED[0], ' ' + chr(92) + '1')} UNION ALL {reading(1, license_scan.WRAPPED[1], chr(92) + '1 ' + chr(92) + '2')}),
+each_one AS (SELECT doc_id, k, i, p[i] AS part FROM (SELECT doc_id, k, unnest(range(1, len(p) + 1)) AS i, p FROM parts) a),
+found AS (SELECT doc_id, k, i, id, label, license FROM (SELECT *, {plain} AS plain FROM each_one WHERE regexp_matches(part, {q(license_scan.ANCHOR)})) e JOIN known ON plain = sentence),
+seqs AS (SELECT doc_id, k, ',' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) || ',' AS seq FROM found GROUP BY doc_id, k),
+hits AS ({hits}), kept AS (SELECT doc_id, license FROM hits h WHERE true {longer} UNION SELECT doc_id, license FROM found WHERE license IS NOT NULL),
+second AS (SELECT doc_id, label, min(i) AS i FROM found f WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.k = 0 AND o.id = f.id) GROUP BY 1, 2),
+told AS (SELECT doc_id, string_agg(label, ',' ORDER BY k, i) AS names FROM (SELECT doc_id, label, 0 AS k, i FROM found WHERE k = 0 UNION ALL SELECT doc_id, label, 1, i FROM second) b GROUP BY doc_id),
+per AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(per.licenses, '') AS licenses, coalesce(told.names, '') AS license_sentences, CAST(coalesce(per.n, 0) AS BIGINT) AS n_licenses
+FROM documents d LEFT JOIN told ON d.doc_id = told.doc_id LEFT JOIN per ON d.doc_id = per.doc_id
 """
 
 
@@ -153,11 +173,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives, and its capture as the index over those archives has it."""
-    at = new_path(spark, "warc")
-    warc.write_warc(table(spark, sf_dir, "pages"), f"{at}/archives")
+    """Every page written to archives, looked up by its URL in their index, and read back by its range."""
+    at, pages = new_path(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write_warc(pages, f"{at}/archives")
     warc.build_index(warc.read_warc(spark, f"{at}/archives"), f"{at}/index")
-    return warc.index_captures(spark, f"{at}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.lookup(spark, f"{at}/index", pages.select(warc.clean(F.col("url")).alias("url")))
+    back = warc.fetch(spark, f"{at}/archives", found)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def _op10_sql() -> str:

@@ -6,7 +6,8 @@ readers of concatenated members pass over.
 
 Index: captures sorted by reversed-host URL key, in compressed blocks; a sparse directory holds each block's first
 key. A lookup finds its shard among the shards' first keys, its block in the shard's directory and its captures in
-the block, each by binary search, and then cuts the record out of the archive by offset and length.
+the block, each by binary search; shards that no key falls into are not read. A fetch then opens the archive, goes to
+the record's offset and reads its length.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK_LINES = 3000
 LEVEL = 4
+#: Bytes of an archive, but for its last record; stretches of an archive that different tasks read from.
+ARCHIVE_BYTES, STRETCH_BYTES = 64 << 20, 16 << 20
 
 
 def base32_digest(sha1_hex: Column) -> Column:
@@ -61,21 +64,23 @@ def revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", min
     return both.select("page_id", "sha1", F.when(~F.col("winner").eqNullSafe(F.col("page_id")), F.col("winner")).alias("refers_to"))
 
 
-def _clean(c: Column) -> Column:
+def clean(c: Column) -> Column:
+    """A URL as a record holds it: null empty, line ends percent-encoded."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r", "%0D"), "\n", "%0A")
 
 
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", captured: str = "2024-01-01T00:00:00Z",
-               min_bytes: int = 0, records_per_file: int = 20000) -> None:
+               min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """A response or revisit record for every row, in gzip members below ``path``.
 
-    Null html is an empty payload, null URLs are empty; line ends inside URLs are percent-encoded. Payloads of
-    fewer than ``min_bytes`` bytes are always responses. Repeated rows give repeated records; other columns are
-    ignored; an empty table writes no record.
+    A task begins a new archive once one has ``archive_bytes``. Null html is an empty payload, null URLs are empty;
+    line ends inside URLs are percent-encoded. Payloads of fewer than ``min_bytes`` bytes are always responses.
+    Repeated rows are one capture written again: their records share an id, and those of the page that others revisit
+    are all responses. Other columns are not read; an empty table writes no record.
     """
     types = revisits(pages, page_id, html, min_bytes)
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), _clean(F.col(url)).alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
+    rows = pages.select(F.col(page_id).alias("page_id"), clean(F.col(url)).alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
     same = rows["page_id"].eqNullSafe(types["page_id"]) & (rows["sha1"] == types["sha1"])
     typed = rows.join(types, same).select(rows["page_id"], "url", "body", rows["sha1"], "refers_to")
     again = F.col("refers_to").isNotNull()
@@ -100,16 +105,18 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     record = typed.withColumn("_block", block).select(F.concat(head, F.col("_block"), F.lit("\r\n\r\n")).cast("binary").alias("record"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for b in batches:
-            out = []
+            out, archive = [], []
             for x in b.column(0):
                 z = zlib.compressobj(LEVEL, wbits=31)
                 out.append(z.compress(x.as_py()) + z.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                archive.append(written // archive_bytes)
+                written += len(out[-1]) + len(EMPTY_MEMBER)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(archive, pa.int32())], ["member", "archive"])
 
-    packed = record.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
-    (packed.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    packed = record.mapInArrow(members, "member binary, archive int").select(F.col("member").cast("string").alias("value"), "archive")
+    packed.write.partitionBy("archive").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def _members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -153,35 +160,46 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     """A row for every record below ``path``: the capture, where it lies, and with ``payload`` its payload.
 
     A response whose payload doesn't have the digest its header states is an error. One task holds one archive at
-    a time, so archives are kept small when written.
+    a time, whose size is bounded when it is written. No archive gives no row.
     """
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
                 for offset, length, content in _members(data.as_py()):
-                    f = parse_record(content)
-                    digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if f["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(f["payload"]).digest()).decode() != digest:
-                        raise ValueError(f"{f['WARC-Record-ID']}: payload and digest differ")
-                    size = len(f["payload"]) if f["WARC-Type"] == "response" else int(f["WARC-X-Payload-Length"])
-                    row = [_page(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Date"], f["WARC-Type"], digest, size, _page(f.get("WARC-Refers-To")), file, offset, length]
-                    rows.append(row + [f["payload"]] * payload)
+                    rows.append(_capture(content) + [file, offset, length])
                     if len(rows) >= 2000:
-                        yield _batch(rows)
+                        yield _batch(rows, payload)
                         rows = []
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(rows, payload)
 
-    names = [x.split()[0] for x in CAPTURE.split(", ")] + ["payload"] * payload
-    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in CAPTURE.split(", ")] + [pa.binary()] * payload
+    return _archives(spark, path).mapInArrow(parse, CAPTURE + (", payload binary" if payload else ""))
 
-    def _batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(parse, CAPTURE + (", payload binary" if payload else ""))
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true")
+    return files.load(path).select("path", "content")
+
+
+def _capture(content: bytes) -> list:
+    """What CAPTURE lists of a record but its place, then its payload; checks a response's digest."""
+    f = parse_record(content)
+    digest, again = f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"] != "response"
+    if not again and base64.b32encode(hashlib.sha1(f["payload"]).digest()).decode() != digest:
+        raise ValueError(f"{f['WARC-Record-ID']}: payload and digest differ")
+    size = int(f["WARC-X-Payload-Length"]) if again else len(f["payload"])
+    return [f["payload"], _page(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Date"], f["WARC-Type"], digest, size, _page(f.get("WARC-Refers-To"))]
+
+
+def _batch(rows: list, payload: bool) -> pa.RecordBatch:
+    """Rows of a payload and CAPTURE's columns as a batch, the payload last or left out."""
+    names = [x.split()[0] for x in CAPTURE.split(", ")]
+    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in CAPTURE.split(", ")]
+    first, *columns = zip(*rows, strict=True)
+    made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(made + ([pa.array(first, pa.binary())] if payload else []), names + ["payload"] * payload)
 
 
 def surt(url: Column) -> Column:
@@ -191,6 +209,9 @@ def surt(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.substring(bare, F.length(host) + 1, F.length(bare)))
 
 
+BLOCKS = "block int, first_key string, last_key string, n int, data binary, shard int"
+
+
 def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES) -> None:
     """Sort captures by (key, time, page) into compressed blocks at ``path``/blocks, and their directory beside it.
 
@@ -219,8 +240,8 @@ def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
             yield pack(pd.concat(held, ignore_index=True), number)
 
     made = ordered.mapInPandas(blocks, "shard int, block int, first_key string, last_key string, n int, data binary")
-    made.write.parquet(f"{path}/blocks")
-    captures.sparkSession.read.parquet(f"{path}/blocks").select("shard", "block", "first_key", "last_key", "n").write.parquet(f"{path}/directory")
+    made.write.partitionBy("shard").parquet(f"{path}/blocks")
+    captures.sparkSession.read.schema(BLOCKS).parquet(f"{path}/blocks").select("shard", "block", "first_key", "last_key", "n").write.parquet(f"{path}/directory")
 
 
 def _unpack(data: bytes) -> pd.DataFrame:
@@ -238,14 +259,15 @@ def index_captures(spark: SparkSession, path: str) -> DataFrame:
             for data in f["data"]:
                 yield _unpack(data).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "offset": "int64", "length": "int64"})
 
-    return spark.read.parquet(f"{path}/blocks").select("data").mapInPandas(decode, "key string, " + CAPTURE)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("data").mapInPandas(decode, "key string, " + CAPTURE)
 
 
 def lookup(spark: SparkSession, path: str, urls: DataFrame, url: str = "url") -> DataFrame:
     """The captures of every URL asked for: (asked, key, capture columns).
 
     The shards' first keys (one short string a shard, as many as the index has partitions) are the top level; a
-    shard's directory meets the keys that fall into it; only blocks named there are decoded.
+    shard's directory meets the keys that fall into it; only blocks named there are decoded. A null URL finds the
+    captures of an empty one; an unknown one, or an empty index, gives no row.
     """
     directory = spark.read.parquet(f"{path}/directory")
     tops = sorted((r["k"], r["last"], r["shard"]) for r in directory.groupBy("shard").agg(F.min("first_key").alias("k"), F.max("last_key").alias("last")).collect())
@@ -273,20 +295,71 @@ def lookup(spark: SparkSession, path: str, urls: DataFrame, url: str = "url") ->
 
     keyed = urls.select(F.col(url).alias("asked"), surt(F.col(url)).alias("key")).distinct()
     routed = keyed.mapInPandas(route, "asked string, key string, shard int")
-    found = routed.groupBy("shard").cogroup(directory.groupBy("shard")).applyInPandas(find, "asked string, key string, shard int, block int")
-    blocks = spark.read.parquet(f"{path}/blocks").select("shard", "block", "data")
+    found = materialize(routed.groupBy("shard").cogroup(directory.groupBy("shard")).applyInPandas(find, "asked string, key string, shard int, block int"), "found")
+    # as many shards as the index has partitions: the others' files are not opened
+    wanted = [r["shard"] for r in found.select("shard").distinct().collect()]
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("shard").isin(wanted)).select("shard", "block", "data")
     return found.join(blocks, ["shard", "block"]).select("asked", "key", "data").mapInPandas(read, "asked string, key string, " + CAPTURE)
 
 
+def _opener(path: str):
+    """A function that opens files like ``path`` for seeking, or None where only Spark's readers reach them."""
+    import re
+
+    from pyarrow import fs
+
+    plain = lambda p: re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", p if re.match("^[a-z0-9]+:/", p) else f"file://{p}"))
+    try:
+        fs.FileSystem.from_uri(plain(path))
+    except (OSError, ValueError, pa.ArrowException):
+        return None
+
+    def opened(p: str):
+        from urllib.parse import unquote
+
+        system, at = fs.FileSystem.from_uri(plain(p))
+        return system.open_input_file(unquote(at) if plain(p).startswith("file:") else at)
+
+    return opened
+
+
 def fetch(spark: SparkSession, archives: str, captures: DataFrame) -> DataFrame:
-    """The payloads of captures, cut out of their archives by offset and length."""
+    """The records of captures (file, offset, length) as CAPTURE's columns and ``payload``, each read by its range.
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [parse_record(next(_members(d[o : o + n]))[2])["payload"] for d, o, n in zip(f["content"], f["offset"], f["length"], strict=True)]
-            yield f.drop(columns="content").assign(payload=got)
+    Captures are dealt by stretches of an archive, so an archive that all ask for is read by many tasks, each going
+    forward through its stretch. Where only Spark's readers reach the archives, those asked for, of bounded size, are
+    read whole and cut instead. A record that differs from its digest is an error.
+    """
+    need = captures.select("file", "offset", "length").distinct()
+    opened, kind = _opener(archives), CAPTURE + ", payload binary"
 
-    need = captures.select("page_id", F.col("file").alias("path"), "offset", "length")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "content")
-    cutout = files.join(need, "path").select("page_id", "offset", "length", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("content"), F.lit(0).alias("at"))
-    return cutout.select("page_id", "content", F.col("at").alias("offset"), "length").mapInPandas(cut, "page_id long, offset long, length long, payload binary")
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, source = None, None
+        for b in batches:
+            rows, held = [], 0
+            for file, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != name:
+                    name, source = file, opened(file)
+                source.seek(offset)
+                content = next(_members(source.read(length)))[2]
+                rows.append(_capture(content) + [file, offset, length])
+                held += len(content)
+                if held >= 32 << 20:
+                    yield _batch(rows, True)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows, True)
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, data, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                data = data.as_py()
+                rows = [_capture(next(_members(data[p["offset"] : p["offset"] + p["length"]]))[2]) + [file, p["offset"], p["length"]] for p in places.as_py()]
+                for at in range(0, len(rows), 1000):
+                    yield _batch(rows[at : at + 1000], True)
+
+    if opened:
+        dealt = need.repartition("file", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset")
+        return dealt.mapInArrow(ranges, kind)
+    places = need.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    return _archives(spark, archives).join(places, "path").select("path", "content", "places").mapInArrow(cuts, kind)
