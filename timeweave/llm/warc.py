@@ -286,12 +286,19 @@ def lookup(spark: SparkSession, path: str, urls: DataFrame, url: str = "url") ->
         return pd.DataFrame(rows, columns=["asked", "key", "shard", "block"])
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each block's row comes before those who ask for it: it is decoded once, and they go past it."""
+        now, lines, keys = None, None, []
         for f in frames:
-            for a, k, data in zip(f["asked"], f["key"], f["data"], strict=True):
-                lines = _unpack(data)
-                keys = list(lines["key"])
-                hit = lines.iloc[bisect.bisect_left(keys, k) : bisect.bisect_right(keys, k)]
-                yield hit.assign(asked=a).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "offset": "int64", "length": "int64"})
+            out = []
+            for shard, block, a, k, data in zip(f["shard"], f["block"], f["asked"], f["key"], f["data"], strict=True):
+                if data is not None:
+                    now, lines = (shard, block), _unpack(data)
+                    keys = list(lines["key"])
+                elif now == (shard, block):
+                    hit = lines.iloc[bisect.bisect_left(keys, k) : bisect.bisect_right(keys, k)]
+                    out.append(hit.assign(asked=a))
+            if out:
+                yield pd.concat(out, ignore_index=True).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "offset": "int64", "length": "int64"})
 
     keyed = urls.select(F.col(url).alias("asked"), surt(F.col(url)).alias("key")).distinct()
     routed = keyed.mapInPandas(route, "asked string, key string, shard int")
@@ -299,7 +306,13 @@ def lookup(spark: SparkSession, path: str, urls: DataFrame, url: str = "url") ->
     # as many shards as the index has partitions: the others' files are not opened
     wanted = [r["shard"] for r in found.select("shard").distinct().collect()]
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("shard").isin(wanted)).select("shard", "block", "data")
-    return found.join(blocks, ["shard", "block"]).select("asked", "key", "data").mapInPandas(read, "asked string, key string, " + CAPTURE)
+    blocks = blocks.join(found.select("shard", "block").distinct(), ["shard", "block"], "left_semi")
+    names = ["shard", "block", "asked", "key", "data"]
+    text = lambda: F.lit(None).cast("string")
+    held = blocks.withColumns({"asked": text(), "key": text()}).select(*names)
+    met = held.unionByName(found.withColumn("data", F.lit(None).cast("binary")).select(*names))
+    dealt = met.repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("data").isNull())
+    return dealt.mapInPandas(read, "asked string, key string, " + CAPTURE)
 
 
 def _opener(path: str):
