@@ -14,7 +14,7 @@ FILLERS = "yeah yes yep right exactly sure absolutely totally okay ok so well um
 CONTINUATIONS = "en de del con para al a que cual cuales donde cuyo cuya lo of in with for to than which whose whom".split()
 ABBREVIATIONS = "sr. sra. dr. dra. vs. etc. ej. p.ej. ud. uds. mr. mrs. e.g. i.e.".split()
 TAGS = "ok okay no vale verdad sí si eh ves sabes cierto right yeah see".split()
-FOLDERS = {"interview": "Interviews", "b-roll": "B-Roll", "screencast": "Screen Recordings", "drone": "Drones & Aerials", "audio": "Music & Audio", "other": "Other"}
+FOLDERS = {"interview": "Interviews", "broll": "B-Roll", "screencast": "Screen Recordings", "drone": "Drones & Aerials", "audio": "Music & Audio", "other": "Other"}
 
 CLOSERS = "[\"'”’»)\\]]+$"
 
@@ -29,6 +29,12 @@ def search_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def content_words(c: Column) -> Column:
+    """Words of four bytes or more that mean something, each once."""
+    words = F.transform(F.split(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}']+"), lambda w: F.lower(F.regexp_replace(w, "^'+|'+$", "")))
+    return F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= 4) & ~w.isin(STOPWORDS)))
+
+
 def query_terms(c: Column) -> Column:
     """Words worth searching, each once in order; all of them if none is."""
     words = search_words(c)
@@ -59,9 +65,10 @@ def shorten(c: Column, n: int) -> Column:
 
 
 def title_of(c: Column, n: int) -> Column:
-    """The text's first n characters up to a word's end; a first word longer than that is cut."""
-    cut = F.regexp_replace(F.substring(c, 1, n + 1), r"\s+\S*$", "")
-    return F.when(F.length(c) <= n, c).otherwise(F.when(F.length(cut) <= n, cut).otherwise(F.substring(c, 1, n)))
+    """The text without stops at its end, or its first n characters up to a word's end and an ellipsis."""
+    t = F.regexp_replace(F.trim(c), "[.!?,;:]+$", "")
+    head = F.substring(t, 1, n)
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.regexp_replace(head, " [^ ]*$", ""), "[,;:]+$", ""), F.lit("…")))
 
 
 def ends_sentence(word: Column) -> Column:
@@ -131,7 +138,7 @@ def folder_of(category: Column) -> Column:
 
 
 def plays_ambience(category: Column, confidence: Column, source: Column) -> Column:
-    return F.lower(category).isin("b-roll", "drone") & ((confidence > 0) | (source == "manual"))
+    return F.lower(category).isin("broll", "drone") & ((confidence > 0) | (source == "manual"))
 
 
 def dbfs(mean_square: Column) -> Column:
@@ -148,6 +155,22 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
+def correct_terms(c: Column, terms: Column) -> Column:
+    """A text with each variant that was heard replaced by its term, whole words in any case, longest variants first.
+
+    ``terms``: array<struct<term, variants array<string>>>, or null for none. What one variant has claimed no other one
+    touches: it is marked first, and terms are put in at the end.
+    """
+    heard = F.flatten(F.transform(terms, lambda t: F.transform(t["variants"], lambda v: F.struct(-F.length(F.trim(v)), -F.octet_length(F.trim(v)), F.trim(v).alias("heard"), F.trim(t["term"]).alias("term")))))
+    pairs = F.transform(F.array_sort(F.filter(heard, lambda p: (p["heard"] != "") & (p["term"] != ""))), lambda p, i: F.struct(p["heard"].alias("heard"), p["term"].alias("term"), i.alias("i")))
+    edge = "\\p{L}\\p{N}\ue000\ue001"
+    mark = lambda p: F.concat(F.lit("\ue000"), p["i"].cast("string"), F.lit("\ue001"))
+    # an escaped variant: \\Q...\\E, a \\E inside it ended and begun again
+    quoted = lambda p: F.concat(F.lit(f"(?iu)(?<![{edge}])\\Q"), F.replace(p["heard"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?![{edge}])"))
+    claimed = F.aggregate(pairs, c, lambda text, p: F.regexp_replace(text, quoted(p), mark(p)))
+    return F.when(F.size(pairs) > 0, F.aggregate(pairs, claimed, lambda text, p: F.replace(text, mark(p), p["term"]))).otherwise(c)
+
+
 def register(spark) -> None:
     """The scalar functions for use from SQL."""
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION norm_text(s STRING) RETURNS STRING RETURN trim(regexp_replace(lower(regexp_replace(s, '[^\\p{L}\\p{N}\\s]', '')), '\\s+', ' '))")

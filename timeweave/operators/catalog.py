@@ -132,9 +132,10 @@ def owners(items: DataFrame, *links: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """A hash of each key's row count, largest id and order-free row hashes: it changes when the rows do."""
-    row = F.xxhash64(*columns).cast("decimal(38,0)")
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("_s"), F.max(columns[0]).alias("_m")).select(key, "n", F.sha2(F.concat_ws("|", "n", "_s", "_m"), 256).alias("fingerprint"))
+    """A hash of each key's row count, largest first column and order-free row hashes: it changes when the rows do."""
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 15), 16, 10).cast("decimal(38,0)")
+    told = F.concat_ws("|", F.count(F.lit(1)), F.max(columns[0]), F.sum(row))
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sha2(told, 256).alias("fingerprint"))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -170,3 +171,13 @@ def merge_glossaries(terms: DataFrame) -> DataFrame:
     first = one.groupBy("project_id", "_k", F.lower("v").alias("_v")).agg(F.min(F.struct("pos", "_p", "v")).alias("x"))
     lists = first.groupBy("project_id", "_k").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("variants"))
     return heads.join(lists, ["project_id", "_k"], "left").select("project_id", "term", F.coalesce("variants", F.array().cast("array<string>")).alias("variants"), "note")
+
+
+def video_glossaries(terms: DataFrame, scoped: DataFrame) -> DataFrame:
+    """(video_id, term, variants, note): the terms of all projects that a video is in, merged, in order of projects."""
+    here = scoped.select("project_id", "video_id").distinct()
+    # a project's place comes before a term's place in it
+    w = Window.partitionBy("video_id").orderBy("project_id", "pos")
+    met = terms.join(here, "project_id").withColumn("pos", F.row_number().over(w))
+    one = met.select(F.col("video_id").alias("project_id"), "pos", "term", "variants", "note")
+    return merge_glossaries(one).withColumnRenamed("project_id", "video_id")

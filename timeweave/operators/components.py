@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeweave.sources.scratch import materialize, release
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes of an edge list that one task has found: what joins them, without the pairs."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = inverse[: len(a)], inverse[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
 def _tidy(edges: DataFrame) -> DataFrame:
     """Undirected edges as (u, v) with u > v, each once."""
     e = edges.where(F.col("u") != F.col("v"))

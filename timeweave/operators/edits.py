@@ -12,11 +12,23 @@ KEY = ("script_id", "clip_index")
 
 
 def flatten_scripts(scripts: DataFrame) -> DataFrame:
-    """Clips of scripts(script_id, beats array<struct<beat_id, clips array<struct<video_id, in_ms, out_ms>>>>) with their place."""
-    beats = scripts.select("script_id", F.posexplode("beats").alias("beat_index", "beat"))
-    clips = beats.select("script_id", "beat_index", "beat.beat_id", F.posexplode("beat.clips").alias("clip_index", "clip")).select("script_id", "beat_index", "beat_id", "clip_index", "clip.*")
+    """Clips of scripts(script_id, beats array<struct<beat_id, clips array<struct<video_id, in_ms, out_ms>>>>) with their
+    place. A beat may have ``card_ms``, a title card shown before its clips."""
+    fields = scripts.schema["beats"].dataType.elementType.fieldNames()
+    card = F.coalesce("beat.card_ms", F.lit(0)) if "card_ms" in fields else F.lit(0)
+    beats = scripts.select("script_id", F.posexplode("beats").alias("beat_index", "beat")).withColumn("_card", card)
+    wb = Window.partitionBy("script_id").orderBy("beat_index").rowsBetween(Window.unboundedPreceding, 0)
+    beats = beats.withColumn("_cards", F.sum("_card").over(wb))
+    clips = beats.select("script_id", "beat_index", "beat.beat_id", "_cards", F.posexplode("beat.clips").alias("clip_index", "clip")).select("script_id", "beat_index", "beat_id", "clip_index", "_cards", "clip.*")
     w = Window.partitionBy("script_id").orderBy("beat_index", "clip_index").rowsBetween(Window.unboundedPreceding, -1)
-    return clips.withColumn("at_ms", F.coalesce(F.sum(F.col("out_ms") - F.col("in_ms")).over(w), F.lit(0)))
+    return clips.withColumn("at_ms", F.coalesce(F.sum(F.col("out_ms") - F.col("in_ms")).over(w), F.lit(0)) + F.col("_cards")).drop("_cards")
+
+
+def flatten_beds(scripts: DataFrame) -> DataFrame:
+    """(script_id, beat_index, beat_id, video_id, in_ms, out_ms, at_ms): the beds of beats that have one, a bed struct."""
+    clips = flatten_scripts(scripts).groupBy("script_id", "beat_index").agg(F.min("at_ms").alias("at_ms"))
+    beds = scripts.select("script_id", F.posexplode("beats").alias("beat_index", "beat")).where("beat.bed IS NOT NULL")
+    return beds.join(clips, ["script_id", "beat_index"], "left").select("script_id", "beat_index", "beat.beat_id", "beat.bed.video_id", "beat.bed.in_ms", "beat.bed.out_ms", "at_ms")
 
 
 def issues(df: DataFrame, rule: str, severity: Column | str, message: Column | str) -> DataFrame:
@@ -54,16 +66,20 @@ def check_shake(clips: DataFrame, windows: DataFrame, max_jerk: float, share: fl
     return issues(got.where(F.col("ms") > (F.col("out_ms") - F.col("in_ms")) * share), "shake", "warning", F.format_string("%d ms shaky", F.col("ms")))
 
 
-def pauses_around(sentences: DataFrame, regions: DataFrame) -> DataFrame:
-    """The pause before and after each sentence from speech regions, 0 inside speech; null at a file's edge."""
+def pauses_around(sentences: DataFrame, regions: DataFrame, videos: DataFrame) -> DataFrame:
+    """(video_id, segment_id, before_ms, after_ms): the pauses around each sentence by the speech regions, 0 inside speech.
+
+    The file's edges bound what no region does: its start at 0, its end at videos(video_id, length_ms).
+    """
     s = sentences.select("video_id", "segment_id", "start_ms", "end_ms")
-    before = asof(s, regions.select("video_id", F.col("end_ms").alias("r_end")), "video_id", "start_ms", "r_end", []).withColumn("before_ms", F.col("start_ms") - F.col("matched_r_end")).drop("matched_r_end")
-    after = asof(before, regions.select("video_id", F.col("start_ms").alias("r_start")), "video_id", "end_ms", "r_start", [], None, "forward").withColumn("after_ms", F.col("matched_r_start") - F.col("end_ms")).drop("matched_r_start")
-    open_at = lambda col: points_in(s.withColumn("_at", F.col(col)), regions.select("video_id", "start_ms", "end_ms"), "video_id", "_at").where(F.col("b_start_ms") < F.col("_at")).select("segment_id").distinct()
-    a = open_at("start_ms").withColumn("_in", F.lit(True))
-    b = open_at("end_ms").withColumn("_out", F.lit(True))
-    got = after.join(a, "segment_id", "left").join(b, "segment_id", "left")
-    return got.select("video_id", "segment_id", F.when(F.col("_in"), 0).otherwise(F.col("before_ms")).alias("before_ms"), F.when(F.col("_out"), 0).otherwise(F.col("after_ms")).alias("after_ms"))
+    r = regions.select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    # the last region begun before a time says whether the time is inside it and, if not, when speech ended
+    got = asof(s.withColumn("_a", F.col("start_ms") - 1), r, "video_id", "_a", "r_start", ["r_end"]).withColumnsRenamed({"matched_r_start": "_s0", "r_end": "_e0"})
+    got = asof(got.withColumn("_b", F.col("end_ms") - 1), r, "video_id", "_b", "r_start", ["r_end"]).withColumnsRenamed({"matched_r_start": "_s1", "r_end": "_e1"})
+    got = asof(got, r, "video_id", "end_ms", "r_start", [], None, "forward").join(videos.select("video_id", "length_ms"), "video_id", "left")
+    before = F.greatest(F.col("start_ms") - F.coalesce("_e0", F.lit(0)), F.lit(0))
+    after = F.when(F.col("_e1") > F.col("end_ms"), 0).otherwise(F.greatest(F.coalesce("matched_r_start", "length_ms") - F.col("end_ms"), F.lit(0)))
+    return got.select("video_id", "segment_id", before.alias("before_ms"), after.alias("after_ms"))
 
 
 def check_references(clips: DataFrame, scope: DataFrame, videos: DataFrame) -> DataFrame:
@@ -73,31 +89,51 @@ def check_references(clips: DataFrame, scope: DataFrame, videos: DataFrame) -> D
     return issues(known.withColumn("_m", bad).where("_m IS NOT NULL"), "reference", "error", F.col("_m"))
 
 
-def edit_metrics(clips: DataFrame, found: DataFrame, speech: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per script: length, error against the target, voices, speech, cut sentences, silent picture, issue counts.
+def edit_metrics(clips: DataFrame, found: DataFrame, speech: DataFrame, targets: DataFrame, beats: DataFrame | None = None, drafts: DataFrame | None = None) -> DataFrame:
+    """Per script: length, error against the target, voices, speech, cut sentences, silent picture, beats without purpose,
+    dropped clips, issue counts, and videos with speech there are.
 
-    clips(script_id, clip_index, video_id, in_ms, out_ms, audio), targets(script_id, target_ms)
+    clips(script_id, clip_index, video_id, in_ms, out_ms, audio), with beat_id where beats are given;
+    targets(script_id, target_ms), beats(script_id, beat_id, purpose, narration, bed_ms), drafts(script_id, clips).
+    Without beats the silent picture is that of muted clips. A beat's purpose counts once: repeated ones, blank ones and
+    those that only name the beat have none.
     """
-    length = F.col("out_ms") - F.col("in_ms")
+    length = F.greatest(F.col("out_ms") - F.col("in_ms"), F.lit(0))
+    muted = F.sum(F.when(F.col("audio") == "mute", length).otherwise(0)).alias("silent_ms")
     said = overlap_join(clips.where("audio = 'source'"), speech.select("video_id", "start_ms", "end_ms"), "video_id", a_cols=("in_ms", "out_ms")).groupBy("script_id").agg(F.sum("overlap_ms").alias("speech_ms"), F.countDistinct("video_id").alias("voices"))
-    base = clips.groupBy("script_id").agg(F.sum(length).alias("total_ms"), F.sum(F.when(F.col("audio") == "mute", length).otherwise(0)).alias("silent_ms"))
+    got = clips.groupBy("script_id").agg(F.sum(length).alias("total_ms"), F.count(F.lit(1)).alias("_clips"), *([] if beats is not None else [muted]))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    seen = found.groupBy("script_id").agg(count(F.col("severity") == "error").alias("errors"), count(F.col("severity") == "warning").alias("warnings"), count(F.col("rule") == "mid_sentence").alias("cuts"))
-    got = base.join(said, "script_id", "left").join(seen, "script_id", "left").join(targets, "script_id", "left")
-    got = got.fillna(0, ["speech_ms", "voices", "errors", "warnings", "cuts"])
+    seen = found.groupBy("script_id").agg(*[count(F.col("severity") == k).alias(n) for k, n in (("error", "errors"), ("warning", "warnings"), ("info", "repairs"))], count(F.col("rule") == "mid_sentence").alias("cuts"))
+    got = got.join(said, "script_id", "left").join(seen, "script_id", "left").join(targets, "script_id", "left")
+    if beats is not None:
+        per = clips.groupBy("script_id", "beat_id").agg(F.sum(length).alias("_b"), F.sum(F.when(F.col("audio") == "source", length).otherwise(0)).alias("_h"))
+        one = beats.join(per, ["script_id", "beat_id"], "left").withColumn("_p", F.trim(F.coalesce("purpose", F.lit(""))))
+        bare = (F.col("_p") == "") | (F.lower("_p") == F.lower(F.trim("beat_id")))
+        again = F.row_number().over(Window.partitionBy("script_id", bare, "_p").orderBy("beat_id")) > 1
+        narrated = F.trim(F.coalesce("narration", F.lit(""))) != ""
+        silent = F.when(narrated, 0).otherwise(F.greatest(F.coalesce("_b", F.lit(0)) - F.coalesce("bed_ms", F.coalesce("_h", F.lit(0))), F.lit(0)))
+        one = one.withColumn("_idle", bare | again).groupBy("script_id").agg(F.sum(silent).alias("silent_ms"), count(F.col("_idle")).alias("purposeless"))
+        got = got.join(one, "script_id", "left")
+    got = got.join(drafts.select("script_id", F.col("clips").alias("_drafted")), "script_id", "left") if drafts is not None else got.withColumn("_drafted", F.lit(None).cast("long"))
+    if "purposeless" not in got.columns:
+        got = got.withColumn("purposeless", F.lit(0).cast("long"))
+    got = got.withColumn("dropped", F.greatest(F.coalesce("_drafted", "_clips") - F.col("_clips"), F.lit(0))).drop("_drafted", "_clips")
+    got = got.fillna(0, ["speech_ms", "voices", "errors", "warnings", "repairs", "cuts", "silent_ms", "purposeless"])
+    there = speech.agg(F.countDistinct("video_id").alias("voices_available"))  # one row
+    got = got.join(F.broadcast(there))
     return got.withColumn("duration_error", F.when(F.col("target_ms") > 0, (F.col("total_ms") - F.col("target_ms")) / F.col("target_ms")))
 
 
 def edit_score(metrics: DataFrame) -> DataFrame:
     """A score from 0 to 100: fixed penalties, each capped, with the parts that cost something."""
+    c = F.col
     cap = lambda name, x, most: (name, F.least(F.coalesce(x, F.lit(0.0)), F.lit(float(most))))
-    silent = F.greatest(F.col("silent_ms") / 1e3 - F.col("total_ms") / 1e4, F.lit(0.0))
+    silent = F.greatest(c("silent_ms") / 1e3 - c("total_ms") / 1e4, F.lit(0.0))
+    # What each fault costs, and at most.
     parts = [
-        cap("errors", F.col("errors") * 30.0, 60),
-        cap("duration", F.least(F.abs("duration_error") / 0.5, F.lit(1.0)) * 60.0, 60),
-        cap("cuts", F.col("cuts") * 6.0, 18),
-        cap("silent", silent / 2.0, 15),
-        cap("warnings", F.col("warnings") * 1.5, 15),
+        cap("errors", c("errors") * 30.0, 60), cap("duration", F.least(F.abs("duration_error") / 0.5, F.lit(1.0)) * 60.0, 60), cap("mid-sentence cuts", c("cuts") * 6.0, 18),
+        cap("dropped clips", c("dropped") * 4.0, 20), cap("silent picture", silent / 2.0, 15), cap("beats without purpose", c("purposeless") * 5.0, 15), cap("warnings", c("warnings") * 1.5, 15),
+        cap("one voice", F.when((c("voices") <= 1) & (c("voices_available") >= 3), 8.0).otherwise(0.0), 8), cap("repairs", c("repairs") * 0.25, 6),
     ]
     total = F.lit(100.0)
     for _, p in parts:
@@ -114,12 +150,16 @@ def scene_mix(ranges: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def snap_edges(clips: DataFrame, sentences: DataFrame, reach: int = 750) -> DataFrame:
-    """In points to the nearest sentence start, out points to the nearest end, within reach; else as they are."""
+    """In points to the nearest sentence start, out points to the nearest end, within reach; else as they are.
+
+    clips may have ``owned_in`` and ``owned_out``: edges that something else has placed and that stay.
+    """
     from timeweave.operators.intervals import nearest
 
     a = nearest(clips, sentences.select("video_id", F.col("start_ms").alias("_s")), "video_id", "in_ms", "_s", [], reach)
     b = nearest(a, sentences.select("video_id", F.col("end_ms").alias("_e")), "video_id", "out_ms", "_e", [], reach)
-    return b.select(*KEY, F.coalesce("matched__s", "in_ms").alias("in_ms"), F.coalesce("matched__e", "out_ms").alias("out_ms"))
+    free = lambda c: ~F.coalesce(c, F.lit(False)) if c in clips.columns else F.lit(True)
+    return b.select(*KEY, F.when(free("owned_in"), F.coalesce("matched__s", "in_ms")).otherwise(F.col("in_ms")).alias("in_ms"), F.when(free("owned_out"), F.coalesce("matched__e", "out_ms")).otherwise(F.col("out_ms")).alias("out_ms"))
 
 
 def srt_text(cues: DataFrame, key: str = "script_id") -> DataFrame:

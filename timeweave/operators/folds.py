@@ -5,10 +5,12 @@ One group is one series and must fit a task; series are many and run in parallel
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.operators.intervals import merge_intervals
@@ -86,20 +88,32 @@ def transcript_windows(segments: DataFrame, key: str, length: int = 30_000, over
     return fold(segments.select(key, "start_ms", "end_ms", "segment_id"), [key], ["start_ms", "segment_id"], "first int, last int, start_ms long, end_ms long", step)
 
 
-FUNCTION_WORDS = frozenset("a an the and or but of to in on at for with from de la el los las un una y o en con por para que".split())
+# Words that a sentence doesn't end on.
+FUNCTION_WORDS = frozenset(
+    "a al como con cuando de del el en entonces es esa ese esta este hay la las lo los me mi muy ni no o para pero por porque que se si sin su sus te tu un una unas unos y ya yo "
+    "an and are as at be because but by for from i if in is it my of on or so that the their then this to was we with you your".split()
+)
 
 
 def sentence_units(segments: DataFrame, key: str, pause: int = 600, hole: int = 6_000, longest: int = 25_000) -> DataFrame:
     """Segments grouped into units that end on punctuation, a pause, a capital, a hole, a microphone change or length."""
 
+    def trimmed(word):
+        kept = [i for i, c in enumerate(word) if c.isalnum()]
+        return word[kept[0] : kept[-1] + 1].lower() if kept else ""
+
+    def opens_upper(text):
+        c = next((c for c in text if c.isalpha() or c in "¿¡"), None)
+        return c is not None and (c.isupper() or c in "¿¡")
+
     def step(rows):
         start = 0
         for i, r in enumerate(rows):
             text = (r.text or "").rstrip()
-            last = text.split()[-1].strip(".,;:!?").lower() if text.split() else ""
+            last = trimmed(text.split()[-1]) if text.split() else ""
             nxt = rows[i + 1] if i + 1 < len(rows) else None
             strong = text.endswith((".", "!", "?", "…"))
-            weak = last not in FUNCTION_WORDS and (nxt is None or nxt.start_ms - r.end_ms >= pause or (nxt.text or "")[:1].isupper())
+            weak = last not in FUNCTION_WORDS and (nxt is None or nxt.start_ms - r.end_ms >= pause or opens_upper(nxt.text or ""))
             forced = r.end_ms - rows[start].start_ms > longest and last not in FUNCTION_WORDS
             split = nxt is None or nxt.start_ms - r.end_ms > hole or bool(nxt.off_mic) != bool(r.off_mic)
             if strong or weak or forced or split:
@@ -135,22 +149,27 @@ def collapse_repeats(segments: DataFrame, key: str, within: int = 60_000) -> Dat
 
 
 def stitch_chunks(segments: DataFrame, key: str, slack: int = 300) -> DataFrame:
-    """Segments of overlapping chunks, without what the chunks before already covered.
+    """Segments of overlapping chunks, without what the chunks before already covered; a start inside it is moved.
 
-    segments(key, chunk, start_ms, end_ms, segment_id)
+    segments(key, chunk, start_ms, end_ms, segment_id), with ``words`` array<struct<text, start_ms, end_ms>> where timed:
+    those whose middle lies within what was covered are dropped, so words at a boundary are kept once. What chunks before
+    covered depends on the chunks only: their ends, a row each, are what meets in a task.
     """
 
-    def step(rows):
-        covered, chunk, edge = -1, None, -1
+    def cover(rows):
+        covered = -1
         for r in rows:
-            if r.chunk != chunk:
-                chunk, edge = r.chunk, covered
-            if r.end_ms <= edge + slack:
-                continue
-            covered = max(covered, r.end_ms)
-            yield r.segment_id, max(r.start_ms, edge), r.end_ms
+            yield r.chunk, covered
+            if covered < 0 or r.last > covered + slack:
+                covered = max(covered, r.last)
 
-    return fold(segments.select(key, "chunk", "start_ms", "end_ms", "segment_id"), [key], ["chunk", "start_ms", "segment_id"], "segment_id long, start_ms long, end_ms long", step)
+    chunks = segments.groupBy(key, "chunk").agg(F.max("end_ms").alias("last")).withColumn("chunk", F.col("chunk").cast("long"))
+    edge = fold(chunks, [key], ["chunk"], "chunk long, _edge long", cover)
+    x = segments.join(edge, [key, "chunk"]).where((F.col("end_ms") > F.col("_edge") + slack) | (F.col("_edge") < 0))
+    out = [F.col(key), F.col("segment_id"), F.greatest("start_ms", "_edge").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")]
+    if "words" in segments.columns:
+        out.append(F.filter("words", lambda t: (t["start_ms"] + t["end_ms"]) / 2 >= F.col("_edge")).alias("words"))
+    return x.select(*out)
 
 
 def chunk_bounds(videos: DataFrame, silences: DataFrame, key: str, every: int, reach: float = 0.2) -> DataFrame:
@@ -171,41 +190,69 @@ def chunk_bounds(videos: DataFrame, silences: DataFrame, key: str, every: int, r
     return fold(rows, [key], ["mid"], "at_ms long", step)
 
 
-def link_tracks(boxes: DataFrame, key: str, least: float = 0.3, expire: int = 1_000) -> DataFrame:
-    """Detections linked to tracks greedily by overlap with each track's last box; a track ends after ``expire``.
+def _alike(a: tuple, b: tuple) -> float:
+    """Cosine of two detections' embeddings, 0 without."""
+    if a[6] is None or b[6] is None:
+        return 0.0
+    n = math.sqrt(sum(u * u for u in a[6]) * sum(v * v for v in b[6]))
+    return sum(u * v for u, v in zip(a[6], b[6], strict=True)) / n if n else 0.0
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    """Intersection over union of two detections' boxes."""
+    w = min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])
+    h = min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])
+    return w * h / (a[4] * a[5] + b[4] * b[5] - w * h) if w > 0 and h > 0 else 0.0
+
+
+def expired(live: dict[int, dict], at: int, expire: int) -> list[dict]:
+    """Takes the tracks out of ``live`` that nothing has matched for longer than ``expire``."""
+    gone = [t for t, x in live.items() if at - x["end_ms"] > expire]
+    return [live.pop(t) for t in gone]
+
+
+def match_boxes(live: dict[int, dict], now: list[tuple], least: float) -> list[tuple[int, int]]:
+    """(box, track) of one instant's detections (at, box, x, y, w, h, embedding); ``live`` is brought up to date."""
+    pairs = []
+    for t, x in live.items():
+        for d in now:
+            if (iou := _shared(x["last"], d)) >= least:
+                pairs.append((-_alike(x["last"], d), -iou, t, d[1], d))
+    chosen: dict[int, int] = {}
+    used: set[int] = set()
+    for _, _, t, box, d in sorted(pairs, key=lambda p: p[:4]):
+        if t not in used and box not in chosen:
+            chosen[box] = t
+            used.add(t)
+            live[t].update(last=d, end_ms=d[0], n=live[t]["n"] + 1)
+    for d in now:
+        if d[1] not in chosen:
+            chosen[d[1]] = d[1]
+            live[d[1]] = {"track": d[1], "last": d, "start_ms": d[0], "end_ms": d[0], "n": 1}
+    return sorted(chosen.items())
 
-    boxes(key, at_ms, box_id, x, y, w, h); the track's number is its first box's id.
-    """
 
-    def iou(a, b):
-        w = min(a.x + a.w, b.x + b.w) - max(a.x, b.x)
-        h = min(a.y + a.h, b.y + b.h) - max(a.y, b.y)
-        return w * h / (a.w * a.h + b.w * b.h - w * h) if w > 0 and h > 0 else 0.0
+def link_tracks(boxes: DataFrame, key: str, least: float = 0.3, expire: int = 1_000) -> DataFrame:
+    """Detections linked to tracks: of boxes that overlap a track's last one, greedily the most alike by the cosine of
+    their embeddings, then those that overlap most; a track ends after ``expire``.
 
+    boxes(key, at_ms, box_id, x, y, w, h, embedding), embeddings perhaps null; the track's number is its first box's id.
+    """
     def step(rows):
-        live: dict[int, object] = {}
-        at = 0
-        while at < len(rows):
-            end = at
-            while end < len(rows) and rows[end].at_ms == rows[at].at_ms:
-                end += 1
-            now = rows[at:end]
-            live = {t: b for t, b in live.items() if now[0].at_ms - b.at_ms <= expire}
-            pairs = sorted(((-iou(b, r), t, r.box_id, r) for t, b in live.items() for r in now if iou(b, r) >= least), key=lambda p: p[:3])
-            got: dict[int, int] = {}
-            used = set()
-            for _, t, b, r in pairs:
-                if t not in used and b not in got:
-                    got[b] = t
-                    used.add(t)
-                    live[t] = r
-            for r in now:
-                track = got.get(r.box_id, r.box_id)
-                live[track] = r
-                yield r.box_id, track
-            at = end
-
-    return fold(boxes, [key], ["at_ms", "box_id"], "box_id long, track long", step)
+        live: dict[int, dict] = {}
+        seen = [(r.at_ms, r.box_id, r.x, r.y, r.w, r.h, None if r.embedding is None else [float(v) for v in r.embedding]) for r in rows]
+        for at, now in itertools.groupby(seen, key=lambda d: d[0]):
+            expired(live, at, expire)
+            yield from match_boxes(live, list(now), least)
+
+    if "embedding" not in boxes.columns:
+        boxes = boxes.withColumn("embedding", F.lit(None).cast("array<double>"))
+    rows = boxes.select(key, "at_ms", "box_id", "x", "y", "w", "h", "embedding")
+    # no track outlives a silence longer than ``expire``, so each stretch between such silences is a group of its own
+    w = Window.partitionBy(key).orderBy("at_ms", "box_id")
+    rows = rows.withColumn("_new", F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) > expire, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return fold(rows, [key, "_stretch"], ["at_ms", "box_id"], "box_id long, track long", step).drop("_stretch")
 
 
 def shots_from_turns(turns: DataFrame, key: str, backchannel: int = 700, gap: int = 800, least: int = 1_500) -> DataFrame:
@@ -296,38 +343,66 @@ def drop_repeats(clips: DataFrame, key: str, order: str, least: int = 100) -> Da
 
 
 def merge_contiguous(clips: DataFrame, key: str, order: str, slack: int = 50, longest: int = 60_000) -> DataFrame:
-    """Back-to-back clips of one video and sound joined while the joined length stays within ``longest``."""
+    """Back-to-back clips of one video joined, whose sound, framing, gain and tracks (all other columns) are equal, while
+    the joined length stays within ``longest``.
+
+    clips(key, order, video_id, in_ms, out_ms, audio, ...). What two neighbours decide is a window; only a run of clips
+    that could all be joined meets in a task. Other columns are those of a joined clip's first one.
+    """
+    rest = [c for c in clips.columns if c not in (key, order, "in_ms", "out_ms")]
+    w = Window.partitionBy(key).orderBy(order)
+    same = F.abs(F.col("in_ms") - F.lag("out_ms").over(w)) <= slack
+    for c in rest:
+        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
+    runs = clips.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     def step(rows):
         out: list[list] = []
         for r in rows:
-            if out and out[-1][1] == r.video_id and out[-1][4] == r.audio and abs(r.in_ms - out[-1][3]) <= slack and r.out_ms - out[-1][2] <= longest:
-                out[-1][3] = r.out_ms
+            if out and r.out_ms - out[-1][1] <= longest:
+                out[-1][2] = r.out_ms
             else:
-                out.append([getattr(r, order), r.video_id, r.in_ms, r.out_ms, r.audio])
+                out.append([getattr(r, order), r.in_ms, r.out_ms])
         return map(tuple, out)
 
-    return fold(clips.select(key, order, "video_id", "in_ms", "out_ms", "audio"), [key], [order], f"{order} long, video_id long, in_ms long, out_ms long, audio string", step)
+    made = fold(runs.select(key, "_run", order, "in_ms", "out_ms"), [key, "_run"], [order], f"{order} long, in_ms long, out_ms long", step)
+    return made.join(clips.select(key, order, *rest), [key, order]).select(key, order, "video_id", "in_ms", "out_ms", *[c for c in rest if c != "video_id"])
 
 
-def plan_times(videos: DataFrame, changes: DataFrame, key: str, thin: int = 500, lead: int = 200, fill: int = 20_000) -> DataFrame:
-    """Sampling times: the start, changes ``thin`` apart shifted by ``lead``, and even points in gaps over ``fill``.
+def plan_times(videos: DataFrame, changes: DataFrame, key: str, thin: int = 500, lead: int = 200, fill: int = 20_000, most: int = 400) -> DataFrame:
+    """Sampling times: a first one a little in, cuts shifted by ``lead`` and other changes as they are, ``thin`` apart,
+    and even points in gaps over ``fill``, thinned evenly to ``most``.
 
-    videos(key, length_ms), changes(key, at_ms)
+    videos(key, length_ms), changes(key, at_ms, kind), kind ``cut`` or other. Only the thinning depends on what was
+    taken before; a video's changes meet in one task.
     """
-    rows = videos.join(changes, key, "left").select(key, "length_ms", "at_ms")
+    first, last = F.least(F.col("length_ms") * 0.05, F.lit(1000.0)), F.greatest(F.col("length_ms") - 50, F.lit(0)).cast("double")
+    v = videos.select(key, F.col("length_ms").cast("double").alias("length_ms")).withColumn("first", F.when(F.col("length_ms") > 0, first).otherwise(0.0)).withColumn("last", last)
+    at = changes.join(v, key).where((F.col("at_ms") > F.col("first")) & (F.col("at_ms") < F.col("last")))
+    at = at.select(key, F.when(F.col("kind") == "cut", F.least(F.col("at_ms") + lead, F.col("last"))).otherwise(F.col("at_ms")).cast("double").alias("t"), F.col("at_ms").cast("double").alias("was"), (F.col("kind") == "cut").cast("int").alias("cut"))
+    rows = at.unionByName(v.select(key, F.col("first").alias("t"), F.lit(-1.0).alias("was"), F.lit(0).alias("cut")))
 
     def step(rows):
-        length, times = rows[0].length_ms, [0]
+        taken = None
         for r in rows:
-            if r.at_ms is not None and r.at_ms + lead < length and r.at_ms + lead - times[-1] >= thin:
-                times.append(r.at_ms + lead)
-        for a, b in zip(times, [*times[1:], length], strict=True):
-            yield (a,)
-            parts = -(-(b - a) // fill)
-            yield from ((a + (b - a) * i // parts,) for i in range(1, parts))
-
-    return fold(rows, [key], ["at_ms"], "at_ms long", step)
+            if taken is None or r.t - taken >= thin:
+                taken = r.t
+                yield (r.t,)
+
+    picks = fold(rows, [key], ["was", "cut", "t"], "at_ms double", step).join(v, key)
+    w = Window.partitionBy(key).orderBy("at_ms")
+    gap = F.coalesce(F.lead("at_ms").over(w), F.col("length_ms")) - F.col("at_ms")
+    parts = F.when(gap > fill, F.ceil(gap / fill)).otherwise(1).cast("int")
+    filled = picks.withColumn("_gap", gap).withColumn("_n", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    t = F.col("at_ms") + F.col("_gap") * F.col("_k") / F.col("_n")
+    filled = filled.select(key, t.alias("at_ms"), "last", "_k").where((F.col("_k") == 0) | (F.col("at_ms") < F.col("last")))
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    filled = filled.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
+    # the i-th of ``most`` is the floor(i * n / most)-th of all
+    i = F.ceil(F.col("_i") * most / F.col("_n"))
+    kept = (F.col("_n") <= most) | ((F.floor(i * F.col("_n") / most) == F.col("_i")) & (i < most))
+    return filled.where(kept).select(key, F.round("at_ms", 3).alias("at_ms"))
 
 
 def assign_links(corr: DataFrame, key: str, least: float = 0.02) -> DataFrame:
@@ -337,8 +412,6 @@ def assign_links(corr: DataFrame, key: str, least: float = 0.02) -> DataFrame:
     """
 
     def step(rows):
-        import math
-
         free_v, free_f = {r.voice for r in rows}, {r.face for r in rows}
         for r in sorted(rows, key=lambda r: (-(r.corr if r.corr is not None else -9), r.voice, r.face)):
             if r.corr is None or r.corr < least or r.voice not in free_v or r.face not in free_f:

@@ -110,8 +110,10 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], gap: int, label: str | N
 
 def complement(ranges: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Parts of each range that no span covers, longest first (``position`` from 1)."""
-    inside = spans.join(ranges.select(*keys, F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")), list(keys))
-    cut = inside.select(*keys, F.greatest("start_ms", "_s").alias("start_ms"), F.least("end_ms", "_e").alias("end_ms")).where("end_ms > start_ms")
+    # the ranges of a key may be many: they meet the spans by buckets
+    one, two = (x.withColumn("_key", F.struct(*keys)) for x in (ranges, spans))
+    inside = overlap_join(one.select(*keys, "_key", "start_ms", "end_ms"), two.select("_key", "start_ms", "end_ms"), "_key")
+    cut = inside.select(*keys, F.greatest("start_ms", "b_start_ms").alias("start_ms"), F.least("end_ms", "b_end_ms").alias("end_ms")).distinct()
     merged = merge_intervals(cut, keys, 0).select(*keys, "start_ms", "end_ms")
     ends = ranges.select(*keys, F.col("start_ms"), F.col("start_ms").alias("end_ms")).unionByName(ranges.select(*keys, F.col("end_ms").alias("start_ms"), F.col("end_ms")))
     order = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")

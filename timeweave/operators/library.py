@@ -8,16 +8,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeweave.functions.text import search_words, sentence_ref, title_of
+from timeweave.functions.text import CONNECTIVES, CONTINUATIONS, REPLIES, bare, ends_on_tag, search_words, sentence_ref, title_of
 
-MEDIA = r"(?i)\.(mp4|mov|mkv|avi|webm|m4v|mts|m2ts|mxf|wav|mp3|m4a|aac|flac|ogg)$"
+# Extensions of videos, folders of editors' own files, and ends of proxies' names.
+EXTENSIONS = "mp4 m4v mov mkv webm avi wmv flv mts m2ts ts mxf mpg mpeg 3gp".split()
+IGNORED_DIRS = (
+    "adobe premiere pro preview files", "adobe premiere pro video previews", "adobe premiere pro audio previews", "adobe premiere pro auto-save", "adobe after effects auto-save", "media cache files",
+    "media cache", "peak files", "cacheclip", "proxymedia", "optimizedmedia", "render files", "transcoded media", "proxy media", "analysis files", "proxies", "proxy",
+)
+PROXY_ENDS = ("_proxy", "-proxy", ".proxy", "_prx", " proxy")
+
+
+def is_media(path: Column) -> Column:
+    """Whether a path (or URL) names a video that is no hidden file, proxy, or file of an editor's own folder."""
+    parts = F.split(F.lower(path), "/")
+    name, dirs = F.element_at(parts, -1), F.slice(parts, F.lit(1), F.size(parts) - 1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    own = F.exists(dirs, lambda d: d.startswith(".") | d.endswith(".prv") | d.isin(*IGNORED_DIRS))
+    proxy = F.lit(False)
+    for end in PROXY_ENDS:
+        proxy = proxy | stem.endswith(end)
+    return F.regexp_extract(name, r"\.([^.]*)$", 1).isin(*EXTENSIONS) & ~name.startswith(".") & ~proxy & ~own
 
 
 def list_media(spark: SparkSession, roots: Sequence[str], recursive: bool = True) -> DataFrame:
-    """Media files below the roots by name, hidden and proxy ones left out; contents aren't read."""
+    """Videos below the roots by name, hidden, proxy and editors' own ones left out; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(list(roots))
-    name = F.regexp_extract("path", r"[^/]+$", 0)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).where(name.rlike(MEDIA) & ~name.startswith(".") & ~F.col("path").rlike(r"(?i)/(\.[^/]+|proxies|proxy|cache)/"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).where(is_media(F.replace("path", F.lit("%20"), F.lit(" "))))
 
 
 def read_trace(spark: SparkSession, path: str, schema: str, after: int) -> DataFrame:
@@ -75,21 +92,76 @@ def chapters_from_boundaries(sentences: DataFrame, key: str, boundary: str, titl
     return got.withColumn("title", title_of(F.col("_t"), title)).drop("_t")
 
 
-def clip_candidates(units: DataFrame, key: str, least: int, most: int, score: Callable[[], Column], ahead: int = 30) -> DataFrame:
+def clip_candidates(units: DataFrame, key: str, least: int, most: int, score: Callable[[], Column]) -> DataFrame:
     """For each unit as a start the best end: a range of ``least`` to ``most`` ms of whole units, later ends win ties.
 
-    A window collects the ``ahead`` units that follow, so nothing is joined to itself. ``score`` is an expression over
-    ``s`` (first unit) and ``e`` (last unit), structs of the units' columns, and ``n`` (units).
+    A window collects the units that begin within ``most`` of a start, however many they are, so nothing is joined to
+    itself. ``score`` is an expression over ``s`` (first unit) and ``e`` (last unit), structs of the units' columns, and
+    ``n`` (units); a null score is no candidate.
     """
     w = Window.partitionBy(key).orderBy("start_ms", "unit_id")
+    x = units.withColumn("_i", F.row_number().over(w))
     unit = F.struct(*units.columns)
-    spread = units.withColumn("s", unit).withColumn("_next", F.collect_list(unit).over(w.rowsBetween(0, ahead)))
-    ends = spread.select(key, "s", F.posexplode("_next").alias("_p", "e")).withColumn("n", F.col("_p") + 1)
-    ends = ends.where((F.col("e.end_ms") - F.col("s.start_ms")).between(least, most)).withColumn("score", score())
-    best = ends.groupBy(key, F.col("s.unit_id").alias("unit_id"), F.col("s.start_ms").alias("start_ms")).agg(F.max(F.struct("score", F.col("e.end_ms").alias("end_ms"), "n")).alias("b"))
+    ahead = Window.partitionBy(key).orderBy("start_ms").rangeBetween(0, most)
+    spread = x.withColumn("s", unit).withColumn("_next", F.collect_list(F.struct("_i", unit.alias("e"))).over(ahead)).withColumn("_e", F.explode("_next"))
+    ends = spread.select(key, "s", F.col("_e.e").alias("e"), (F.col("_e._i") - F.col("_i") + 1).alias("n")).where("n > 0")
+    ends = ends.where((F.col("e.end_ms") - F.col("s.start_ms")).between(least, most)).withColumn("score", score()).where("score IS NOT NULL")
+    best = ends.groupBy(key, F.col("s.unit_id").alias("unit_id"), F.col("s.start_ms").alias("start_ms")).agg(F.max(F.struct("score", "n", F.col("e.end_ms").alias("end_ms"))).alias("b"))
     return best.select(key, "unit_id", "start_ms", "b.end_ms", "b.n", "b.score")
 
 
+# A hole in the transcript, a gap after which an opening needs nothing before it, one after which a
+# sentence opens anew, the share of a clip that may be shaky.
+HOLE, FRESH, CLEAN_GAP, CONTINUES_GAP, SHAKY_SHARE = 6_000, 3_000, 600, 1_500, 0.5
+
+
+def scored_clips(units: DataFrame, shaky: DataFrame, least: int, most: int) -> DataFrame:
+    """(video_id, unit_id, start_ms, end_ms, n, score): the best clip from each sentence unit that may open one.
+
+    units(video_id, unit_id, start_ms, end_ms, text, speakers array, off_mic, strong), shaky(video_id, start_ms, end_ms)
+    without overlaps. A clip opens on no off-mic line nor on the rest of a thought, ends before anybody off the
+    microphone or a hole, holds a word a second, and is at most half shaky. Sentence ends and clean openings raise its
+    score; replies, connectives, unanswered questions, shake and odd lengths lower it.
+    """
+    w = Window.partitionBy("video_id").orderBy("start_ms", "unit_id")
+    first, second = bare(F.regexp_extract("text", r"^\s*(\S+)", 1)), bare(F.regexp_extract("text", r"^\s*\S+\s+(\S+)", 1))
+    gap = F.col("start_ms") - F.lag("end_ms").over(w)
+    continues = F.when(first == "lo", second == "cual").otherwise(first.isin(*CONTINUATIONS))
+    x = units.withColumn("gap", gap).withColumn("off", F.coalesce("off_mic", F.lit(False)))
+    x = x.withColumn("barred", F.col("off") | F.coalesce((F.col("gap") < CONTINUES_GAP) & F.lag("speakers").over(w).eqNullSafe(F.col("speakers")) & continues, F.lit(False)))
+    x = x.withColumn("clean", F.col("gap").isNull() | F.coalesce(F.lag("strong").over(w), F.lit(False)) | (F.col("gap") >= CLEAN_GAP))
+    lead_in = F.when(F.col("gap").isNull() | (F.col("gap") >= FRESH), 0.0).when(first.isin(*REPLIES), -2.5).when(first.isin(*CONNECTIVES), -1.0).otherwise(0.0)
+    x = x.withColumn("lead_in", lead_in)
+    asks = F.rtrim("text").endswith("?") & ~ends_on_tag(F.col("text")) & (F.lead("start_ms").over(w) - F.col("end_ms") < FRESH) & ~F.lead("speakers").over(w).eqNullSafe(F.col("speakers"))
+    x = x.withColumn("asks", F.coalesce(asks, F.lit(False)))
+    # what breaks a clip is counted up to each unit: a clip has none of it where both ends count alike
+    words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda v: v != ""))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("breaks", F.sum((F.col("off") | F.coalesce(F.col("gap") > HOLE, F.lit(False))).cast("int")).over(upto)).withColumn("words", F.sum(words).over(upto)).withColumn("own", words)
+    from timeweave.operators.intervals import asof
+
+    # shaky time before an instant: that of all spans begun before it, less what of the last one lies after it
+    sw = Window.partitionBy("video_id").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0)
+    spans = shaky.select("video_id", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"), F.sum(F.col("end_ms") - F.col("start_ms")).over(sw).alias("sum"))
+    for side in ("start_ms", "end_ms"):
+        x = asof(x, spans, "video_id", side, "t0", ["t1", "sum"])
+        x = x.withColumn(f"shaky_{side}", F.coalesce(F.col("sum") - F.greatest(F.col("t1") - F.col(side), F.lit(0)), F.lit(0))).drop("matched_t0", "t1", "sum")
+    s, e = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"e.{c}"))
+
+    def score() -> Column:
+        length = e("end_ms") - s("start_ms")
+        said, shake = e("words") - s("words") + s("own"), e("shaky_end_ms") - s("shaky_start_ms")
+        fits = ~s("barred") & (e("breaks") == s("breaks")) & ~e("off") & (said * 1000 >= length)
+        total = (
+            F.when(e("strong"), 1.0).otherwise(0.3) + F.when(s("clean"), 0.5).otherwise(0.0) + s("lead_in") - F.when(e("asks"), 2.0).otherwise(0.0)
+            - F.when(shake > length * SHAKY_SHARE, 2.0).when(shake > 0, 0.4).otherwise(0.0) - F.abs(length - (least + most) / 2) / max(most - least, 1000) * 0.6
+        )
+        return F.when(fits, F.struct(F.round(total, 2).alias("total"), (shake <= length * SHAKY_SHARE).alias("steady")))
+
+    got = clip_candidates(x, "video_id", least, most, score)
+    return got.where("score.steady").select("video_id", "unit_id", "start_ms", "end_ms", "n", F.col("score.total").alias("score"))
+
+
 def best_face(boxes: DataFrame, key: str) -> DataFrame:
     """The face of each key that isn't cut off and has most sharpness times height times score, ties to the smaller id."""
     worth = F.col("sharpness") * F.col("h") * F.col("score")
@@ -155,17 +227,19 @@ def embed(df: DataFrame, ident: str, text: str, model: Callable[[list[str]], lis
 
 
 def faces_on_screen(boxes: DataFrame, spans: DataFrame, key: str, per_second: float = 5.0, least: float = 0.1) -> DataFrame:
-    """Per span and track: median place and height, tenth and ninetieth percentile of x, presence; faint ones left out."""
+    """Per span and track: median place and height, tenth and ninetieth percentile of x, the share cut off by the
+    picture's edge, presence; faint ones left out. boxes(key, at_ms, track_id, x, h, cut_off)"""
     from timeweave.operators.intervals import points_in
-    from timeweave.operators.series import nearest_rank, upper_median
+    from timeweave.operators.series import nearest_rank_of, upper_median_of
 
-    met = points_in(boxes, spans, key, "at_ms")
+    met = points_in(boxes, spans, key, "at_ms").withColumnRenamed("b_span_id", "span_id")
+    keys = ["span_id", "track_id"]
     expected = (F.first("b_end_ms") - F.first("b_start_ms")) / 1000.0 * per_second
-    got = met.groupBy(F.col("b_span_id").alias("span_id"), "track_id").agg(
-        upper_median(F.collect_list("x")).alias("x"), upper_median(F.collect_list("h")).alias("h"), nearest_rank(F.collect_list("x"), 0.1).alias("x10"), nearest_rank(F.collect_list("x"), 0.9).alias("x90"),
-        F.least(F.lit(1.0), F.count(F.lit(1)) / expected).alias("presence"),
-    )
-    return got.where(F.col("presence") >= least)
+    got = met.groupBy(*keys).agg(F.least(F.lit(1.0), F.count(F.lit(1)) / expected).alias("presence"), F.avg(F.coalesce("cut_off", F.lit(False)).cast("double")).alias("cut_share"))
+    got = got.where(F.col("presence") >= least)
+    for one in (upper_median_of(met, keys, "x", "x"), upper_median_of(met, keys, "h", "h"), nearest_rank_of(met, keys, "x", {"x10": 0.1, "x90": 0.9})):
+        got = got.join(one, keys, "left")
+    return got
 
 
 def apply_selection(df: DataFrame, key: str, chosen: DataFrame | None) -> DataFrame:
@@ -188,18 +262,26 @@ def on_mic_span(ranges: DataFrame, segments: DataFrame, ident: Sequence[str], co
     return got.select(*ident, F.greatest(F.col("_s"), F.col(cols[0])).alias(cols[0]), F.least(end, F.col("_e")).alias(cols[1]))
 
 
-def quotable_runs(segments: DataFrame, key: str, least: int, most: int, ahead: int = 12) -> DataFrame:
-    """The longest run from each segment that ends a sentence, within the length limits and without a hole of 2 s."""
-    from timeweave.functions.text import ends_sentence, last_word
+# Shortest and longest quote, its words and those of its last sentence.
+QUOTE_MS, LONGEST_QUOTE_MS, QUOTE_WORDS, LAST_WORDS = 4_000, 12_000, 10, 4
+
 
+def quotable_runs(segments: DataFrame, key: str, least: int = QUOTE_MS, most: int = LONGEST_QUOTE_MS, words: int = QUOTE_WORDS, last_words: int = LAST_WORDS) -> DataFrame:
+    """(key, segment_id, start_ms, end_ms, breaks): the longest run from each segment that ends a sentence.
+
+    A run has a length within the limits, ``words`` words at least and ``last_words`` in its last segment; ``breaks`` are
+    the ends of segments inside it. Of a start only the segments begun within ``most`` of it are looked at, all of them.
+    """
     w = Window.partitionBy(key).orderBy("start_ms", "segment_id")
-    gap = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(w), F.lit(0)) > 2_000
-    marked = segments.withColumn("_hole", gap).withColumn("_run", F.sum(F.col("_hole").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_ends", ends_sentence(last_word(F.col("text"))))
-    near = Window.partitionBy(key, "_run").orderBy("start_ms", "segment_id").rowsBetween(0, ahead)
-    spread = marked.withColumn("_next", F.collect_list(F.struct("end_ms", "segment_id", "_ends")).over(near)).withColumn("_e", F.explode("_next"))
-    ok = spread.where(F.col("_e._ends") & (F.col("_e.end_ms") - F.col("start_ms")).between(least, most))
-    return ok.groupBy(key, "segment_id", "start_ms").agg(F.max("_e.end_ms").alias("end_ms"))
+    n = F.size(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda v: v != ""))
+    x = segments.select(key, "segment_id", "start_ms", "end_ms", F.row_number().over(w).alias("i"), n.alias("own"), F.coalesce(F.rtrim("text").rlike("[.!?]$"), F.lit(False)).alias("ends"))
+    x = x.withColumn("upto", F.sum("own").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = Window.partitionBy(key).orderBy("start_ms").rangeBetween(0, most - 1)
+    x = x.withColumn("_next", F.filter(F.collect_list(F.struct("i", "end_ms", "own", "ends", "upto", "start_ms")).over(ahead), lambda e: e["i"] >= F.col("i")))
+    fits = lambda e: e["ends"] & (e["own"] >= last_words) & (e["end_ms"] - F.col("start_ms")).between(least, most) & (e["upto"] - F.col("upto") + F.col("own") >= words)
+    x = x.withColumn("_e", F.element_at(F.array_sort(F.filter("_next", fits)), -1)).where("_e IS NOT NULL")
+    inner = F.transform(F.filter("_next", lambda e: (e["i"] <= F.col("_e.i")) & (e["end_ms"] < F.col("_e.end_ms") - 10) & (e["end_ms"] > F.col("start_ms"))), lambda e: e["end_ms"])
+    return x.select(key, "segment_id", "start_ms", F.col("_e.end_ms").alias("end_ms"), F.array_sort(inner).alias("breaks"))
 
 
 def names_from_introductions(segments: DataFrame, people: DataFrame) -> DataFrame:
@@ -222,8 +304,48 @@ def enrich_hits(hits: DataFrame, videos: DataFrame, frames: DataFrame, reach: in
 
 
 def outline(videos: DataFrame, chapters: DataFrame, lines: DataFrame) -> DataFrame:
-    """(project_id, outline): nested videos, chapters and standout lines, in order, as one array a project."""
-    at = lines.join(chapters.select("video_id", "chapter", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")), "video_id").where("start_ms >= _s AND start_ms < _e")
-    said = at.groupBy("video_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("start_ms", "text"))).alias("lines"))
+    """One row a video of a project: (project_id, video_id, path, chapters), chapters with their standout lines in order.
+
+    videos(project_id, video_id, path), chapters(video_id, chapter, start_ms, end_ms, title), lines(video_id, start_ms,
+    text). Lines meet chapters by buckets. A project's outline is the rows of it in order: it has no size limit, so it
+    is no array in one cell.
+    """
+    from timeweave.operators.intervals import points_in
+
+    at = points_in(lines, chapters.select("video_id", "chapter", "start_ms", "end_ms"), "video_id", "start_ms")
+    said = at.groupBy("video_id", F.col("b_chapter").alias("chapter")).agg(F.array_sort(F.collect_list(F.struct("start_ms", "text"))).alias("lines"))
     each = chapters.join(said, ["video_id", "chapter"], "left").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "chapter", "title", "lines"))).alias("chapters"))
-    return videos.join(each, "video_id", "left").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("video_id", "path", "chapters"))).alias("outline"))
+    return videos.join(each, "video_id", "left").select("project_id", "video_id", "path", "chapters")
+
+
+DETAILS = ("full", "medium", "titles")
+
+
+def outline_text(outlines: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(project_id, video_id, detail, text): each video's outline, a project's all at the richest detail that fits.
+
+    ``full`` has chapters and standout lines, ``medium`` chapters with the first line, ``titles`` chapter titles; where
+    even these don't fit, ``max_chars`` is dealt to the project's videos in order and what is past it cut.
+    """
+    clock = lambda ms: F.format_string("%d:%02d", F.floor(ms / 60000), F.floor(F.pmod(ms, F.lit(60000)) / 1000))
+    none = F.array().cast("array<struct<start_ms:bigint,text:string>>")
+
+    def told(detail: str) -> Column:
+        def one(c: Column) -> Column:
+            said = F.coalesce(c["lines"], none)
+            said = {"full": said, "medium": F.slice(said, 1, 1), "titles": none}[detail]
+            lines = F.transform(said, lambda s: F.concat(F.lit("    - "), F.trim(s["text"]), F.lit("\n")))
+            return F.concat(F.lit("  "), clock(c["start_ms"]), F.lit(" "), F.coalesce(c["title"], F.lit("")), F.lit("\n"), F.array_join(lines, ""))
+
+        return F.concat(F.coalesce("path", F.lit("")), F.lit("\n"), F.array_join(F.transform(F.coalesce("chapters", F.array().cast(outlines.schema["chapters"].dataType)), one), ""))
+
+    x = outlines.select("project_id", "video_id", *[told(d).alias(d) for d in DETAILS])
+    if max_chars is None:
+        return x.select("project_id", "video_id", F.lit("full").alias("detail"), F.col("full").alias("text"))
+    w = Window.partitionBy("project_id")
+    before = w.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({f"_{d}": F.sum(F.length(d)).over(w) for d in DETAILS}).withColumn("_at", F.coalesce(F.sum(F.length("titles")).over(before), F.lit(0)))
+    left = F.greatest(F.lit(max_chars) - F.col("_at"), F.lit(0)).cast("int")
+    detail = F.when(F.col("_full") <= max_chars, "full").when(F.col("_medium") <= max_chars, "medium").otherwise("titles")
+    text = F.when(F.col("_full") <= max_chars, F.col("full")).when(F.col("_medium") <= max_chars, F.col("medium")).otherwise(F.substring("titles", F.lit(1), left))
+    return x.select("project_id", "video_id", detail.alias("detail"), text.alias("text"))

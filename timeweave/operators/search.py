@@ -5,12 +5,17 @@ Queries are a table; one query is a table of one row. Scope is applied before an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import query_terms, search_words
+from timeweave.operators.vectors import matrix
+from timeweave.sources.scratch import materialize
 
 K1, B, RRF_K = 1.2, 0.75, 60
 MERGE_GAP_MS, LONGEST_MOMENT_MS = 10_000, 60_000
@@ -23,10 +28,15 @@ def fold_case(c: Column) -> Column:
 
 
 def build_postings(chunks: DataFrame, ident: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths): postings(term, ident, tf, positions), lengths(ident, n)."""
-    tokens = chunks.select(ident, F.posexplode(search_words(fold_case(F.col(text)))).alias("pos", "term"))
+    """(postings, lengths): postings(term, ident, tf, positions), lengths(ident, n), both written once.
+
+    Postings lie sorted by term, so a search for some terms reads the parts of the files that hold them.
+    """
+    words = search_words(fold_case(F.col(text)))
+    tokens = chunks.select(ident, F.posexplode(words).alias("pos", "term"))
     postings = tokens.groupBy("term", ident).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return postings, tokens.groupBy(ident).agg(F.count(F.lit(1)).alias("n"))
+    lengths = chunks.select(ident, F.size(words).cast("long").alias("n")).where("n > 0").groupBy(ident).agg(F.sum("n").alias("n"))
+    return materialize(postings.repartition("term").sortWithinPartitions("term", ident), "postings"), materialize(lengths, "lengths")
 
 
 def keyword_candidates(queries: DataFrame, postings: DataFrame, lengths: DataFrame, scope: DataFrame | None = None, ident: str = "chunk_id", limit: int = 200) -> DataFrame:
@@ -42,11 +52,14 @@ def keyword_candidates(queries: DataFrame, postings: DataFrame, lengths: DataFra
     folded = queries.select("query_id", fold_case(F.col("text")).alias("text"))
     terms = folded.select("query_id", F.explode(query_terms(F.col("text"))).alias("q"))
     counts = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    vocabulary = postings.select("term").distinct()
     asked = terms.select("q").distinct()
+    vocabulary = postings.select("term").distinct()
     long = asked.where(F.length("q") >= 4).withColumn("_h", F.substring("q", 1, 4))
     prefixed = long.join(vocabulary.withColumn("_h", F.substring("term", 1, 4)), "_h").where(F.col("term").startswith(F.col("q"))).select("q", "term")
-    expanded = prefixed.unionByName(asked.where(F.length("q") < 4).select("q", F.col("q").alias("term")))
+    expanded = materialize(prefixed.unionByName(asked.where(F.length("q") < 4).select("q", F.col("q").alias("term"))), "expanded")
+    hit_terms = expanded.select("term").union(folded.select(F.explode(search_words(F.col("text"))))).distinct()
+    # only the postings of terms that somebody asks for go any further
+    postings = materialize(postings.join(hit_terms, "term", "left_semi"), "hits")
     per = postings.join(expanded, "term").groupBy("q", ident).agg(F.sum("tf").alias("tf"))
     stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).first()
     docs, mean = stats["docs"] or 0, float(stats["mean"] or 1.0)
@@ -69,36 +82,43 @@ def keyword_candidates(queries: DataFrame, postings: DataFrame, lengths: DataFra
     return kept.select("query_id", ident, "tier", "score", F.row_number().over(order).cast("long").alias("rank"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, scope: DataFrame | None = None, ident: str = "vec_id", block_rows: int = 16_384, chunk_rows: int = 2_048) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, scope: DataFrame | None = None, ident: str = "vec_id", chunk_rows: int = 2_048) -> DataFrame:
     """(query_id, ident, distance, rank): the exact k nearest by Euclidean distance within the scope.
 
-    queries(query_id, embedding), vectors(ident, embedding). Vectors are dealt to blocks and queries to chunks; a
-    task meets one of each and returns k rows a query.
+    queries(query_id, embedding), vectors(ident, embedding). Queries are broadcast ``chunk_rows`` at a time, each time
+    in one pass over the vectors where they lie; a task returns its k nearest rows a query, and nothing is copied.
     """
     if scope is not None:
         vectors = vectors.join(scope.select(ident), ident, "left_semi")
-    blocks, chunks = max(1, -(-vectors.count() // block_rows)), max(1, -(-queries.count() // chunk_rows))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("query_id"), F.col("embedding").alias("qv"), deal("query_id", chunks).alias("c")).withColumn("b", many(blocks))
-    right = vectors.select(F.col(ident).alias("id"), F.col("embedding").alias("v"), deal(ident, blocks).alias("b")).withColumn("c", many(chunks))
-
-    def near(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64"})
-        x, ids = np.stack(v["v"].to_numpy()).astype(float), v["id"].to_numpy()
-        out = []
-        for qid, e in zip(q["query_id"], q["qv"], strict=True):
-            dist = np.sqrt(((x - np.asarray(e, float)) ** 2).sum(axis=1))
-            top = np.lexsort((ids, dist))[:k]
-            out.append(pd.DataFrame({"query_id": qid, "id": ids[top], "distance": dist[top]}))
-        return pd.concat(out, ignore_index=True)
-
-    # plain names on both sides: the two tables may stem from one
-    left, right = left.toDF("query_id", "qv", "c", "b"), right.toDF("id", "v", "b", "c")
-    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(near, "query_id long, id long, distance double")
+    rows = vectors.select(F.col(ident).cast("long").alias("id"), "embedding").where("embedding IS NOT NULL")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where("embedding IS NOT NULL")
+    out = None
+    chunks = max(1, -(-asked.count() // chunk_rows))
+    for c in range(chunks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c).toArrow()
+        names = np.asarray(some.column(0).combine_chunks())
+        held = rows.sparkSession.sparkContext.broadcast((names, matrix(some.column(1)) if some.num_rows else np.zeros((0, 1))))
+
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, q = held.value
+            ids, dist = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for b in batches:
+                if not b.num_rows or not len(q):
+                    continue
+                x, own = matrix(b.column(1)), np.asarray(b.column(0))
+                for at in range(0, len(x), 1024):  # differences, not products: distances are exact
+                    part = x[at : at + 1024]
+                    d = np.stack([np.sqrt(((part - e) ** 2).sum(axis=1)) for e in q])
+                    ids, dist = np.concatenate([ids, np.tile(own[at : at + 1024], (len(q), 1))], axis=1), np.concatenate([dist, d], axis=1)
+                    order = np.lexsort((ids, dist), axis=1)[:, :k]
+                    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+            if ids.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.reshape(-1)), pa.array(dist.reshape(-1))], ["query_id", "id", "distance"])
+
+        one = rows.mapInArrow(near, "query_id long, id long, distance double")
+        out = one if out is None else out.unionByName(one)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).withColumnRenamed("id", ident)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).withColumnRenamed("id", ident)
 
 
 def rrf(rankings: list[tuple[str, DataFrame]], ident: str = "chunk_id", k: int = RRF_K) -> DataFrame:

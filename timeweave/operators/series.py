@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.operators.intervals import asof
+
 
 def nearest_rank(values: Column, p: float) -> Column:
     """The value at rank round((n - 1) * p) of an array, nulls left out."""
@@ -20,6 +22,27 @@ def upper_median(values: Column) -> Column:
     return F.when(F.size(s) > 0, F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int")))
 
 
+def upper_median_of(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
+    """(*keys, into): the value at position n / 2, counted from 0, of every key's values in order, nulls left out.
+
+    Values are counted before they are ranked, so a key with very many rows has as many as it has distinct values.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = per.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(w))
+    return ranked.where(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*keys).agg(F.min("_v").alias(into))
+
+
+def nearest_rank_of(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(*keys, names): for each name the value at rank round((n - 1) * share) of the key's values in order."""
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    ranked = per.withColumn("_upto", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda p: F.floor((F.col("_n") - 1) * p + 0.5)
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > at(p), F.col("_v"))).alias(name) for name, p in shares.items()])
+
+
 def rolling_threshold(levels: DataFrame, key: str, idx: str, level: str, per_block: int, half: int, floor: tuple[float, float], speech: tuple[float, float], least: float) -> DataFrame:
     """(key, block, threshold): one row for every ``per_block`` samples, from the samples within ``half`` of its centre.
 
@@ -78,20 +101,26 @@ def tumble_with_tail(series: DataFrame, key: str, idx: str, per: int, aggs: Sequ
 def steady_stretch_near(windows: DataFrame, requests: DataFrame, key: str, steady: Column, length: int) -> DataFrame:
     """For each request (key, request, at_ms) the start of the nearest steady run at least ``length`` long.
 
-    The start is moved within the run as near to the time asked as the length allows; ties to the earlier run.
+    The start is moved within the run as near to the time asked as the length allows; ties to the earlier run. A request
+    of a key without such a run gives no row.
     """
     w = Window.partitionBy(key).orderBy("start_ms")
     runs = windows.where(steady).withColumn("_new", F.when(F.lag("end_ms").over(w) >= F.col("start_ms"), 0).otherwise(1))
     runs = runs.withColumn("_r", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "_r").agg(F.min("start_ms").alias("rs"), F.max("end_ms").alias("re"))
     runs = runs.where(F.col("re") - F.col("rs") >= length)
-    met = requests.join(runs, key)
-    start = F.greatest("rs", F.least(F.col("at_ms"), F.col("re") - length))
-    return met.groupBy(key, "request", "at_ms").agg(F.min_by(start, F.struct(F.abs(start - F.col("at_ms")), "rs")).alias("start_ms"))
+    # a run's places end where the length still fits; of runs in order only the last one begun before the time asked
+    # and the first one after it can hold the nearest place
+    runs = runs.select(key, "rs", (F.col("re") - length).alias("last"))
+    before = asof(requests, runs, key, "at_ms", "rs", ["last"]).withColumnsRenamed({"matched_rs": "_a", "last": "_a_last"})
+    both = asof(before, runs, key, "at_ms", "rs", ["last"], None, "forward").withColumnsRenamed({"matched_rs": "_b"}).drop("last")
+    one, two = F.greatest("_a", F.least("at_ms", "_a_last")), F.col("_b")
+    use = F.col("_b").isNull() | (F.col("_a").isNotNull() & (F.abs(one - F.col("at_ms")) <= F.abs(two - F.col("at_ms"))))
+    return both.select(key, "request", "at_ms", F.when(use, F.when(F.col("_a").isNotNull(), one)).otherwise(two).alias("start_ms")).where("start_ms IS NOT NULL")
 
 
 def find_transitions(changes: DataFrame, key: str, idx: str, change: str, tone: str, least: float, factor: float, tone_shift: float) -> DataFrame:
     """Runs of frames whose change passes max(least, factor * median), one quiet frame apart at most, with a tone shift."""
-    line = changes.groupBy(key).agg(F.greatest(F.lit(least), upper_median(F.collect_list(change)) * factor).alias("_line"))
+    line = upper_median_of(changes, [key], change, "_m").select(key, F.greatest(F.lit(least), F.col("_m") * factor).alias("_line"))
     hot = changes.join(line, key).where(F.col(change) > F.col("_line"))
     w = Window.partitionBy(key).orderBy(idx)
     hot = hot.withColumn("_f", F.when(F.col(idx) - F.lag(idx).over(w) <= 2, 0).otherwise(1)).withColumn("_r", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -125,34 +154,23 @@ def moment_chunks(frames: DataFrame, key: str, at: str, ident: str, longest: int
     return frames.withColumn("start_ms", F.col(at)).withColumn("end_ms", end)
 
 
+# Medians of shake and sway from which a camera is handheld, a moving window, a tripod's share of them.
+HANDHELD_SHAKE, HANDHELD_SWAY, MOVING, TRIPOD_SHARE = 0.55, 0.9, 0.06, 0.4
+
+
 def camera_style(windows: DataFrame, key: str) -> DataFrame:
-    """Style by the medians of shake and sway and the share of moving windows."""
-    got = windows.groupBy(key).agg(upper_median(F.collect_list("jerk")).alias("shake"), upper_median(F.collect_list("sway")).alias("sway"), F.avg((F.col("motion") > 0.06).cast("double")).alias("moving"))
-    style = F.when((F.col("shake") >= 0.55) | (F.col("sway") >= 0.9), "handheld").when(F.col("moving") == 0, "static").when(F.col("moving") < 0.4, "tripod").otherwise("stabilised")
-    return got.withColumn("style", style)
+    """Style by the medians of shake and sway and the share of moving windows; ``unknown`` where nothing was measured."""
+    shake, sway = (upper_median_of(windows, [key], c, into) for c, into in (("jerk", "shake"), ("sway", "sway")))
+    got = windows.groupBy(key).agg(F.avg((F.col("motion") > MOVING).cast("double")).alias("moving")).join(shake, key, "left").join(sway, key, "left")
+    style = F.when(F.col("shake").isNull() | F.col("moving").isNull(), "unknown").when((F.col("shake") >= HANDHELD_SHAKE) | F.coalesce(F.col("sway") >= HANDHELD_SWAY, F.lit(False)), "handheld")
+    return got.withColumn("style", style.when(F.col("moving") == 0, "static").when(F.col("moving") < TRIPOD_SHARE, "tripod").otherwise("stabilised")).select(key, "shake", "sway", "moving", "style")
 
 
 def shaky_time(windows: DataFrame, key: str, max_jerk: float, relative: float, max_sway: float) -> DataFrame:
     """Time of windows above the larger of the global and the series' own shake limit, or above the sway limit."""
-    line = windows.groupBy(key).agg(F.greatest(F.lit(max_jerk), upper_median(F.collect_list("jerk")) * relative).alias("_limit"))
+    line = upper_median_of(windows, [key], "jerk", "_m").select(key, F.greatest(F.lit(max_jerk), F.col("_m") * relative).alias("_limit"))
     shaky = (F.col("jerk") > F.col("_limit")) | (F.col("sway") > max_sway)
-    return windows.join(line, key).groupBy(key).agg(F.sum(F.when(shaky, F.col("end_ms") - F.col("start_ms")).otherwise(0)).alias("shaky_ms"))
-
-
-def topic_minima(gaps: DataFrame, key: str, order: str, score: str, spread: float, least_depth: float) -> DataFrame:
-    """Local minima of a similarity curve whose depth, the climbs on both sides, passes mean + spread * deviation."""
-    w = Window.partitionBy(key).orderBy(order)
-    s = F.col(score)
-    up = gaps.withColumn("_prev", F.lag(score).over(w)).withColumn("_next", F.lead(score).over(w))
-    # a climb ends where the curve turns: the running extreme since the last turn on that side
-    rise_r = F.when(F.col("_next") < s, 1).otherwise(0)
-    rise_l = F.when(F.col("_prev") < s, 1).otherwise(0)
-    up = up.withColumn("_tr", F.coalesce(F.sum(rise_r).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_tl", F.sum(rise_l).over(w.rowsBetween(0, Window.unboundedFollowing)) )
-    left = F.max(score).over(Window.partitionBy(key, "_tl").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    right = F.max(score).over(Window.partitionBy(key, "_tr").orderBy(order).rowsBetween(0, Window.unboundedFollowing))
-    deep = up.withColumn("depth", (left - s) + (right - s)).where((F.coalesce(F.col("_prev"), s) >= s) & (F.coalesce(F.col("_next"), s) >= s))
-    stats = deep.groupBy(key).agg(F.avg("depth").alias("_m"), F.coalesce(F.stddev_pop("depth"), F.lit(0.0)).alias("_d"))
-    return deep.join(stats, key).where(F.col("depth") >= F.greatest(F.lit(least_depth), F.col("_m") + spread * F.col("_d"))).select(key, order, "depth")
+    return windows.join(line, key, "left").groupBy(key).agg(F.sum(F.when(shaky, F.col("end_ms") - F.col("start_ms")).otherwise(0)).alias("shaky_ms"))
 
 
 def motion_speech_corr(motion: DataFrame, key: Sequence[str], order: str, value: str, active: str, least: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timeweave.operators import catalog as cat
+from timeweave.operators import reports as rp
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
 
@@ -82,8 +83,7 @@ def c1_scope(spark, d):
 @query(f"WITH {SCOPE} SELECT DISTINCT video_id FROM scoped WHERE project_id = 1 AND video_id % 2 = 0", "files")
 def c2_project_videos(spark, d):
     s = _scope(spark, d)
-    asked = s.select("video_id").where("video_id % 2 = 0").distinct()
-    return s.where("project_id = 1").select("video_id").distinct().join(asked, "video_id", "left_semi")
+    return rp.project_videos(s.where("project_id = 1"), s.where("video_id % 2 = 0")).select("video_id")
 
 
 @query(f"WITH {SCOPE} SELECT video_id, min(project_id) AS project_id FROM scoped GROUP BY video_id HAVING count(DISTINCT project_id) = 1", "files")
@@ -121,10 +121,11 @@ def d1_stage_counts(spark, d):
     return cat.stage_counts(_jobs(spark, d), STATES)
 
 
-@query("SELECT project_id, count(DISTINCT content_hash) AS videos, CAST(sum(size) AS BIGINT) AS bytes, grouping(project_id) AS whole FROM files GROUP BY ROLLUP (project_id)", "files")
+@query("""WITH v AS (SELECT project_id, content_hash AS video_id, max(size) AS size, max(file_id) % 5 = 0 AS vfr FROM files GROUP BY 1, 2), o AS (SELECT video_id, max(size) AS size, max(vfr) AS vfr FROM v GROUP BY 1)
+SELECT project_id, count(*) AS videos, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size * 10) AS BIGINT) AS length_ms, count(*) FILTER (WHERE vfr) AS vfr, 0 AS whole FROM v GROUP BY 1 UNION ALL SELECT NULL, count(*), CAST(sum(size) AS BIGINT), CAST(sum(size * 10) AS BIGINT), count(*) FILTER (WHERE vfr), 1 FROM o""", "files")
 def d2_library_totals(spark, d):
-    f = _files(spark, d)
-    return f.rollup("project_id").agg(F.countDistinct("content_hash").alias("videos"), F.sum("size").alias("bytes"), F.grouping("project_id").cast("long").alias("whole"))
+    v = _files(spark, d).groupBy("project_id", F.col("content_hash").alias("video_id")).agg(F.max("size").alias("size"), (F.max("file_id") % 5 == 0).alias("vfr"))
+    return rp.library_totals(v.withColumn("length_ms", F.col("size") * 10))
 
 
 @query(f"""WITH {JOBS}, c AS (SELECT stage, count(*) AS total, count(*) FILTER (WHERE state = 'done') AS done, count(*) FILTER (WHERE state = 'failed' AND attempts >= 3) AS gave_up,
@@ -134,18 +135,24 @@ def d3_stage_statuses(spark, d):
     return cat.stage_statuses(_jobs(spark, d))
 
 
-@query("""SELECT v.video_id, coalesce(n, 0) AS regions, coalesce(ms, 0) AS speech_ms FROM (SELECT DISTINCT video_id FROM segments) v
-LEFT JOIN (SELECT video_id, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms FROM segments WHERE speaker = 2 GROUP BY 1) s ON v.video_id = s.video_id""", "segments")
+@query("""SELECT v.video_id, coalesce(n, 0) AS regions, coalesce(ms, 0) AS speech_ms FROM (SELECT DISTINCT video_id FROM segments UNION SELECT DISTINCT video_id FROM chunks) v
+LEFT JOIN (SELECT video_id, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms FROM segments GROUP BY 1) s ON v.video_id = s.video_id""", "segments", "chunks")
 def d4_speech_per_video(spark, d):
     s = fixture(spark, d, "segments")
-    per = s.where("speaker = 2").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
-    return s.select("video_id").distinct().join(per, "video_id", "left").select("video_id", F.coalesce("n", F.lit(0)).alias("regions"), F.coalesce("ms", F.lit(0)).alias("speech_ms"))
+    return rp.speech_per_video(s.select("video_id").union(fixture(spark, d, "chunks").select("video_id")), s)
+
+
+@query("""SELECT v.video_id, coalesce(n, 0) AS chapters, coalesce(t, 0) AS titled FROM (SELECT DISTINCT video_id FROM segments UNION SELECT DISTINCT video_id FROM chunks) v
+LEFT JOIN (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE segment_id % 4 = 0) AS t FROM segments GROUP BY 1) s ON v.video_id = s.video_id""", "segments", "chunks")
+def d4_chapters_per_video(spark, d):
+    s = fixture(spark, d, "segments")
+    return rp.chapters_per_video(s.select("video_id").union(fixture(spark, d, "chunks").select("video_id")), s.withColumn("titled", F.col("segment_id") % 4 == 0))
 
 
-@query("SELECT conv_id, count(*) AS messages, min_by(text, turn) FILTER (WHERE role = 'user') AS brief FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS session_id, count(*) AS messages, min_by(text, turn) FILTER (WHERE role = 'user') AS brief FROM conversations GROUP BY conv_id")
 def d6_session_summaries(spark, d):
-    c = fixture(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("brief"))
+    c = fixture(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "role", F.col("text").alias("content"))
+    return rp.session_summaries(c.select("session_id").distinct(), c)
 
 
 @query("""WITH i AS (SELECT file_id % 300 AS item_id, project_id FROM files WHERE file_id % 4 <> 0 GROUP BY 1, 2) SELECT x.item_id, i.project_id FROM (SELECT DISTINCT file_id % 300 AS item_id FROM files) x LEFT JOIN i ON x.item_id = i.item_id""", "files")
@@ -155,17 +162,36 @@ def c12_owners(spark, d):
     return cat.owners(items, f.where("file_id % 4 = 1"), f.where("file_id % 4 = 2"), f.where("file_id % 4 = 3"))
 
 
-@query("""SELECT project_id, kind, grouping_id(project_id, kind) AS level, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS items FROM
-(SELECT project_id, CASE file_id % 3 WHEN 0 THEN 'frames' WHEN 1 THEN 'proxies' ELSE 'renders' END AS kind, size FROM files) a GROUP BY CUBE (project_id, kind)""", "files")
+@query("""WITH i AS (SELECT DISTINCT file_id AS item_id, CASE file_id % 3 WHEN 0 THEN 'frames' WHEN 1 THEN 'proxies' ELSE 'renders' END AS kind, size FROM files), o AS (SELECT file_id AS item_id, project_id FROM files WHERE file_id % 4 <> 0 UNION SELECT file_id, (project_id + 1) % 5 FROM files WHERE file_id % 8 = 1),
+e AS (SELECT i.*, coalesce(CAST(project_id AS VARCHAR), 'unused') AS project_id, count(project_id) OVER (PARTITION BY i.item_id) > 1 AS shared FROM i LEFT JOIN o ON i.item_id = o.item_id), u AS (SELECT item_id, kind, size, max(shared) AS shared FROM e GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT project_id, kind, grouping(project_id) * 2 + grouping(kind) AS level, count(*) AS items, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(CASE WHEN shared THEN size ELSE 0 END) AS BIGINT) AS shared_bytes FROM e GROUP BY ROLLUP (project_id, kind)) a WHERE level < 3
+UNION ALL SELECT NULL, kind, grouping(kind) + 2, count(*), CAST(sum(size) AS BIGINT), CAST(sum(CASE WHEN shared THEN size ELSE 0 END) AS BIGINT) FROM u GROUP BY ROLLUP (kind)""", "files")
 def d17_storage_report(spark, d):
-    f = _files(spark, d).withColumn("kind", F.when(F.col("file_id") % 3 == 0, "frames").when(F.col("file_id") % 3 == 1, "proxies").otherwise("renders"))
-    return f.cube("project_id", "kind").agg(F.grouping_id().alias("level"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("items"))
+    f = _files(spark, d).withColumn("item_id", F.col("file_id"))
+    items = f.select("item_id", F.when(F.col("file_id") % 3 == 0, "frames").when(F.col("file_id") % 3 == 1, "proxies").otherwise("renders").alias("kind"), "size")
+    more = f.where("file_id % 8 = 1").select("item_id", ((F.col("project_id") + 1) % 5).alias("project_id"))
+    return rp.storage_report(items, cat.owners(items, f.where("file_id % 4 <> 0").select("item_id", "project_id"), more))
 
 
-@query("""SELECT stage, CAST(sum(video_id * 1000) FILTER (WHERE video_id % 7 <> 0) AS BIGINT) AS waiting_ms, count(*) FILTER (WHERE video_id % 7 = 0) AS unknown FROM (SELECT video_id, stage, max_by(state, seq) AS state FROM job_events GROUP BY 1, 2) j WHERE state = 'pending' GROUP BY stage""", "job_events")
+@query("""SELECT stage, CAST(coalesce(sum(video_id * 1000) FILTER (WHERE video_id % 7 <> 0), 0) AS BIGINT) AS waiting_ms, count(*) FILTER (WHERE video_id % 7 = 0) AS unknown FROM (SELECT video_id, stage, max_by(state, seq) AS state FROM job_events GROUP BY 1, 2) j WHERE state = 'pending' AND video_id % 5 <> 0 GROUP BY stage""", "job_events")
 def d26_queued_work(spark, d):
-    j = _jobs(spark, d).where("state = 'pending'").withColumn("ms", F.when(F.col("video_id") % 7 != 0, F.col("video_id") * 1000))
-    return j.groupBy("stage").agg(F.sum("ms").alias("waiting_ms"), F.sum(F.col("ms").isNull().cast("long")).alias("unknown"))
+    j = _jobs(spark, d)
+    v = j.select("video_id", F.when(F.col("video_id") % 7 != 0, F.col("video_id") * 1000).alias("length_ms")).distinct()
+    return rp.queued_work(j, v, v.where("video_id % 5 <> 0"))
+
+
+@query("""WITH r AS (SELECT stage, video_id % 4 AS n, video_id / 1e1 AS rate FROM (SELECT event_type AS stage, max(user_id) AS video_id FROM events GROUP BY 1) a) SELECT stage, round((rate * n + 2e1 * 3) / (n + 3), 6) AS rate, round(100 / ((rate * n + 2e1 * 3) / (n + 3)), 6) AS eta_s FROM r""")
+def d21_stage_eta(spark, d):
+    r = fixture(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.max("user_id").alias("m"))
+    r = r.select("stage", (F.col("m") % 4).alias("n"), (F.col("m") / 10.0).alias("rate"))
+    got = rp.stage_eta(r, r.select("stage", F.lit(20.0).alias("prior")), r.select("stage", F.lit(100).alias("units")))
+    return got.select("stage", F.round("rate", 6).alias("rate"), F.round("eta_s", 6).alias("eta_s"))
+
+
+@query("""SELECT v.video_id, s.stage, 'pending' AS state FROM (SELECT DISTINCT user_id AS video_id FROM events) v CROSS JOIN (VALUES ('click'), ('describe')) s(stage) WHERE NOT EXISTS (SELECT 1 FROM job_events j WHERE j.video_id = v.video_id AND j.stage = s.stage)""", "job_events")
+def a5_ensure_jobs(spark, d):
+    j = fixture(spark, d, "job_events")
+    return cat.ensure_jobs(j.select("video_id"), ["click", "describe"], j)
 
 
 @query("SELECT project_id, content_hash, max(file_id) AS file_id, 1 AS position FROM files GROUP BY 1, 2", "files")
@@ -175,7 +201,7 @@ def l1_latest_versions(spark, d):
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def l2_keep_newest(spark, d):
-    return fixture(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(500).select("event_id")
+    return rp.keep_newest(fixture(spark, d, "events"), [F.col("ts").desc(), F.col("event_id").desc()], 500).select("event_id")
 
 
 @query("SELECT user_id, event_id, position FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position FROM events) a WHERE position <= 5")
@@ -192,15 +218,15 @@ def l4_spread(spark, d):
 
 @query("SELECT label, count(*) AS videos FROM (SELECT label, video_id FROM tracks UNION SELECT speaker, video_id FROM segments WHERE speaker IS NOT NULL) u GROUP BY label", "tracks", "segments")
 def u1_videos_of_people(spark, d):
-    a = fixture(spark, d, "tracks").select(F.col("label").cast("long").alias("label"), "video_id")
-    b = fixture(spark, d, "segments").where("speaker IS NOT NULL").select(F.col("speaker").alias("label"), "video_id")
-    return a.union(b).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("videos"))
+    a = fixture(spark, d, "tracks").select(F.col("label").cast("long").alias("person_id"), "video_id")
+    b = fixture(spark, d, "segments").select(F.col("speaker").alias("person_id"), "video_id")
+    return rp.videos_of_people(a, b).groupBy(F.col("person_id").alias("label")).agg(F.count(F.lit(1)).alias("videos"))
 
 
-@query("""SELECT video_id, start_ms AS at_ms, 1 AS kind, segment_id AS ref FROM segments UNION ALL SELECT video_id, start_ms, 2, chunk_id FROM chunks UNION ALL SELECT video_id, start_ms, 3, track_id FROM tracks""", "segments", "chunks", "tracks")
+@query("""SELECT video_id, start_ms AS at_ms, 'sentence' AS kind, segment_id AS ref FROM segments UNION ALL SELECT video_id, start_ms, 'frame', chunk_id FROM chunks UNION ALL SELECT video_id, start_ms, 'picture', track_id FROM tracks""", "segments", "chunks", "tracks")
 def u2_manifest(spark, d):
-    part = lambda name, ref, kind: fixture(spark, d, name).select("video_id", F.col("start_ms").alias("at_ms"), F.lit(kind).alias("kind"), F.col(ref).alias("ref"))
-    return part("segments", "segment_id", 1).unionByName(part("chunks", "chunk_id", 2)).unionByName(part("tracks", "track_id", 3)).sortWithinPartitions("video_id", "at_ms", "kind", "ref")
+    part = lambda name, ref: fixture(spark, d, name).select("video_id", F.col("start_ms").alias("at_ms"), F.col(ref).alias("ref"))
+    return rp.manifest(picture=part("tracks", "track_id"), frame=part("chunks", "chunk_id"), sentence=part("segments", "segment_id"))
 
 
 @query("SELECT f.file_id FROM files f WHERE f.path NOT IN (SELECT path FROM files WHERE file_id % 3 = 0)", "files")

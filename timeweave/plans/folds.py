@@ -17,7 +17,12 @@ def _frames(spark, d):
     return s.select("series_id", (F.col("idx") * 20_000).alias("at_ms"), "event_id", (F.col("level") % 16).cast("long").alias("bits"), (F.col("level") / 1e4).alias("score"))
 
 
-@query("")
+FRAMES = "f AS (SELECT series_id, event_id, idx * 20000 AS at_ms, level % 16 AS bits, level / 1e4 AS score, row_number() OVER (PARTITION BY series_id ORDER BY idx) AS i FROM series)"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, r AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS total, CAST(-1e15 AS DOUBLE) AS last, CAST(NULL AS BIGINT) AS at_ms, CAST(NULL AS VARCHAR) AS kind FROM f
+UNION ALL SELECT f.series_id, f.i, CASE WHEN score > 9e-1 OR total + score >= 1 AND f.at_ms - last >= 30000 THEN 0e0 ELSE total + score END, CASE WHEN score > 9e-1 OR total + score >= 1 AND f.at_ms - last >= 30000 THEN f.at_ms ELSE last END, f.at_ms,
+CASE WHEN score > 9e-1 THEN 'cut' WHEN total + score >= 1 AND f.at_ms - last >= 30000 THEN 'change' END FROM r JOIN f ON f.series_id = r.series_id AND f.i = r.i + 1) SELECT series_id, at_ms AS "at", kind FROM r WHERE kind IS NOT NULL""", "series")
 def w8_accumulate_changes(spark, d):
     return fo.accumulate_changes(_frames(spark, d), "series_id", "at_ms", "score", 0.9, 1.0, 30_000)
 
@@ -26,10 +31,13 @@ def w8_accumulate_changes(spark, d):
 def w9_plan_times(spark, d):
     f = _frames(spark, d)
     videos = f.groupBy("series_id").agg(F.max("at_ms").alias("length_ms"))
-    return fo.plan_times(videos, f.where("score > 0.5").select("series_id", "at_ms"), "series_id", 60_000)
+    changes = f.where("score > 0.5").select("series_id", "at_ms", F.when(F.col("event_id") % 2 == 0, "cut").otherwise("change").alias("kind"))
+    return fo.plan_times(videos, changes, "series_id", 60_000, most=60)
 
 
-@query("")
+@query(f"""WITH RECURSIVE {FRAMES}, r AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS kb, CAST(NULL AS BIGINT) AS ka, CAST(NULL AS BIGINT) AS id FROM f
+UNION ALL SELECT f.series_id, f.i, CASE WHEN kb IS NOT NULL AND bit_count(xor(kb, bits)) <= 1 AND at_ms - ka < 60000 THEN kb ELSE bits END, CASE WHEN kb IS NOT NULL AND bit_count(xor(kb, bits)) <= 1 AND at_ms - ka < 60000 THEN ka ELSE at_ms END,
+CASE WHEN kb IS NOT NULL AND bit_count(xor(kb, bits)) <= 1 AND at_ms - ka < 60000 THEN NULL ELSE event_id END FROM r JOIN f ON f.series_id = r.series_id AND f.i = r.i + 1) SELECT series_id, id, ka AS "at" FROM r WHERE id IS NOT NULL""", "series")
 def w10_drop_near_repeats(spark, d):
     return fo.drop_near_repeats(_frames(spark, d), "series_id", "at_ms", "event_id", "bits", 1, 60_000)
 
@@ -49,7 +57,9 @@ def w20_collapse_repeats(spark, d):
     return fo.collapse_repeats(fixture(spark, d, "segments"), "video_id")
 
 
-@query("")
+@query("""WITH RECURSIVE s AS (SELECT *, start_ms // 60000 AS chunk FROM segments), c AS (SELECT video_id, chunk, max(end_ms) AS e, row_number() OVER (PARTITION BY video_id ORDER BY chunk) AS i FROM s GROUP BY 1, 2), r AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS chunk, CAST(-1 AS BIGINT) AS edge, CAST(-1 AS BIGINT) AS covered FROM c
+UNION ALL SELECT c.video_id, c.i, c.chunk, covered, CASE WHEN covered < 0 OR e > covered + 300 THEN greatest(e, covered) ELSE covered END FROM r JOIN c ON c.video_id = r.video_id AND c.i = r.i + 1)
+SELECT s.video_id, segment_id, greatest(start_ms, edge) AS start_ms, end_ms FROM s JOIN r USING (video_id, chunk) WHERE edge < 0 OR end_ms > edge + 300""", "segments")
 def w21_stitch_chunks(spark, d):
     s = fixture(spark, d, "segments").withColumn("chunk", F.floor(F.col("start_ms") / 60_000))
     return fo.stitch_chunks(s, "video_id")
@@ -74,7 +84,9 @@ def w29_shots_from_turns(spark, d):
     return fo.shots_from_turns(speaker_turns(spark, d), "video_id")
 
 
-@query("")
+@query("""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY clip_index) AS i FROM clips), r AS (SELECT DISTINCT script_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS head, CAST(NULL AS BIGINT) AS video_id, CAST(NULL AS BIGINT) AS in_ms, CAST(NULL AS BIGINT) AS out_ms, CAST(NULL AS VARCHAR) AS audio FROM c
+UNION ALL SELECT c.script_id, c.i, CASE WHEN r.video_id = c.video_id AND r.audio = c.audio AND abs(c.in_ms - r.out_ms) <= 5000 AND c.out_ms - r.in_ms <= 60000 THEN head ELSE c.clip_index END, c.video_id, CASE WHEN r.video_id = c.video_id AND r.audio = c.audio AND abs(c.in_ms - r.out_ms) <= 5000 AND c.out_ms - r.in_ms <= 60000 THEN r.in_ms ELSE c.in_ms END, c.out_ms, c.audio
+FROM r JOIN c ON c.script_id = r.script_id AND c.i = r.i + 1) SELECT script_id, head AS clip_index, any_value(video_id) AS video_id, min(in_ms) AS in_ms, max_by(out_ms, i) AS out_ms, any_value(audio) AS audio FROM r WHERE head IS NOT NULL GROUP BY 1, 2""", "clips")
 def w41_merge_contiguous(spark, d):
     return fo.merge_contiguous(fixture(spark, d, "clips"), "script_id", "clip_index", 5_000)
 

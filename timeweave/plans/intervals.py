@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from timeweave.operators import intervals as iv
+from timeweave.operators import reports as rp
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
 
@@ -110,8 +111,7 @@ def w13_split_intervals(spark, d):
 
 @query("""SELECT script_id, clip_index, CAST(coalesce(sum(out_ms - in_ms) OVER (PARTITION BY script_id ORDER BY clip_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ms FROM clips""", "clips")
 def w36_timeline(spark, d):
-    w = Window.partitionBy("script_id").orderBy("clip_index").rowsBetween(Window.unboundedPreceding, -1)
-    return _clips(spark, d).select("script_id", "clip_index", F.coalesce(F.sum(F.col("out_ms") - F.col("in_ms")).over(w), F.lit(0)).alias("at_ms"))
+    return rp.timeline(_clips(spark, d)).select("script_id", "clip_index", "at_ms")
 
 
 @query("""WITH o AS (SELECT script_id, clip_index, in_ms, out_ms, sum(least(out_ms, end_ms) - greatest(in_ms, start_ms)) AS ms FROM clips c JOIN segments s ON c.video_id = s.video_id AND c.in_ms < s.end_ms AND s.start_ms < c.out_ms
@@ -121,7 +121,9 @@ def d27_coverage_share(spark, d):
     return iv.coverage_share(_clips(spark, d), on_mic, "video_id", ["script_id", "clip_index"], ("in_ms", "out_ms"))
 
 
-@query(f"""WITH {TURNS} SELECT speaker, CAST(sum(end_ms - start_ms) AS BIGINT) AS speaking_ms, count(DISTINCT video_id) AS videos, count(*) AS turns FROM turns WHERE speaker IS NOT NULL GROUP BY speaker""", "segments")
-def d5_speaking_time(spark, d):
-    t = speaker_turns(spark, d).where("speaker IS NOT NULL")
-    return t.groupBy("speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speaking_ms"), F.countDistinct("video_id").alias("videos"), F.count(F.lit(1)).alias("turns"))
+@query(f"""WITH {TURNS}, p AS (SELECT DISTINCT label AS person_id FROM tracks), t AS (SELECT label AS person_id, count(*) AS tracks, CAST(sum(end_ms - start_ms + 200) AS BIGINT) AS screen_ms FROM tracks GROUP BY 1), s AS (SELECT speaker AS person_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS speaking_ms FROM turns WHERE speaker IS NOT NULL GROUP BY 1),
+v AS (SELECT person_id, count(*) AS videos FROM (SELECT label AS person_id, video_id FROM tracks UNION SELECT speaker, video_id FROM turns WHERE speaker IS NOT NULL) u GROUP BY 1)
+SELECT p.person_id, coalesce(tracks, 0) AS tracks, coalesce(screen_ms, 0) AS screen_ms, coalesce(speaking_ms, 0) AS speaking_ms, coalesce(videos, 0) AS videos FROM p LEFT JOIN t USING (person_id) LEFT JOIN s USING (person_id) LEFT JOIN v USING (person_id)""", "segments", "tracks")
+def d5_person_summaries(spark, d):
+    t = fixture(spark, d, "tracks").withColumn("person_id", F.col("label").cast("long"))
+    return rp.person_summaries(t.select("person_id").distinct(), t, speaker_turns(spark, d).withColumnRenamed("speaker", "person_id"))

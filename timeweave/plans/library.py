@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeweave.operators import catalog as cat
 from timeweave.operators import library as li
+from timeweave.operators import reports as rp
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
 
@@ -30,11 +31,11 @@ def c5_speaker_label(spark, d):
 WORDS = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 4))"
 
 
-@query(f"""WITH l AS (SELECT segment_id AS line_id, video_id, unnest({WORDS}) AS w FROM segments), p AS (SELECT chunk_id AS picture_id, video_id, unnest({WORDS}) AS w FROM chunks WHERE chunk_id % 10 = 0 OR kind = 'frame'),
+@query(f"""WITH l AS (SELECT segment_id AS line_id, video_id, unnest({WORDS}) AS w FROM segments), p AS (SELECT chunk_id AS picture_id, video_id, unnest({WORDS}) AS w FROM chunks WHERE kind = 'frame'),
 m AS (SELECT line_id, picture_id, count(*) AS shared FROM l JOIN p ON l.w = p.w AND l.video_id <> p.video_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY shared DESC, picture_id) AS place FROM m) SELECT * FROM r WHERE place <= 3""", "segments", "chunks")
 def c15_lines_to_pictures(spark, d):
     lines = fixture(spark, d, "segments").select(F.col("segment_id").alias("line_id"), "video_id", "text")
-    pics = fixture(spark, d, "chunks").where("chunk_id % 10 = 0 OR kind = 'frame'").select(F.col("chunk_id").alias("picture_id"), "video_id", "text")
+    pics = fixture(spark, d, "chunks").where("kind = 'frame'").select(F.col("chunk_id").alias("picture_id"), "video_id", "text")
     return li.match_lines_to_pictures(lines, pics, 3)
 
 
@@ -47,12 +48,12 @@ def c16_resolve_refs(spark, d):
     return li.resolve_refs(clips, sentences)[0]
 
 
-@query("""WITH n AS (SELECT *, sum(CASE WHEN segment_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start_ms, segment_id ROWS UNBOUNDED PRECEDING) AS chapter FROM segments)
-SELECT video_id, CAST(chapter AS BIGINT) AS chapter, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min_by(segment_id, start_ms) AS first_id FROM n GROUP BY 1, 2""", "segments")
+@query("""WITH n AS (SELECT *, sum(CASE WHEN segment_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start_ms, segment_id ROWS UNBOUNDED PRECEDING) AS chapter FROM segments),
+c AS (SELECT video_id, CAST(chapter AS BIGINT) AS chapter, min(start_ms) AS start_ms, max(end_ms) AS end_ms, rtrim(trim(min_by(text, start_ms)), '.!?,;:') AS t FROM n GROUP BY 1, 2)
+SELECT video_id, chapter, start_ms, end_ms, CASE WHEN length(t) <= 60 THEN t ELSE rtrim(CASE WHEN position(' ' IN substr(t, 1, 60)) > 0 THEN regexp_replace(substr(t, 1, 60), ' [^ ]*$', '') ELSE substr(t, 1, 60) END, ',;:') || '…' END AS title FROM c""", "segments")
 def w15_chapters(spark, d):
     s = fixture(spark, d, "segments").withColumn("cut", F.col("segment_id") % 3 == 0)
-    first = s.select("video_id", "start_ms", F.col("segment_id").alias("first_id"))
-    return li.chapters_from_boundaries(s, "video_id", "cut").drop("title").join(first, ["video_id", "start_ms"]).select("video_id", "chapter", "start_ms", "end_ms", "first_id")
+    return li.chapters_from_boundaries(s, "video_id", "cut").select("video_id", F.col("chapter").cast("long").alias("chapter"), "start_ms", "end_ms", "title")
 
 
 @query("""WITH u AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, segment_id) AS i FROM segments), p AS (SELECT a.video_id, a.segment_id AS unit_id, a.start_ms, b.end_ms, b.i - a.i + 1 AS n, (b.segment_id * 7 + a.segment_id) % 11 AS score
@@ -97,26 +98,40 @@ def w34_words_in_range(spark, d):
     return s.select("segment_id", li.words_in_range(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("start_ms") - 1, mid).alias("first_half"))
 
 
-@query("""SELECT user_id, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS n, sha256(CAST(count(*) AS VARCHAR) || '|' || CAST(max(event_id) AS VARCHAR) || '|' || CAST(sum(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|' || event_type), 1, 15) AS HUGEINT)) AS VARCHAR)) AS fingerprint FROM events GROUP BY 1""")
 def d20_fingerprints(spark, d):
-    return cat.fingerprints(fixture(spark, d, "events"), "user_id", ["event_id", "event_type", "value"]).select("user_id", "n")
+    return cat.fingerprints(fixture(spark, d, "events"), "user_id", ["event_id", "event_type"])
 
 
-@query("""WITH s AS (SELECT video_id, count(*) AS segments, min_by(segment_id, start_ms) AS first_line FROM segments GROUP BY 1), t AS (SELECT video_id, count(*) AS frames FROM tracks GROUP BY 1), v AS (SELECT video_id FROM segments UNION SELECT video_id FROM tracks)
-SELECT v.video_id, coalesce(segments, 0) AS segments, coalesce(frames, 0) AS frames, first_line FROM v LEFT JOIN s ON v.video_id = s.video_id LEFT JOIN t ON v.video_id = t.video_id""", "segments", "tracks")
+@query("""WITH v AS (SELECT DISTINCT video_id FROM chunks), s AS (SELECT video_id, count(*) AS segments, min_by(text, segment_id) AS first_line FROM segments GROUP BY 1), f AS (SELECT video_id, count(*) AS frames, min_by(text, chunk_id) AS first_description FROM chunks WHERE kind = 'frame' GROUP BY 1),
+j AS (SELECT video_id, max_by(state, seq) AS transcribe FROM job_events WHERE stage = 'click' GROUP BY 1), m AS (SELECT video_id, list_sort(list(jerk))[count(*) // 2 + 1] AS shake, list_sort(list(sway))[count(*) // 2 + 1] AS sway, avg(CASE WHEN motion > 6e-2 THEN 1e0 ELSE 0e0 END) AS moving FROM motion GROUP BY 1),
+h AS (SELECT video_id, CAST(sum(CASE WHEN jerk > greatest(1e0, shake * 15e-1) OR motion.sway > 22e-1 THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS shaky_ms FROM motion JOIN m USING (video_id) GROUP BY 1)
+SELECT v.video_id, CASE WHEN v.video_id % 2 = 0 THEN 'broll' ELSE 'other' END AS category, coalesce(segments, 0) AS segments, first_line, coalesce(frames, 0) AS frames, first_description, transcribe, CASE WHEN shake IS NULL THEN 'unknown' WHEN shake >= 55e-2 OR sway >= 9e-1 THEN 'handheld' WHEN moving = 0 THEN 'static' WHEN moving < 4e-1 THEN 'tripod' ELSE 'stabilised' END AS style, shaky_ms
+FROM v LEFT JOIN s USING (video_id) LEFT JOIN f USING (video_id) LEFT JOIN j USING (video_id) LEFT JOIN m USING (video_id) LEFT JOIN h USING (video_id)""", "segments", "chunks", "job_events", "motion")
 def d25_video_rows(spark, d):
-    s, t = fixture(spark, d, "segments"), fixture(spark, d, "tracks")
-    per = s.groupBy("video_id").agg(F.count(F.lit(1)).alias("segments"), F.min_by("segment_id", "start_ms").alias("first_line"))
-    seen = t.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"))
-    every = s.select("video_id").union(t.select("video_id")).distinct()
-    return every.join(per, "video_id", "left").join(seen, "video_id", "left").select("video_id", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("frames", F.lit(0)).alias("frames"), "first_line")
+    c = fixture(spark, d, "chunks")
+    videos = c.select("video_id").distinct().withColumn("category", F.when(F.col("video_id") % 2 == 0, "broll").otherwise("other"))
+    jobs = cat.current_jobs(fixture(spark, d, "job_events")).withColumn("stage", F.when(F.col("stage") == "click", "transcribe").otherwise(F.col("stage")))
+    frames = c.where("kind = 'frame'").select("video_id", F.col("chunk_id").alias("at_ms"), "text")
+    return rp.video_rows(videos, fixture(spark, d, "segments"), frames, jobs, fixture(spark, d, "motion"))
 
 
-@query("""WITH x AS (SELECT user_id % 10 AS project_id, event_id AS pos, lower(event_type) AS k FROM events) SELECT project_id, k AS term, 1 AS variants FROM x GROUP BY 1, 2""")
+@query("""WITH x AS (SELECT user_id % 10 AS project_id, event_id AS pos, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS term, lower(event_type) AS k, ['v' || CAST(event_id % 3 AS VARCHAR), event_type || 's', event_type] AS vs, CASE WHEN event_id % 4 = 0 THEN 'n' || CAST(event_id AS VARCHAR) ELSE '' END AS note FROM events),
+h AS (SELECT project_id, k, min_by(term, pos) AS term, min_by(note, pos) FILTER (WHERE note <> '') AS note FROM x GROUP BY 1, 2), e AS (SELECT project_id, k, pos, unnest(range(1, 4)) AS i, vs FROM x), f AS (SELECT project_id, k, vs[i] AS v, min(pos * 4 + i) AS o FROM e WHERE lower(vs[i]) <> k GROUP BY 1, 2, 3)
+SELECT h.project_id, h.term, string_agg(v, ',' ORDER BY o) AS variants, any_value(h.note) AS note FROM h JOIN f ON h.project_id = f.project_id AND h.k = f.k GROUP BY 1, 2""")
 def d22_merge_glossaries(spark, d):
+    e, i = fixture(spark, d, "events"), F.col("event_id")
+    variants = F.array(F.concat(F.lit("v"), (i % 3).cast("string")), F.concat("event_type", F.lit("s")), F.col("event_type"))
+    t = e.select((F.col("user_id") % 10).alias("project_id"), i.alias("pos"), F.when(i % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("term"), variants.alias("variants"), F.when(i % 4 == 0, F.concat(F.lit("n"), i.cast("string"))).otherwise("").alias("note"))
+    return cat.merge_glossaries(t).select("project_id", "term", F.array_join("variants", ",").alias("variants"), "note")
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id % 10 AS project_id, user_id % 7 AS video_id FROM events), t AS (SELECT DISTINCT user_id % 10 AS project_id, event_type AS term FROM events WHERE event_id % 2 = user_id % 2) SELECT video_id, count(DISTINCT lower(term)) AS terms FROM p JOIN t USING (project_id) GROUP BY 1""")
+def d22_video_glossaries(spark, d):
     e = fixture(spark, d, "events")
-    t = e.select((F.col("user_id") % 10).alias("project_id"), F.col("event_id").alias("pos"), F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("term"), F.array(F.concat(F.col("event_type"), F.lit("s")), F.col("event_type")).alias("variants"), F.lit("").alias("note"))
-    return cat.merge_glossaries(t).select("project_id", F.lower("term").alias("term"), F.size("variants").cast("long").alias("variants"))
+    t = e.where("event_id % 2 = user_id % 2").select((F.col("user_id") % 10).alias("project_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("term"), F.array("event_type").alias("variants"), F.lit("").alias("note"))
+    scoped = e.select((F.col("user_id") % 10).alias("project_id"), (F.col("user_id") % 7).alias("video_id")).distinct()
+    return cat.video_glossaries(t, scoped).groupBy("video_id").agg(F.count(F.lit(1)).alias("terms"))
 
 
 @query("")
@@ -135,12 +150,14 @@ def f8_embed(spark, d):
     return li.embed(fixture(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), "text"), "segment_id", "text", model, 32)
 
 
-@query("")
+@query("""WITH b AS (SELECT series_id, idx * 200 AS at_ms, event_id % 3 AS track_id, level % 100 / 1e2 AS x, event_id % 40 / 1e2 AS h, event_id % 7 = 0 AS cut FROM series WHERE idx * 200 < 6000),
+g AS (SELECT series_id AS span_id, track_id, count(*) AS n, least(1e0, count(*) / 3e1) AS presence, avg(CASE WHEN cut THEN 1e0 ELSE 0e0 END) AS cut_share, list_sort(list(x)) AS xs, list_sort(list(h)) AS hs FROM b GROUP BY 1, 2)
+SELECT span_id, track_id, presence, round(cut_share, 9) AS cut_share, xs[n // 2 + 1] AS x, hs[n // 2 + 1] AS h, xs[CAST(floor((n - 1) * 1e-1 + 5e-1) AS BIGINT) + 1] AS x10, xs[CAST(floor((n - 1) * 9e-1 + 5e-1) AS BIGINT) + 1] AS x90 FROM g WHERE presence >= 1e-1""", "series")
 def d16_faces_on_screen(spark, d):
     s = fixture(spark, d, "series")
-    boxes = s.select(F.col("series_id").alias("video_id"), (F.col("idx") * 200).alias("at_ms"), (F.col("event_id") % 3).alias("track_id"), (F.col("level") % 100 / 100).alias("x"), (F.col("event_id") % 40 / 100).alias("h"))
+    boxes = s.select(F.col("series_id").alias("video_id"), (F.col("idx") * 200).alias("at_ms"), (F.col("event_id") % 3).alias("track_id"), (F.col("level") % 100 / 100).alias("x"), (F.col("event_id") % 40 / 100).alias("h"), (F.col("event_id") % 7 == 0).alias("cut_off"))
     spans = s.select(F.col("series_id").alias("video_id"), F.lit(0).cast("long").alias("start_ms"), F.lit(6_000).cast("long").alias("end_ms"), F.col("series_id").alias("span_id")).distinct()
-    return li.faces_on_screen(boxes, spans, "video_id")
+    return li.faces_on_screen(boxes, spans, "video_id").withColumn("cut_share", F.round("cut_share", 9))
 
 
 @query("SELECT segment_id FROM segments WHERE video_id % 2 = 0 AND NOT off_mic", "segments")
@@ -155,9 +172,30 @@ def w24_on_mic_span(spark, d):
     return li.on_mic_span(fixture(spark, d, "clips"), fixture(spark, d, "segments"), ["script_id", "clip_index"])
 
 
-@query("")
+@query(r"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, segment_id) AS i, len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) AS own, regexp_matches(rtrim(text), '[.!?]$') AS ends FROM segments),
+u AS (SELECT *, sum(own) OVER (PARTITION BY video_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM s),
+p AS (SELECT a.video_id, a.segment_id, a.start_ms, a.i AS ai, b.i AS bi, b.end_ms, row_number() OVER (PARTITION BY a.segment_id ORDER BY b.i DESC) AS k FROM u a JOIN u b ON a.video_id = b.video_id AND b.i >= a.i AND b.start_ms - a.start_ms < 60000 WHERE b.ends AND b.own >= 4 AND b.end_ms - a.start_ms BETWEEN 4000 AND 60000 AND b.upto - a.upto + a.own >= 10)
+SELECT p.video_id, p.segment_id, p.start_ms, p.end_ms, coalesce((SELECT string_agg(CAST(m.end_ms AS VARCHAR), ',' ORDER BY m.end_ms) FROM u m WHERE m.video_id = p.video_id AND m.i BETWEEN ai AND bi AND m.end_ms < p.end_ms - 10 AND m.end_ms > p.start_ms), '') AS breaks FROM p WHERE k = 1""", "segments")
 def l8_quotable_runs(spark, d):
-    return li.quotable_runs(fixture(spark, d, "segments"), "video_id", 4_000, 60_000)
+    got = li.quotable_runs(fixture(spark, d, "segments"), "video_id", most=60_000)
+    return got.withColumn("breaks", F.array_join("breaks", ","))
+
+
+@query(r"""WITH s AS (SELECT *, row_number() OVER w AS i, start_ms - lag(end_ms) OVER w AS gap, lag(segment_id) OVER w AS pid, coalesce(off_mic, FALSE) AS off, len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) AS own FROM segments WINDOW w AS (PARTITION BY video_id ORDER BY start_ms, segment_id)),
+u AS (SELECT *, sum(own) OVER (PARTITION BY video_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto, sum(CASE WHEN off OR coalesce(gap > 6000, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS br, gap IS NULL OR gap >= 600 OR pid % 2 = 0 AS clean FROM s),
+m AS (SELECT video_id, start_ms, end_ms FROM motion WHERE jerk > 15e-1),
+p AS (SELECT a.video_id, a.segment_id AS unit_id, a.start_ms, b.end_ms, b.i - a.i + 1 AS n, a.clean, b.segment_id % 2 = 0 AS strong, coalesce((SELECT sum(least(m.end_ms, b.end_ms) - greatest(m.start_ms, a.start_ms)) FROM m WHERE m.video_id = a.video_id AND m.start_ms < b.end_ms AND m.end_ms > a.start_ms), 0) AS shake
+ FROM u a JOIN u b ON a.video_id = b.video_id AND b.i >= a.i WHERE b.end_ms - a.start_ms BETWEEN 8000 AND 60000 AND a.br = b.br AND NOT a.off AND NOT b.off AND (b.upto - a.upto + a.own) * 1000 >= b.end_ms - a.start_ms),
+q AS (SELECT *, round(CASE WHEN strong THEN 1e0 ELSE 3e-1 END + CASE WHEN clean THEN 5e-1 ELSE 0e0 END - CASE WHEN shake > (end_ms - start_ms) * 5e-1 THEN 2e0 WHEN shake > 0 THEN 4e-1 ELSE 0e0 END - abs(end_ms - start_ms - 34000) / 52e3 * 6e-1, 2) AS score, shake <= (end_ms - start_ms) * 5e-1 AS steady FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY score DESC, steady DESC, n DESC) AS k FROM q) SELECT video_id, unit_id, start_ms, end_ms, n, score FROM r WHERE k = 1 AND steady""", "segments", "motion")
+def l7_scored_clips(spark, d):
+    """Clips of segments as sentence units, each a word of no opening class so that SQL can follow."""
+    s = fixture(spark, d, "segments")
+    text = F.concat(F.lit("xyz "), F.regexp_replace(F.trim("text"), r"^\S+\s*|\?\s*$", ""))
+    text = F.when(F.size(F.split(F.trim("text"), r"\s+")) > 1, text).otherwise(F.when(F.trim("text") != "", "xyz").otherwise(""))
+    units = s.select("video_id", F.col("segment_id").alias("unit_id"), "start_ms", "end_ms", text.alias("text"), F.array("speaker").alias("speakers"), "off_mic", (F.col("segment_id") % 2 == 0).alias("strong"))
+    shaky = fixture(spark, d, "motion").where("jerk > 1.5").select("video_id", "start_ms", "end_ms")
+    return li.scored_clips(units, shaky, 8_000, 60_000)
 
 
 @query("""WITH t AS (SELECT video_id * 10 + coalesce(speaker, 0) AS speaker, CASE WHEN segment_id % 5 = 0 THEN 'A' || chr(98 + CAST(segment_id % 3 AS INTEGER)) END AS heard FROM segments WHERE speaker IS NOT NULL),
@@ -178,9 +216,12 @@ def f6_enrich_hits(spark, d):
     return li.enrich_hits(hits, videos, frames).select("chunk_id", "frame_id", "path")
 
 
-@query("")
+@query("""WITH n AS (SELECT *, CAST(sum(CASE WHEN segment_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start_ms, segment_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chapter FROM segments), c AS (SELECT video_id, chapter, min(start_ms) AS s, max(end_ms) AS e FROM n GROUP BY 1, 2),
+l AS (SELECT video_id, start_ms, trim(text) AS text FROM segments WHERE segment_id % 4 = 0), m AS (SELECT c.video_id, c.s, c.chapter, '  ' || CAST(s // 60000 AS VARCHAR) || ':' || lpad(CAST(s % 60000 // 1000 AS VARCHAR), 2, '0') || ' t' || chr(10) || coalesce((SELECT string_agg('    - ' || text || chr(10), '' ORDER BY start_ms) FROM l WHERE l.video_id = c.video_id AND start_ms >= s AND start_ms < e), '') AS t FROM c)
+SELECT video_id % 5 AS project_id, video_id, 'full' AS detail, sha256('v' || CAST(video_id AS VARCHAR) || chr(10) || string_agg(t, '' ORDER BY s, chapter)) AS sha FROM m GROUP BY 1, 2""", "segments")
 def u5_outline(spark, d):
     s = fixture(spark, d, "segments").withColumn("cut", F.col("segment_id") % 3 == 0)
-    chapters = li.chapters_from_boundaries(s, "video_id", "cut")
+    chapters = li.chapters_from_boundaries(s, "video_id", "cut").withColumn("title", F.lit("t"))
     videos = s.select("video_id", (F.col("video_id") % 5).alias("project_id"), F.concat(F.lit("v"), F.col("video_id").cast("string")).alias("path")).distinct()
-    return li.outline(videos, chapters, s.where("segment_id % 4 = 0").select("video_id", "start_ms", "text"))
+    text = li.outline_text(li.outline(videos, chapters, s.where("segment_id % 4 = 0").select("video_id", "start_ms", "text")))
+    return text.select("project_id", "video_id", "detail", F.sha2("text", 256).alias("sha"))

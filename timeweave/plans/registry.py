@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from timeweave.plans import catalog, edits, folds, intervals, library, search, series, streams, text
+from timeweave.plans import catalog, edits, folds, intervals, library, pictures, search, series, speech, streams, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (intervals, text, catalog, series, search, folds, edits, streams, library):
+for module in (intervals, text, catalog, series, search, folds, edits, streams, library, speech, pictures):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timeweave.operators import reports as rp
 from timeweave.operators import series as se
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
@@ -111,24 +112,21 @@ def d11_shaky_time(spark, d):
 
 @query("""WITH m AS (SELECT series_id, count(*) AS n, list_sort(list(level))[count(*) // 2 + 1] AS mid FROM series GROUP BY 1) SELECT s.series_id, event_id, n >= 3 AND level < mid - 800 AS off_mic FROM series s JOIN m USING (series_id)""", "series")
 def d8_flag_by_level(spark, d):
-    s = _series(spark, d)
-    mid = s.groupBy("series_id").agg(F.count("level").alias("n"), se.upper_median(F.collect_list("level")).alias("mid"))
-    return s.join(mid, "series_id").select("series_id", "event_id", ((F.col("n") >= 3) & (F.col("level") < F.col("mid") - 800)).alias("off_mic"))
+    return rp.flag_by_level(_series(spark, d), "series_id", "level", 800).select("series_id", "event_id", "off_mic")
 
 
-@query("SELECT series_id, max_by(label, level * 1000 - ascii(label)) AS label, max(level) AS level FROM (SELECT series_id, label, max(level) AS level FROM series WHERE level > 100 GROUP BY 1, 2) a GROUP BY 1", "series")
+@query("""WITH l AS (SELECT series_id, event_id % 5 AS track, max(level) / 1e2 - 75e0 AS db FROM series GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY db DESC, track) AS k FROM l WHERE db > -7e1) SELECT series_id, track, round(db, 6) AS db FROM r WHERE k = 1""", "series")
 def d9_pick_track(spark, d):
-    per = _series(spark, d).where("level > 100").groupBy("series_id", "label").agg(F.max("level").alias("level"))
-    return per.groupBy("series_id").agg(F.max_by("label", F.col("level") * 1000 - F.ascii("label")).alias("label"), F.max("level").alias("level"))
+    per = _series(spark, d).groupBy("series_id", (F.col("event_id") % 5).alias("track")).agg((F.max("level") / 100.0 - 75.0).alias("db"))
+    return rp.pick_track(per, "series_id").withColumn("db", F.round("db", 6))
 
 
-@query("""WITH v AS (SELECT video_id, speaker, count(*) AS lines, avg(CASE WHEN segment_id % 3 <> 0 THEN 1e0 ELSE 0e0 END) AS share FROM segments WHERE speaker IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT s.segment_id, s.segment_id % 3 <> 0 OR coalesce(v.share >= 5e-1, FALSE) AS off_mic, CASE WHEN s.segment_id % 3 <> 0 THEN 'level' WHEN coalesce(v.share >= 5e-1, FALSE) THEN 'voice' END AS source FROM segments s LEFT JOIN v ON s.video_id = v.video_id AND s.speaker = v.speaker""", "segments")
+@query("""WITH s AS (SELECT *, segment_id % 3 <> 0 AS flagged, CASE WHEN video_id % 5 = 0 AND segment_id % 2 = 0 THEN 1 END AS person_id FROM segments), v AS (SELECT video_id, speaker FROM s WHERE speaker IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3 AND avg(CASE WHEN flagged THEN 1e0 ELSE 0e0 END) >= 5e-1 AND max(person_id) IS NULL)
+SELECT s.segment_id, s.flagged OR v.video_id IS NOT NULL AS off_mic, CASE WHEN s.flagged THEN 'level' WHEN v.video_id IS NOT NULL THEN 'voice' END AS off_source FROM s LEFT JOIN v ON s.video_id = v.video_id AND s.speaker = v.speaker""", "segments")
 def d7_flag_by_voice(spark, d):
-    s = fixture(spark, d, "segments").withColumn("flagged", F.col("segment_id") % 3 != 0)
-    v = s.where("speaker IS NOT NULL").groupBy("video_id", "speaker").agg(F.count(F.lit(1)).alias("lines"), F.avg(F.col("flagged").cast("double")).alias("share")).where("lines >= 2 AND share >= 0.5")
-    got = s.join(v, ["video_id", "speaker"], "left").withColumn("voiced", F.col("share").isNotNull())
-    return got.select("segment_id", (F.col("flagged") | F.col("voiced")).alias("off_mic"), F.when(F.col("flagged"), "level").when(F.col("voiced"), "voice").alias("source"))
+    s, i = fixture(spark, d, "segments"), F.col("segment_id")
+    s = s.withColumn("off_mic", i % 3 != 0).withColumn("off_source", F.when(i % 3 != 0, "level")).withColumn("person_id", F.when((F.col("video_id") % 5 == 0) & (i % 2 == 0), 1))
+    return rp.flag_by_voice(rp.flag_by_voice(s)).select("segment_id", "off_mic", "off_source")
 
 
 @query("""WITH s AS (SELECT series_id, label, idx, avg(level) OVER w AS m, count(level) OVER w AS k, event_id % 3 = 0 AS act FROM series WINDOW w AS (PARTITION BY series_id ORDER BY idx RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timeweave.functions import text as tx
+from timeweave.operators import reports as rp
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
 
@@ -105,13 +106,13 @@ def b2_query_terms(spark, d):
 @query(r"""SELECT segment_id FROM segments WHERE NOT coalesce(off_mic, FALSE) AND trim(text) <> '' AND NOT (regexp_matches(trim(text), '(?s)^(\[.*\]|\(.*\))$') OR NOT regexp_matches(text, '[\p{L}\p{N}]'))""", "segments")
 def b5_b6_spoken(spark, d):
     s = fixture(spark, d, "segments")
-    return s.where(~F.coalesce("off_mic", F.lit(False)) & (F.trim("text") != "") & ~tx.non_speech(F.col("text"))).select("segment_id")
+    return rp.spoken(s).select("segment_id")
 
 
-@query("""WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'b-roll' WHEN 'view' THEN 'drone' WHEN 'purchase' THEN 'interview' ELSE event_type END AS category, value FROM events)
-SELECT event_id, CASE category WHEN 'interview' THEN 'Interviews' WHEN 'b-roll' THEN 'B-Roll' WHEN 'drone' THEN 'Drones & Aerials' ELSE upper(substr(category, 1, 1)) || substr(lower(category), 2) END AS folder,
-category IN ('b-roll', 'drone') AND (value > 10 OR event_id % 2 = 0) AS ambience FROM c""")
+@query("""WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'broll' WHEN 'view' THEN 'drone' WHEN 'purchase' THEN 'interview' ELSE event_type END AS category, value FROM events)
+SELECT event_id, CASE category WHEN 'interview' THEN 'Interviews' WHEN 'broll' THEN 'B-Roll' WHEN 'drone' THEN 'Drones & Aerials' ELSE upper(substr(category, 1, 1)) || substr(lower(category), 2) END AS folder,
+category IN ('broll', 'drone') AND (value > 10 OR event_id % 2 = 0) AS ambience FROM c""")
 def b7_categories(spark, d):
     e = fixture(spark, d, "events")
-    cat = F.when(F.col("event_type") == "click", "b-roll").when(F.col("event_type") == "view", "drone").when(F.col("event_type") == "purchase", "interview").otherwise(F.col("event_type"))
+    cat = F.when(F.col("event_type") == "click", "broll").when(F.col("event_type") == "view", "drone").when(F.col("event_type") == "purchase", "interview").otherwise(F.col("event_type"))
     return e.withColumn("category", cat).select("event_id", tx.folder_of(F.col("category")).alias("folder"), tx.plays_ambience(F.col("category"), F.greatest(F.col("value") - 10, F.lit(0.0)), F.when(F.col("event_id") % 2 == 0, "manual").otherwise("auto")).alias("ambience"))

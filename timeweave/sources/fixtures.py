@@ -60,4 +60,6 @@ def with_fixtures(sql: str, *names: str) -> str:
     """DuckDB SQL with the named derived tables in front as common table expressions."""
     head = ", ".join(f"{n} AS ({DUCK[n]})" for n in names)
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql[15:]}"
     return f"WITH {head}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {head} {sql}"

@@ -97,7 +97,70 @@ def run_states(events: DataFrame, stale_ms: int, now_ms: int) -> DataFrame:
     return last.withColumn("state", F.when((F.col("state") == "running") & (F.lit(now_ms) - F.col("at_ms") > stale_ms), "failed").otherwise(F.col("state")))
 
 
-def expire(trash: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
-    """(project_id, n, items): what has lain longer than ``days``, one row a project."""
+def expire(trash: DataFrame, now_ms: int, days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(items, summary): what has lain longer than ``days`` (project_id, item_id), and (project_id, n, first, last)."""
     old = trash.where(F.lit(now_ms) - F.col("deleted_ms") > days * 86_400_000)
-    return old.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("item_id")).alias("items"))
+    summary = old.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first"), F.max("item_id").alias("last"))
+    return old.select("project_id", "item_id"), summary
+
+
+def stream_tracks(detections: DataFrame, key: str, least: float = 0.3, expire_ms: int = 1_000, late: str = "2 seconds") -> DataFrame:
+    """(key, track, start_ms, end_ms, n): tracks of a stream of detections, each told once it has expired.
+
+    detections(key, at timestamp, box_id, x, y, w, h, embedding). The rule is that of folds.link_tracks; a key's state
+    is its live tracks and the detections that the watermark hasn't passed, so late ones are put in order. A batch gives
+    the same tracks.
+    """
+    from timeweave.operators import folds
+
+    kind = f"{key} long, track long, start_ms long, end_ms long, n long"
+    if not detections.isStreaming:
+        x = detections.withColumn("at_ms", F.unix_millis("at"))
+        linked = folds.link_tracks(x, key, least, expire_ms).join(x.select("box_id", "at_ms"), "box_id")
+        return linked.groupBy(key, "track").agg(F.min("at_ms").alias("start_ms"), F.max("at_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pickle
+
+        linker = pickle.loads(state.get[0]) if state.exists else {"live": {}, "wait": []}
+        for f in frames:
+            for r in f.itertuples(index=False):
+                e = None if r.embedding is None else [float(v) for v in r.embedding]
+                linker["wait"].append((int(r.at.timestamp() * 1000), int(r.box_id), float(r.x), float(r.y), float(r.w), float(r.h), e))
+        now = state.getCurrentWatermarkMs()
+        due = sorted(d for d in linker["wait"] if d[0] < now or state.hasTimedOut and d[0] <= now)
+        linker["wait"] = [d for d in linker["wait"] if d not in due]
+        told = []
+        for at in sorted({d[0] for d in due}):
+            told += folds.expired(linker["live"], at, expire_ms)
+            folds.match_boxes(linker["live"], [d for d in due if d[0] == at], least)
+        told += folds.expired(linker["live"], now, expire_ms)
+        if linker["live"] or linker["wait"]:
+            state.update((pickle.dumps(linker),))
+            marks = [d[0] for d in linker["wait"]] + [t["end_ms"] + expire_ms for t in linker["live"].values()]
+            state.setTimeoutTimestamp(max(min(marks) + 1, now + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame([{key: k[0], "track": t["track"], "start_ms": t["start_ms"], "end_ms": t["end_ms"], "n": t["n"]} for t in told], columns=[key, "track", "start_ms", "end_ms", "n"])
+
+    e = detections.withWatermark("at", late)
+    return e.groupBy(key).applyInPandasWithState(run, kind, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replace_keys(old: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Rows with every key of ``batch`` replaced whole by its rows there: how late or repeated results of a key are taken."""
+    return old.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
+
+
+def reset_interrupted(jobs: DataFrame) -> DataFrame:
+    """Jobs with what was running pending again, as after a restart."""
+    return jobs.withColumn("state", F.when(F.col("state") == "running", "pending").otherwise(F.col("state")))
+
+
+def reopen(jobs: DataFrame, asked: DataFrame, stages: list[str]) -> DataFrame:
+    """Jobs with each stage asked for, asked(video_id, stage), and all later ones of the video pending and unattempted."""
+    at = lambda c: F.array_position(F.array(*map(F.lit, stages)), c)
+    first = asked.groupBy("video_id").agg(F.min(at(F.col("stage"))).alias("_from"))
+    again = F.coalesce((at(F.col("stage")) >= F.col("_from")) & (F.col("state") != "disabled"), F.lit(False))
+    out = jobs.join(first, "video_id", "left").withColumn("_again", again)
+    return out.withColumn("state", F.when(F.col("_again"), "pending").otherwise(F.col("state"))).withColumn("attempts", F.when(F.col("_again"), 0).otherwise(F.col("attempts"))).drop("_from", "_again")
