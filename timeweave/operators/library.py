@@ -279,7 +279,7 @@ def quotable_runs(segments: DataFrame, key: str, least: int = QUOTE_MS, most: in
     ahead = Window.partitionBy(key).orderBy("start_ms").rangeBetween(0, most - 1)
     x = x.withColumn("_next", F.filter(F.collect_list(F.struct("i", "end_ms", "own", "ends", "upto", "start_ms")).over(ahead), lambda e: e["i"] >= F.col("i")))
     fits = lambda e: e["ends"] & (e["own"] >= last_words) & (e["end_ms"] - F.col("start_ms")).between(least, most) & (e["upto"] - F.col("upto") + F.col("own") >= words)
-    x = x.withColumn("_e", F.element_at(F.array_sort(F.filter("_next", fits)), -1)).where("_e IS NOT NULL")
+    x = x.withColumn("_e", F.array_max(F.filter("_next", fits))).where("_e IS NOT NULL")
     inner = F.transform(F.filter("_next", lambda e: (e["i"] <= F.col("_e.i")) & (e["end_ms"] < F.col("_e.end_ms") - 10) & (e["end_ms"] > F.col("start_ms"))), lambda e: e["end_ms"])
     return x.select(key, "segment_id", "start_ms", F.col("_e.end_ms").alias("end_ms"), F.array_sort(inner).alias("breaks"))
 

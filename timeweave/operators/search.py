@@ -66,7 +66,9 @@ def keyword_candidates(queries: DataFrame, postings: DataFrame, lengths: DataFra
     df = per.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
-    scored = terms.join(per.join(df, "q").join(lengths, ident).select("q", ident, weight.alias("w")), "q")
+    weights = per.join(df, "q").join(lengths, ident).select("q", ident, weight.alias("w"))
+    # dealt by document once: what the queries add up to of a document is summed where it lies
+    scored = weights.repartition(ident).join(terms, "q")
     scored = scored.groupBy("query_id", ident).agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("hit")).join(counts, "query_id")
     whole = scored.where("hit = n_terms AND n_terms > 1").select("query_id", ident)
     words = folded.select("query_id", F.posexplode(search_words(F.col("text"))).alias("at", "term"))

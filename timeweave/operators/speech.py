@@ -71,10 +71,12 @@ def align(words: list[str], timed: list, start: float, end: float) -> list[tuple
     return times
 
 
-@F.pandas_udf(TIMES)
-def align_words(words: pd.Series, timed: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+def align_words(words: Column, timed: Column, start: Column, end: Column) -> Column:
     """A time for each word of ``words`` from ``timed``, array<struct<text, start_ms, end_ms>>, in Arrow batches."""
+    return F.pandas_udf(_aligned, TIMES)(words, timed, start, end)
 
+
+def _aligned(words: pd.Series, timed: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     def one(w, t, s, e):
         if w is None:
             return None
@@ -110,7 +112,7 @@ def word_times(segments: DataFrame) -> DataFrame:
     if "words" not in segments.columns:
         return out.withColumn("times", _shared_times(F.col("tokens"), F.col("start_ms"), F.col("end_ms")))
     heard = F.coalesce(F.size("words"), F.lit(0)) > 0
-    timed = align_words("tokens", "words", F.col("start_ms").cast("double"), F.col("end_ms").cast("double"))
+    timed = align_words(F.col("tokens"), F.col("words"), F.col("start_ms").cast("double"), F.col("end_ms").cast("double"))
     return out.withColumn("times", F.when(heard, timed).otherwise(_shared_times(F.col("tokens"), F.col("start_ms"), F.col("end_ms"))))
 
 

@@ -85,7 +85,7 @@ def m2_label_speakers(spark, d):
 
 @query("")
 def m3_group_people(spark, d):
-    return pe.group_people(fixture(spark, d, "tracks").withColumn("project_id", F.col("video_id") % 2), 0.35)
+    return pe.group_people(fixture(spark, d, "tracks").withColumn("project_id", F.col("video_id") % 2), 0.35, 9_000, 0.25)
 
 
 @query("")

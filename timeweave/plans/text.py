@@ -39,7 +39,7 @@ def t2_clock_and_refs(spark, d):
 
 
 @query(r"""SELECT video_id, line_no, CASE WHEN length(text) <= 40 THEN text ELSE rtrim(substr(text, 1, 39)) || '…' END AS short,
-CASE WHEN length(text) <= 40 THEN text WHEN length(regexp_replace(substr(text, 1, 41), '\s+\S*$', '')) <= 40 THEN regexp_replace(substr(text, 1, 41), '\s+\S*$', '') ELSE substr(text, 1, 40) END AS title FROM doc_lines""", "doc_lines")
+CASE WHEN length(rtrim(trim(text), '.!?,;:')) <= 40 THEN rtrim(trim(text), '.!?,;:') ELSE rtrim(regexp_replace(substr(rtrim(trim(text), '.!?,;:'), 1, 40), ' [^ ]*$', ''), ',;:') || '…' END AS title FROM doc_lines""", "doc_lines")
 def t3_shorten(spark, d):
     return _lines(spark, d).select("video_id", "line_no", tx.shorten(F.col("text"), 40).alias("short"), tx.title_of(F.col("text"), 40).alias("title"))
 
