@@ -31,7 +31,9 @@ SAMPLE_ROWS, TRIED = 4096, 48
 #: Projections and cell widths (as a share of a typical neighbour's distance) to choose from.
 PROJECTIONS, CELLS = (1, 2, 3, 4, 5, 6, 8, 10, 12), (0.7, 1.4)
 #: What a probe costs, in distances computed; the longest sequence, beyond which a query scans all rows.
-PROBE_COST, MOST_PROBES = 300, 1024
+PROBE_COST, MOST_PROBES = 60, 1024
+#: What a query without a sequence counts as when parameters are chosen, in scans: one projection always has sequences.
+LONG = 1000.0
 #: Rows of a bucket's part; queries of one scan.
 PART_ROWS, SCAN_QUERIES = 8192, 2048
 _U = np.uint64
@@ -136,7 +138,7 @@ class Tables:
                 cost = 0.0
                 for q, r in zip(tried, near, strict=True):
                     keys = one.probes(q[None], np.array([r]), 0, MOST_PROBES)[0]
-                    cost += rows if keys is None else len(keys) * PROBE_COST + np.isin(buckets, keys).mean() * rows
+                    cost += LONG * rows if keys is None else len(keys) * PROBE_COST + np.isin(buckets, keys).mean() * rows
                 if best is None or cost < best[0]:
                     best = (cost, one)
         return best[1]
