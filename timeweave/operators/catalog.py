@@ -86,11 +86,16 @@ def current_jobs(events: DataFrame) -> DataFrame:
     )
 
 
-def claimable(jobs: DataFrame, prereqs: dict[str, str], max_attempts: int = 3) -> DataFrame:
-    """Jobs that may start: pending, or failed fewer than ``max_attempts`` times, whose prerequisite stage is done."""
+def claimable(jobs: DataFrame, prereqs: dict[str, str], max_attempts: int = 3, files: DataFrame | None = None) -> DataFrame:
+    """Jobs that may start: pending, or failed fewer than ``max_attempts`` times, whose prerequisite stage is done.
+
+    With files(file_id, video_id, path) of a scope only its videos' jobs, with ``path``, that of the smallest file id.
+    """
+    if files is not None:
+        jobs = jobs.join(files.groupBy("video_id").agg(F.min_by("path", "file_id").alias("path")), "video_id")
     ready = jobs.where((F.col("state") == "pending") | ((F.col("state") == "failed") & (F.col("attempts") < max_attempts)))
     needs = F.create_map(*[F.lit(x) for kv in prereqs.items() for x in kv])
-    ready = ready.withColumn("_need", needs[F.col("stage")])
+    ready = ready.withColumn("_need", needs[F.col("stage")] if prereqs else F.lit(None).cast("string"))
     done = jobs.where("state = 'done'").select("video_id", F.col("stage").alias("_need"))
     free = ready.where("_need IS NULL")
     return free.unionByName(ready.where("_need IS NOT NULL").join(done, ["video_id", "_need"], "left_semi")).drop("_need")

@@ -69,18 +69,25 @@ def match_lines_to_pictures(lines: DataFrame, pictures: DataFrame, k: int) -> Da
 
 
 def resolve_refs(clips: DataFrame, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(resolved, errors): clips(clip_id, from_ref, to_ref) with ``s12`` or ``s12@3`` references to milliseconds.
+    """(resolved, errors): clips(clip_id, from_ref, to_ref) with ``s12``, ``s12@3`` or seconds as references.
 
     sentences(sentence_id, video_id, start_ms, end_ms, words array<struct<start_ms, end_ms>>). A word reference counts
-    from 1. Unknown sentences or words, two videos, and reversed ranges are errors.
+    from 1. Beds are clips like others. clips may have ``video_id`` and ``audio``: seconds are of that video, and a clip
+    that names another video than its sentences is corrected to theirs, unless it is muted. Unknown sentences or words,
+    two videos, and reversed ranges are errors.
     """
     s = lambda p: sentences.select(F.col("sentence_id").alias(f"_{p}s"), F.col("video_id").alias(f"_{p}v"), F.col("start_ms").alias(f"_{p}a"), F.col("end_ms").alias(f"_{p}e"), F.col("words").alias(f"_{p}w"))
-    c = clips.withColumn("_f", sentence_ref(F.col("from_ref"))).withColumn("_t", sentence_ref(F.col("to_ref")))
+    given = F.col("video_id") if "video_id" in clips.columns else F.lit(None).cast("long")
+    mute = F.coalesce(F.col("audio") == "mute", F.lit(False)) if "audio" in clips.columns else F.lit(False)
+    c = clips.select("clip_id", given.alias("_given"), mute.alias("_mute"), *[sentence_ref(F.col(r)).alias(f"_{r[0]}") for r in ("from_ref", "to_ref")], *[F.round(F.expr(f"try_cast({r} AS DOUBLE)") * 1000).cast("long").alias(f"_{r[0]}ms") for r in ("from_ref", "to_ref")])
     both = c.join(s("f"), F.col("_f.sentence") == F.col("_fs"), "left").join(s("t"), F.col("_t.sentence") == F.col("_ts"), "left")
-    start = F.when(F.col("_f.word").isNull(), F.col("_fa")).when(F.col("_f.word") >= 1, F.get("_fw", F.col("_f.word") - 1)["start_ms"])
-    end = F.when(F.col("_t.word").isNull(), F.col("_te")).when(F.col("_t.word") >= 1, F.get("_tw", F.col("_t.word") - 1)["end_ms"])
-    wrong = F.when(F.col("_fs").isNull() | F.col("_ts").isNull(), "unknown sentence").when(start.isNull() | end.isNull(), "unknown word").when(F.col("_fv") != F.col("_tv"), "two videos").when(start >= end, "reversed")
-    out = both.select("clip_id", F.col("_fv").alias("video_id"), start.alias("in_ms"), end.alias("out_ms"), wrong.alias("error"))
+    start = F.coalesce("_fms", F.when(F.col("_f.word").isNull(), F.col("_fa")).when(F.col("_f.word") >= 1, F.get("_fw", F.col("_f.word") - 1)["start_ms"]))
+    end = F.coalesce("_tms", F.when(F.col("_t.word").isNull(), F.col("_te")).when(F.col("_t.word") >= 1, F.get("_tw", F.col("_t.word") - 1)["end_ms"]))
+    unknown = (F.col("_fs").isNull() & F.col("_fms").isNull()) | (F.col("_ts").isNull() & F.col("_tms").isNull())
+    said = F.coalesce("_fv", "_tv")
+    video = F.when(F.col("_mute"), F.coalesce("_given", said)).otherwise(F.coalesce(said, "_given"))
+    wrong = F.when(unknown, "unknown sentence").when(start.isNull() | end.isNull(), "unknown word").when(F.col("_fv") != F.col("_tv"), "two videos").when(start >= end, "reversed")
+    out = both.select("clip_id", video.alias("video_id"), start.alias("in_ms"), end.alias("out_ms"), wrong.alias("error"))
     return out.where("error IS NULL").drop("error"), out.where("error IS NOT NULL").select("clip_id", "error")
 
 
@@ -295,12 +302,90 @@ def names_from_introductions(segments: DataFrame, people: DataFrame) -> DataFram
     return per.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("speaker", F.col("heard").alias("name"), "n")
 
 
-def enrich_hits(hits: DataFrame, videos: DataFrame, frames: DataFrame, reach: int = 30_000) -> DataFrame:
-    """Hits with their video's path and the frame nearest to their start."""
-    from timeweave.operators.intervals import nearest
+def enrich_hits(hits: DataFrame, videos: DataFrame, frames: DataFrame, reach: int = 30_000, projects: DataFrame | None = None, styles: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
+    """Hits with their video's path and the frame nearest to their start; with the tables given also the projects the
+    video is in, its camera style, and of the sentences a hit overlaps the first and last and the one that shares most
+    words with the query.
+
+    hits(hit_id, video_id, start_ms, end_ms, query), the latter three only where sentences are given;
+    projects(project_id, video_id), styles(video_id, style), sentences(video_id, segment_id, start_ms, end_ms, text).
+    """
+    from timeweave.operators.intervals import nearest, overlap_join
 
     near = nearest(hits, frames.select("video_id", F.col("at_ms").alias("frame_ms"), "frame_id"), "video_id", "start_ms", "frame_ms", ["frame_id"], reach)
-    return near.drop("matched_frame_ms").join(videos.select("video_id", "path"), "video_id", "left")
+    out = near.drop("matched_frame_ms").join(videos.select("video_id", "path"), "video_id", "left")
+    if projects is not None:
+        out = out.join(projects.groupBy("video_id").agg(F.array_sort(F.collect_set("project_id")).alias("projects")), "video_id", "left")
+    if styles is not None:
+        out = out.join(styles.select("video_id", "style"), "video_id", "left")
+    if sentences is not None:
+        met = overlap_join(hits.select("hit_id", "video_id", "start_ms", "end_ms", "query"), sentences.select("video_id", "segment_id", "start_ms", "end_ms", "text"), "video_id")
+        shared = F.size(F.array_intersect(F.array_distinct(search_words(F.col("query"))), F.array_distinct(search_words(F.col("b_text")))))
+        place = F.struct("b_start_ms", "b_segment_id")
+        told = met.withColumn("_n", shared).groupBy("hit_id").agg(
+            F.min_by("b_segment_id", place).alias("first_sentence"), F.max_by("b_segment_id", place).alias("last_sentence"), F.max_by("b_segment_id", F.struct("_n", -F.col("b_start_ms"), -F.col("b_segment_id"))).alias("best_sentence"))
+        out = out.join(told, "hit_id", "left")
+    return out
+
+
+def merge_people(people: DataFrame, mapping: DataFrame) -> DataFrame:
+    """people(person_id, name, handle, role, embedding) with those that mapping(node, component) joins made one: the
+    first of its members' attributes that is set, by id, and the mean of their embeddings at length 1."""
+    from timeweave.operators.vectors import centroids
+
+    x = people.join(mapping.select(F.col("node").alias("person_id"), F.col("component").alias("_c")), "person_id", "left").withColumn("_c", F.coalesce("_c", "person_id"))
+    set_first = lambda c: F.min_by(c, F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.col("person_id"))).alias(c)
+    one = x.groupBy("_c").agg(*[set_first(c) for c in ("name", "handle", "role")])
+    mean = centroids(x.where("embedding IS NOT NULL"), "_c", "embedding").withColumnRenamed("centroid", "embedding")
+    return one.join(mean, "_c", "left").withColumnRenamed("_c", "person_id")
+
+
+# What a description, a probe's streams and a tool call look like.
+DESCRIPTION = "description string, visible_text array<string>, objects array<string>, setting string, shot string, tags array<string>"
+PROBE = "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,avg_frame_rate:string,disposition:struct<attached_pic:int>,tags:struct<rotate:string>,side_data_list:array<struct<rotation:double>>>>, format struct<duration:string>"
+TOOL_CALL = "struct<name:string,arguments:string>"
+
+
+def parse_descriptions(df: DataFrame, column: str = "description_json") -> DataFrame:
+    """Rows with ``description`` parsed from JSON; those whose JSON is broken are left out."""
+    out = df.withColumn("description", F.from_json(column, DESCRIPTION))
+    return out.where(F.col("description").isNotNull() & F.col("description.description").isNotNull())
+
+
+def rate_of(c: Column) -> Column:
+    """A rate such as ``30000/1001`` as a number; null of anything else or of a zero denominator."""
+    parts = F.split(c, "/")
+    return F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.coalesce(F.get(parts, F.lit(1)), F.lit("1")).try_cast("double"))
+
+
+def parse_probe(df: DataFrame, column: str = "probe_json") -> DataFrame:
+    """Adds ``probe``: struct(length_ms, width, height, fps, vfr, has_audio, vcodec, rotation) of a file's probe.
+
+    The video is the first video stream that is no cover picture; its rate varies where nominal and average rate differ
+    by more than a hundredth. A picture turned by a quarter has its sides exchanged.
+    """
+    got = F.from_json(column, PROBE)
+
+    def told(p: Column) -> Column:
+        kind = lambda k: F.filter(F.coalesce(p["streams"], F.array()), lambda s: s["codec_type"] == k)
+        v = F.get(F.filter(kind("video"), lambda s: F.coalesce(s["disposition"]["attached_pic"], F.lit(0)) == 0), F.lit(0))
+        nominal, mean = rate_of(v["r_frame_rate"]), rate_of(v["avg_frame_rate"])
+        turn = F.pmod(F.coalesce(F.get(F.transform(v["side_data_list"], lambda s: s["rotation"]), F.lit(0)), v["tags"]["rotate"].try_cast("double"), F.lit(0.0)).cast("int"), F.lit(360))
+        side = turn.isin(90, 270)
+        return F.struct(
+            (p["format"]["duration"].try_cast("double") * 1000).cast("long").alias("length_ms"), F.when(side, v["height"]).otherwise(v["width"]).alias("width"), F.when(side, v["width"]).otherwise(v["height"]).alias("height"),
+            F.coalesce(mean, nominal).alias("fps"), (F.abs(nominal - mean) > nominal * 0.01).alias("vfr"), (F.size(kind("audio")) > 0).alias("has_audio"), v["codec_name"].alias("vcodec"), turn.alias("rotation"))
+
+    return df.withColumn("probe", F.when(got.isNotNull(), F.transform(F.array(got), told)[0]))
+
+
+def parse_tool_calls(c: Column) -> Column:
+    """Tool calls from JSON in array or object form, as array<struct<name, arguments>>; none of anything else."""
+    text = F.trim(c)
+    many = F.from_json(text, f"array<{TOOL_CALL}>")
+    one = F.array(F.from_json(text, "name string, arguments string"))
+    got = F.when(text.startswith("["), many).when(text.startswith("{"), one)
+    return F.coalesce(F.filter(got, lambda t: t.isNotNull() & t["name"].isNotNull()), F.array().cast(f"array<{TOOL_CALL}>"))
 
 
 def outline(videos: DataFrame, chapters: DataFrame, lines: DataFrame) -> DataFrame:

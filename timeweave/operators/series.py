@@ -158,6 +158,19 @@ def moment_chunks(frames: DataFrame, key: str, at: str, ident: str, longest: int
 HANDHELD_SHAKE, HANDHELD_SWAY, MOVING, TRIPOD_SHARE = 0.55, 0.9, 0.06, 0.4
 
 
+def moment_documents(frames: DataFrame, segments: DataFrame, longest: int = 30_000, reach: int = 15_000) -> DataFrame:
+    """(video_id, frame_id, start_ms, end_ms, text): a document for each frame, its text and what is said near it.
+
+    frames(video_id, frame_id, at_ms, text), segments(video_id, segment_id, start_ms, end_ms, text)
+    """
+    from timeweave.operators.story import speech_within
+
+    spans = moment_chunks(frames, "video_id", "at_ms", "frame_id", longest)
+    said = speech_within(frames, segments, reach)
+    text = F.concat_ws("\n", F.nullif(F.trim("text"), F.lit("")), F.nullif(F.trim("said"), F.lit("")))
+    return spans.join(said, "frame_id", "left").select("video_id", "frame_id", "start_ms", "end_ms", text.alias("text")).where("text <> ''")
+
+
 def camera_style(windows: DataFrame, key: str) -> DataFrame:
     """Style by the medians of shake and sway and the share of moving windows; ``unknown`` where nothing was measured."""
     shake, sway = (upper_median_of(windows, [key], c, into) for c, into in (("jerk", "shake"), ("sway", "sway")))

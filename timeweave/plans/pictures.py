@@ -186,3 +186,65 @@ def t7_correct_terms(spark, d):
     """Two terms corrected wherever they are heard (English words, whose edges both engines see alike)."""
     terms = F.array(F.struct(F.lit("THE").alias("term"), F.array(F.lit("the"), F.lit(" ")).alias("variants")), F.struct(F.lit("And").alias("term"), F.array(F.lit("and")).alias("variants")))
     return fixture(spark, d, "segments").select("segment_id", tx.correct_terms(F.col("text"), terms).alias("text"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(event_id % 50 * 1000 AS BIGINT) END AS length_ms, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 2 = 0 THEN 1080 ELSE 1920 END AS width, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 3 = 0 END AS vfr, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 5 <> 0 END AS has_audio FROM events""")
+def a7_parse_probe(spark, d):
+    """Probes written as JSON from the events and read again, every fourth broken."""
+    e, i = fixture(spark, d, "events"), F.col("event_id")
+    cover = '{"codec_type":"video","codec_name":"png","width":9,"height":9,"disposition":{"attached_pic":1}},'
+    video = F.concat(F.lit('{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"r_frame_rate":"30/1","avg_frame_rate":"'), F.when(i % 3 == 0, "24/1").otherwise("30000/1001"), F.lit('","side_data_list":[{"rotation":'), F.when(i % 2 == 0, "-90").otherwise("0"), F.lit("}]}"))
+    audio = F.when(i % 5 != 0, ',{"codec_type":"audio"}').otherwise("")
+    text = F.concat(F.lit('{"streams":[' + cover), video, audio, F.lit('],"format":{"duration":"'), (i % 50).cast("string"), F.lit('"}}'))
+    got = li.parse_probe(e.select("event_id", F.when(i % 4 == 3, F.lit(None)).otherwise(text).alias("probe_json")))
+    return got.select("event_id", "probe.length_ms", "probe.width", "probe.vfr", "probe.has_audio")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN event_type ELSE '' END AS names FROM events")
+def a7_tool_calls(spark, d):
+    e, i = fixture(spark, d, "events"), F.col("event_id")
+    text = F.when(i % 4 == 0, '[{"name":"a","arguments":"{}"},{"name":"b"},{"x":1}]').when(i % 4 == 1, F.concat(F.lit(' {"name":"'), "event_type", F.lit('"}'))).when(i % 4 == 2, "no json")
+    return e.select("event_id", F.array_join(F.transform(li.parse_tool_calls(text), lambda t: t["name"]), ",").alias("names"))
+
+
+@query("""SELECT c_custkey % 40 AS person_id, min_by('n' || CAST(c_custkey AS VARCHAR), c_custkey) FILTER (WHERE c_custkey % 3 = 0) AS name, CAST(NULL AS VARCHAR) AS handle, min_by('r', c_custkey) AS role FROM customer GROUP BY 1""")
+def d24_merge_people(spark, d):
+    c, i = fixture(spark, d, "customer"), F.col("c_custkey")
+    people = c.select(i.alias("person_id"), F.when(i % 3 == 0, F.concat(F.lit("n"), i.cast("string"))).otherwise(" ").alias("name"), F.lit(None).cast("string").alias("handle"), F.lit("r").alias("role"), F.lit(None).cast("array<double>").alias("embedding"))
+    return li.merge_people(people, c.select(i.alias("node"), (i % 40).alias("component"))).select("person_id", "name", "handle", "role")
+
+
+@query("""WITH h AS (SELECT chunk_id AS hit_id, c.video_id, s.segment_id, s.start_ms, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(c.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')), list_distinct(list_filter(string_split_regex(lower(s.text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')))) AS n FROM chunks c JOIN segments s ON c.video_id = s.video_id AND c.start_ms < s.end_ms AND s.start_ms < c.end_ms),
+t AS (SELECT hit_id, arg_min(segment_id, start_ms) AS first_sentence, arg_max(segment_id, start_ms) AS last_sentence FROM h GROUP BY 1), b AS (SELECT hit_id, segment_id, row_number() OVER (PARTITION BY hit_id ORDER BY n DESC, start_ms, segment_id) AS k FROM h)
+SELECT chunk_id AS hit_id, first_sentence, last_sentence, b.segment_id AS best_sentence, CASE WHEN c.video_id % 3 = 0 THEN 'tripod' END AS style, CAST(c.video_id % 4 AS VARCHAR) AS projects FROM chunks c LEFT JOIN t ON t.hit_id = chunk_id LEFT JOIN b ON b.hit_id = chunk_id AND k = 1""", "chunks", "segments")
+def f6_enrich_sentences(spark, d):
+    c = fixture(spark, d, "chunks")
+    hits = c.select(F.col("chunk_id").alias("hit_id"), "video_id", "start_ms", "end_ms", F.col("text").alias("query"))
+    v = c.select("video_id", F.lit("p").alias("path")).distinct()
+    frames = fixture(spark, d, "tracks").select("video_id", F.col("start_ms").alias("at_ms"), F.col("track_id").alias("frame_id"))
+    got = li.enrich_hits(hits, v, frames, 30_000, v.select("video_id", (F.col("video_id") % 4).alias("project_id")), v.where("video_id % 3 = 0").withColumn("style", F.lit("tripod")), fixture(spark, d, "segments"))
+    return got.select("hit_id", "first_sentence", "last_sentence", "best_sentence", "style", F.array_join(F.col("projects").cast("array<string>"), ",").alias("projects"))
+
+
+@query("""WITH f AS (SELECT video_id, chunk_id AS frame_id, start_ms AS at_ms, chunk_id, least(coalesce(lead(start_ms) OVER (PARTITION BY video_id ORDER BY start_ms, chunk_id), start_ms + 30000), start_ms + 30000) AS end_ms FROM chunks)
+SELECT f.video_id, frame_id, at_ms AS start_ms, f.end_ms, sha256('d' || CAST(frame_id AS VARCHAR) || coalesce(chr(10) || (SELECT nullif(string_agg(trim(text), ' ' ORDER BY start_ms, segment_id), '') FROM segments s WHERE s.video_id = f.video_id AND at_ms >= start_ms - 15000 AND at_ms < s.end_ms + 15000), '')) AS sha FROM f""", "chunks", "segments")
+def w12_moment_documents(spark, d):
+    from timeweave.operators.series import moment_documents
+
+    frames = fixture(spark, d, "chunks").select("video_id", F.col("chunk_id").alias("frame_id"), F.col("start_ms").alias("at_ms"), F.concat(F.lit("d"), F.col("chunk_id").cast("string")).alias("text"))
+    got = moment_documents(frames, fixture(spark, d, "segments"))
+    return got.select("video_id", "frame_id", "start_ms", "end_ms", F.sha2("text", 256).alias("sha"))
+
+
+@query("""WITH j AS (SELECT video_id, stage, max_by(state, seq) AS state FROM job_events GROUP BY 1, 2) SELECT j.video_id, stage, path FROM j JOIN (SELECT file_id % 150 AS video_id, min_by(path, file_id) AS path FROM files GROUP BY 1) p ON p.video_id = j.video_id WHERE state = 'pending'""", "job_events", "files")
+def c3_claimable_in_scope(spark, d):
+    files = fixture(spark, d, "files").select("file_id", (F.col("file_id") % 150).alias("video_id"), "path")
+    return cat.claimable(cat.current_jobs(fixture(spark, d, "job_events")), {}, 0, files).select("video_id", "stage", "path")
+
+
+@query("""SELECT segment_id AS clip_id, CASE WHEN segment_id % 2 = 0 THEN 9 ELSE video_id END AS video_id, CAST(start_ms AS BIGINT) AS in_ms, CAST(start_ms + 1500 AS BIGINT) AS out_ms FROM segments""", "segments")
+def c16_seconds_refs(spark, d):
+    s, i = fixture(spark, d, "segments"), F.col("segment_id")
+    sentences = s.select(i.alias("sentence_id"), "video_id", "start_ms", "end_ms", F.array(F.struct("start_ms", "end_ms")).alias("words"))
+    clips = s.select(i.alias("clip_id"), F.lit(9).cast("long").alias("video_id"), F.when(i % 2 == 0, "mute").otherwise("source").alias("audio"), F.concat(F.lit("s"), i.cast("string")).alias("from_ref"), ((F.col("start_ms") + 1500) / 1000).cast("string").alias("to_ref"))
+    return li.resolve_refs(clips, sentences)[0]
