@@ -143,7 +143,8 @@ def closing_pictures(scripts: DataFrame, clips: DataFrame, frames: DataFrame, sc
     scripts(script_id, project_id, last_line, hold_ms), clips(script_id, video_id) used, voices included;
     frames(video_id, at_ms, text, length_ms), scope(project_id, video_id), speech(video_id, start_ms, end_ms). The
     picture is a described frame of a video of the project that the script doesn't use, with room for the hold and
-    nobody speaking in it, that shares most words with the last line; of equals the last one counts.
+    nobody speaking in it, that shares most words with the last line; of equals the last one counts. Descriptions of one
+    instant are one.
     """
     words = lambda c: content_words(F.col(c))
     room = scripts.join(scope.select("project_id", "video_id").distinct(), "project_id").join(clips.select("script_id", "video_id").distinct(), ["script_id", "video_id"], "left_anti")
@@ -155,7 +156,7 @@ def closing_pictures(scripts: DataFrame, clips: DataFrame, frames: DataFrame, sc
     quiet = f.join(loud.select("project_id", "video_id", "at_ms", "hold_ms").distinct(), ["project_id", "video_id", "at_ms", "hold_ms"], "left_anti")
     # words meet by an equi-join; frames that share none come last, one a video being enough
     ask = room.select("script_id", "project_id", "video_id", "hold_ms", F.explode(words("last_line")).alias("w"))
-    met = ask.join(quiet.select("project_id", "video_id", "hold_ms", "at_ms", F.explode(words("text")).alias("w")), ["project_id", "video_id", "hold_ms", "w"])
+    met = ask.join(quiet.select("project_id", "video_id", "hold_ms", "at_ms", F.explode(words("text")).alias("w")).distinct(), ["project_id", "video_id", "hold_ms", "w"])
     shared = met.groupBy("script_id", "video_id", "at_ms").agg(F.count(F.lit(1)).alias("shared"))
     any_of = quiet.groupBy("project_id", "video_id", "hold_ms").agg(F.max("at_ms").alias("at_ms"))
     rest = room.join(any_of, ["project_id", "video_id", "hold_ms"]).select("script_id", "video_id", "at_ms", F.lit(0).cast("long").alias("shared"))

@@ -42,7 +42,10 @@ def w10_drop_near_repeats(spark, d):
     return fo.drop_near_repeats(_frames(spark, d), "series_id", "at_ms", "event_id", "bits", 1, 60_000)
 
 
-@query("")
+@query("""WITH RECURSIVE seg AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, segment_id) - 1 AS k FROM segments), top AS (SELECT video_id, max(k) AS m FROM seg GROUP BY 1),
+w AS (SELECT a.video_id, a.k AS first, max(b.k) AS last, any_value(a.start_ms) AS start_ms FROM seg a JOIN seg b ON a.video_id = b.video_id AND (b.k = a.k OR b.k > a.k AND b.end_ms - a.start_ms <= 30000) GROUP BY 1, 2),
+n AS (SELECT w.video_id, w.first, w.last, w.start_ms, any_value(e.end_ms) AS end_ms, min(c.k) AS nk FROM w JOIN seg e ON e.video_id = w.video_id AND e.k = w.last LEFT JOIN seg c ON c.video_id = w.video_id AND c.k > w.first AND c.start_ms >= e.end_ms - 5000 GROUP BY 1, 2, 3, 4),
+r AS (SELECT * FROM n WHERE first = 0 UNION ALL SELECT n.* FROM r JOIN top USING (video_id) JOIN n ON n.video_id = r.video_id AND n.first = r.nk WHERE r.last < m) SELECT video_id, first, last, start_ms, end_ms FROM r""", "segments")
 def w11_transcript_windows(spark, d):
     return fo.transcript_windows(fixture(spark, d, "segments"), "video_id")
 
@@ -65,7 +68,9 @@ def w21_stitch_chunks(spark, d):
     return fo.stitch_chunks(s, "video_id")
 
 
-@query("")
+@query("""WITH RECURSIVE v AS (SELECT video_id, max(end_ms) AS n FROM segments GROUP BY 1), r AS (SELECT video_id, n, CAST(0 AS BIGINT) AS at_ms FROM v
+UNION ALL SELECT r.video_id, r.n, coalesce((SELECT s.end_ms FROM segments s WHERE s.video_id = r.video_id AND abs(s.end_ms - (r.at_ms + 60000)) <= 12000 AND s.end_ms > r.at_ms ORDER BY abs(s.end_ms - (r.at_ms + 60000)), s.end_ms LIMIT 1), r.at_ms + 60000) FROM r WHERE r.n - r.at_ms > 72000)
+SELECT video_id, at_ms FROM r WHERE at_ms > 0""", "segments")
 def w22_chunk_bounds(spark, d):
     s = fixture(spark, d, "segments")
     videos = s.groupBy("video_id").agg(F.max("end_ms").alias("length_ms"))
@@ -103,7 +108,9 @@ def l6_select_diverse(spark, d):
     return fo.select_diverse(c, "project_id", 5)
 
 
-@query("")
+@query("""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY clip_index) AS i FROM clips), r AS (SELECT DISTINCT script_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(v BIGINT, a BIGINT, b BIGINT, n BIGINT)[]) AS kept FROM c
+UNION ALL SELECT c.script_id, c.i, CASE WHEN len(list_filter(kept, lambda k: k.v = c.video_id AND least(k.b, c.out_ms) - greatest(k.a, c.in_ms) > 100)) = 0 THEN list_append(kept, {'v': c.video_id, 'a': c.in_ms, 'b': c.out_ms, 'n': c.clip_index}) ELSE kept END FROM r JOIN c ON c.script_id = r.script_id AND c.i = r.i + 1)
+SELECT script_id, unnest(list_transform(kept, lambda k: k.n)) AS clip_index FROM (SELECT script_id, max_by(kept, i) AS kept FROM r GROUP BY 1) a""", "clips")
 def q10_drop_repeats(spark, d):
     return fo.drop_repeats(fixture(spark, d, "clips"), "script_id", "clip_index")
 

@@ -91,7 +91,9 @@ def w39_reanchor(spark, d):
     return li.reanchor(old, fixture(spark, d, "segments"), "video_id")
 
 
-@query("")
+@query(r"""WITH w AS (SELECT segment_id, start_ms, end_ms, string_split_regex(trim(text), '\s+') AS ws FROM segments), e AS (SELECT segment_id, start_ms, end_ms, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
+l AS (SELECT *, ws[i] AS word, coalesce(sum(length(ws[i])) OVER (PARTITION BY segment_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n, greatest(sum(length(ws[i])) OVER (PARTITION BY segment_id), 1) AS total FROM e)
+SELECT segment_id, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE start_ms + (end_ms - start_ms) * (n + length(word) / 2e0) / total < (start_ms + end_ms) / 2e0), '') AS first_half FROM l GROUP BY 1""", "segments")
 def w34_words_in_range(spark, d):
     s = fixture(spark, d, "segments")
     mid = (F.col("start_ms") + F.col("end_ms")) / 2

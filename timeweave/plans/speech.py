@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timeweave.functions.text import STOPWORDS
 from timeweave.operators import captions as cp
 from timeweave.operators import cuts as cu
 from timeweave.operators import speech as sp
@@ -122,8 +123,10 @@ def w35_heard_words(spark, d):
     return sy.heard_words(clips, fixture(spark, d, "segments").withColumn("words", F.lit(None).cast("array<struct<start_ms:bigint,end_ms:bigint>>")))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(text, '[^\\p{L}\\p{N}'']+'), lambda x: lower(trim(x, ''''))), lambda x: strlen(x) >= 4 AND x NOT IN (%s))) AS w FROM conversations)
-SELECT conv_id, turn, len(w) AS n, list_sort(w)[1] AS first_word FROM w""" % ", ".join(f"'{w}'" for w in __import__("timeweave.functions.text", fromlist=["x"]).STOPWORDS))
+CONTENT = r"list_distinct(list_filter(list_transform(string_split_regex(text, '[^\p{L}\p{N}'']+'), lambda x: lower(trim(x, ''''))), lambda x: strlen(x) >= 4 AND x NOT IN (%s)))" % ", ".join(f"'{w}'" for w in STOPWORDS)
+
+
+@query(f"WITH w AS (SELECT conv_id, turn, {CONTENT} AS w FROM conversations) SELECT conv_id, turn, len(w) AS n, list_sort(w)[1] AS first_word FROM w")
 def t5_content_words(spark, d):
     from timeweave.functions.text import content_words
 
@@ -131,7 +134,10 @@ def t5_content_words(spark, d):
     return c.select("conv_id", "turn", F.size("w").cast("long").alias("n"), F.get(F.array_sort("w"), F.lit(0)).alias("first_word"))
 
 
-@query("")
+@query(f"""WITH {REGIONS}, l AS (SELECT video_id, max_by(text, start_ms) AS text FROM segments GROUP BY 1), sc AS (SELECT script_id, script_id % 5 AS project_id, {CONTENT} AS w FROM (SELECT script_id, max(video_id) AS video_id FROM clips GROUP BY 1) s JOIN l USING (video_id)),
+fr AS (SELECT video_id, at_ms, list_distinct(flatten(list(fw))) AS fw FROM (SELECT video_id, start_ms AS at_ms, {CONTENT} AS fw FROM chunks WHERE kind = 'frame' AND start_ms + 3000 <= 1000000) a GROUP BY 1, 2), quiet AS (SELECT * FROM fr WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.video_id = fr.video_id AND r.start_ms < at_ms + 3000 AND r.end_ms > at_ms)),
+m AS (SELECT script_id, q.video_id, at_ms, len(list_intersect(w, fw)) AS shared FROM sc JOIN quiet q ON q.video_id % 5 = project_id WHERE NOT EXISTS (SELECT 1 FROM clips c WHERE c.script_id = sc.script_id AND c.video_id = q.video_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY shared DESC, video_id DESC, at_ms DESC) AS k FROM m) SELECT script_id, video_id, at_ms, shared FROM r WHERE k = 1""", "segments", "chunks", "clips")
 def c17_closing_pictures(spark, d):
     """Each script's closing picture among its project's described frames."""
     c = fixture(spark, d, "clips")
