@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import ann, bpe, chat_format, hnsw, license_scan, mixing, ngram_join, pii, quality, warc
+from timeweave.llm import ann, bpe, chat_format, hnsw, importance, language, license_scan, mixing, ngram_join, pii, quality, warc, whitening
 from timeweave.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,51 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of at least 20 words, drawn towards the benchmark's distribution of words."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op11_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = lambda of: f"SELECT {of}, unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w"
+    b = importance.BUCKETS
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+dw AS (SELECT r, w, count(*) AS n FROM ({words("r")} FROM d) a GROUP BY 1, 2),
+bw AS (SELECT w, count(*) AS n FROM ({words("1 AS one")} FROM benchmark) a GROUP BY 1),
+steps AS (SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) ORDER BY k) AS t FROM (SELECT unnest(range(0, 256)) AS k) a),
+names AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw) a),
+hashed AS (SELECT w, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+                                     lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % {b} AS bucket FROM names, steps),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN hashed USING (w) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN hashed USING (w) GROUP BY 1),
+sizes AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s_all, coalesce((SELECT sum(t) FROM t), 0) AS t_all),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + {b} AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + {b} AS DOUBLE)))) AS BIGINT) AS gain
+          FROM s LEFT JOIN t USING (bucket), sizes),
+per AS (SELECT r, sum(n) AS n, sum(n * gain) AS g FROM dw JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+                  CAST(CASE WHEN n IS NULL THEN 0 WHEN g >= 0 THEN g // n ELSE -((n - 1 - g) // n) END AS BIGINT) AS weight,
+                  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h
+           FROM d LEFT JOIN per USING (r)),
+summed AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM summed)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM summed WHERE n_features >= 20) // 100 THEN place END AS BIGINT) AS rank FROM placed
+"""
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's language, from profiles of the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = language.identify(docs.select("doc_id", "text"), language.fit(docs), score="score")
+    return got.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's whitened coordinates along the eight largest components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_license_scan": op2_license_scan,
@@ -232,5 +277,8 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_warc": op10_warc,
+    "op11_importance": op11_importance,
+    "op12_language": op12_language,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op5_mix_sources": _op5_sql(), "op9_chat_format": OP9_SQL, "op10_warc": _op10_sql()}
+ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op5_mix_sources": _op5_sql(), "op9_chat_format": OP9_SQL, "op10_warc": _op10_sql(), "op11_importance": _op11_sql()}
