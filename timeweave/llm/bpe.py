@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from timeweave.llm.names import free_name
+
 #: Fixed value: the pre-tokenisation of byte-level BPE; white space is the Unicode property.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CACHE_ENTRIES = 1_000_000
@@ -164,4 +166,4 @@ def tokenize(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str
                     columns.append(pa.array(list(map(tok.decode, packed)), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, kept + made)
 
-    return docs.select(*kept, docs[text].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, docs[text].alias(free_name(kept, "_text"))).mapInArrow(run, schema)

@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.names import free_name
+
 # Sentences of public licence texts and notices.
 SENTENCES: Mapping[str, str] = {
     "mit.grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
@@ -87,11 +89,11 @@ SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zli
         "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
 #: Parts of a normalised sentence that differ from owner to owner, and what is looked up in their place.
 TEMPLATES: Sequence[tuple[str, str]] = (
-    (r"^neither the name of .{1,200} nor the names of (its|his|her|their|any) contributors may", "neither the name of the copyright holder nor the names of its contributors may"),
+    (r"^neither the name of .+ nor the names of (its|his|her|their|any) contributors may", "neither the name of the copyright holder nor the names of its contributors may"),
     (r"^all advertising materials mentioning features or use of this software must display the following acknowledgement .*$", "all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by the copyright holder"),
-    (r"^except as contained in this notice the names? of .{1,200} shall not be used in advertising .*$", "except as contained in this notice the name of the copyright holder shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the copyright holder"),
+    (r"^except as contained in this notice the names? of .+ shall not be used in advertising .*$", "except as contained in this notice the name of the copyright holder shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the copyright holder"),
     (r"^you may obtain a copy of the license at .*$", "you may obtain a copy of the license at"),
-    (r"^.{1,80} is free software you can redistribute", "this program is free software you can redistribute"),
+    (r"^.+ is free software you can redistribute", "this program is free software you can redistribute"),
     (r"^permission to use copy modify and distribute this software for any purpose", "permission to use copy modify and or distribute this software for any purpose"),
     (r"(made available under the terms of the eclipse public license) v? ?2 0( which .*)?$", "$1 2 0"),
 )
@@ -185,7 +187,8 @@ def scan(docs: DataFrame, text: str = "text", sentences: tuple[Mapping[str, str]
 
     got = F.transform(F.array(made), told)[0]
     rest = [c for c in docs.columns if c not in ("license_sentences", "licenses")]
-    return docs.select(*rest, got.alias("_told")).select(*rest, "_told.license_sentences", "_told.licenses")
+    told_name = free_name(rest)
+    return docs.select(*rest, got.alias(told_name)).select(*rest, f"{told_name}.license_sentences", f"{told_name}.licenses")
 
 
 def _within(run: Sequence[str], other: Sequence[str]) -> bool:

@@ -22,7 +22,8 @@ FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 27, 5411
 #: Of these the days after a month's twelfth, which can't be a month's number: 9 * 9833.
 LATE_A, LATE_B = 9, 9833
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
+#: A host is one run of its characters: a repeated group would recurse once a label. An empty label is looked for afterwards.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api_?key)[=:][0-9A-Za-z]{8,}\b|(?<=\")[0-9a-f]{24,}(?=\")"
 IBAN = r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b"
 CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\d-])"
@@ -55,19 +56,22 @@ def permute_pair(left: Column, right: Column, a: int, b: int, key: str, tweak: s
 def permute_string(s: Column, alphabet: str, key: str, tweak: str) -> Column:
     """The characters of ``alphabet`` in ``s`` permuted by a Feistel network over its two halves, others kept.
 
-    Halves of up to 64 characters are one hash block; longer ones use the block again.
+    Halves of up to 32 characters are one hash block; longer ones use the block again.
     """
     n, letters = len(alphabet), F.lit(alphabet)
 
     def shift(half: Column, other: Column, i: Column) -> Column:
         h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other), 512)
 
-        def one(c: Column, j: Column) -> Column:
-            at = F.instr(letters, c)
-            add = F.conv(F.substring(h, F.pmod(j * 4, F.lit(128)) + 1, F.lit(4)), 16, 10).cast("int")
-            return F.when((at == 0) | (c == ""), c).otherwise(F.substring(letters, F.pmod(at - 1 + add, F.lit(n)) + 1, F.lit(1)))
+        def moved(block: Column) -> Column:
+            def one(c: Column, j: Column) -> Column:
+                at = F.instr(letters, c)
+                add = F.conv(F.substring(block, F.pmod(j * 4, F.lit(128)) + 1, F.lit(4)), 16, 10).cast("int")
+                return F.when((at == 0) | (c == ""), c).otherwise(F.substring(letters, F.pmod(at - 1 + add, F.lit(n)) + 1, F.lit(1)))
 
-        return F.array_join(F.transform(F.split(half, ""), one), "")
+            return F.array_join(F.transform(F.split(half, ""), one), "")
+
+        return F.transform(F.array(h), moved)[0]  # the block is hashed once, not once a character
 
     def step(acc: Column, i: Column) -> Column:
         on_left = F.struct(shift(acc["l"], acc["r"], i).alias("l"), acc["r"].alias("r"))
@@ -199,14 +203,17 @@ def pseudonym(m: Column, key: str) -> Column:
         return F.transform(F.array(x), text)[0]
 
     at_sign = F.instr(m, "@")
-    dot = F.length(m) - F.instr(F.reverse(m), ".") + 1
-    email = F.concat(permute_string(F.lower(F.substring(m, F.lit(1), dot - 1)), LOWER, key, "email"), F.substring(m, dot, F.length(m)))
+    whole = ~m.contains("..")
+    # an address ends before an empty label; what follows stays as it is
+    address = F.when(whole, m).otherwise(F.regexp_extract(F.substring_index(m, "..", 1), EMAIL, 0))
+    dot = F.length(address) - F.instr(F.reverse(address), ".") + 1
+    email = F.concat(permute_string(F.lower(F.substring(address, F.lit(1), dot - 1)), LOWER, key, "email"), F.substring(m, dot, F.length(m)))
     sep = F.length(F.regexp_extract(m, "^[^=:]*[=:]", 0))
     tail = F.substring(m, sep + 1, F.length(m))
     secret = F.concat(F.substring(m, F.lit(1), sep), permute_string(tail, MIXED, key, "secret"))
     full = lambda pattern: m.rlike(f"^(?:{pattern})$")
     return (
-        F.when(at_sign > 0, named("email", email))
+        F.when(at_sign > 0, F.when(address != "", named("email", email)))
         .when(full(r"AKIA[0-9A-Z]{16}"), named("secret", F.concat(F.lit("AKIA"), permute_string(F.substring(m, 5, 16), UPPER, key, "akia"))))
         .when(full(r"[A-Za-z_]+[=:].*"), named("secret", secret))
         .when(full(r"[0-9a-f]{24,}"), named("secret", permute_string(m, HEX, key, "hex")))
