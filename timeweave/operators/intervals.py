@@ -1,8 +1,10 @@
 """Interval, as-of and nearest joins, and merging of intervals, over many entities at once.
 
-Intervals are [start, end) in integer milliseconds. Range joins are equi-joins on (key, bucket): an interval is
-exploded to the buckets it touches and a pair counts in the first bucket both have, so nothing needs a distinct and a
-hot key is spread over its buckets.
+Intervals are [start, end) in integer milliseconds. Range joins are equi-joins on (key, level, cell): each level has cells
+eight times as long as the one below, an interval is stored at the first level whose cells are as long as itself, where it
+touches two at most, and visits the cells of the longer ones' levels. A pair counts in the first cell both have at the
+longer one's level, so nothing needs a distinct, a hot key is spread over its cells, and an interval of years costs no
+more rows than one of seconds.
 """
 
 from __future__ import annotations
@@ -12,24 +14,64 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.operators.pieces import running_last, with_pieces
+
 BUCKET_MS = 30_000
 
 
-def _bucketed(df: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
-    first = F.floor(F.col(start) / bucket)
-    last = F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / bucket)
-    return df.withColumn("_first", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
+STEP = 8
+LEVELS = 16
+
+
+def _length(start: str, end: str) -> Column:
+    return F.greatest(F.col(end) - F.col(start), F.lit(1))
+
+
+def _level(length: Column, bucket: int) -> Column:
+    """The first level whose cells are as long as ``length``; the last one has all that is longer."""
+    got = None
+    for k in range(LEVELS - 1):
+        here = length <= float(bucket * STEP**k)
+        got = F.when(here, k) if got is None else got.when(here, k)
+    return got.otherwise(LEVELS - 1)
+
+
+def _levels(df: DataFrame, start: str, end: str, bucket: int) -> list[int]:
+    """The levels that a table's intervals are stored at."""
+    held = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return sorted(r[0] for r in held.select(_level(_length(start, end), bucket)).distinct().collect())
+
+
+def _in_cells(df: DataFrame, start: Column, last: Column, bucket: int, wanted: Sequence[tuple[int, int, Column]]) -> DataFrame:
+    """``df`` with a row for each cell it has by ``wanted``, (role, level, whether): ``_role``, ``_level``, ``_first``, ``_cell``."""
+    asked = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(k).alias("level"), F.lit(float(bucket * STEP**k)).alias("size"), ok.alias("ok")) for r, k, ok in wanted])
+    each = lambda c: F.transform(
+        F.sequence(F.floor(start / c["size"]), F.floor(last / c["size"])),
+        lambda n: F.struct(c["role"].alias("_role"), c["level"].alias("_level"), F.floor(start / c["size"]).alias("_first"), n.alias("_cell")),
+    )
+    cells = F.flatten(F.transform(F.filter(asked, lambda c: F.coalesce(c["ok"], F.lit(False))), each))
+    return df.withColumn("_at", F.explode(cells)).select("*", "_at.*").drop("_at")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: int = BUCKET_MS, a_cols=("start_ms", "end_ms"), b_cols=("start_ms", "end_ms"), prefix: str = "b_") -> DataFrame:
-    """Pairs of one key with a positive overlap, and ``overlap_ms``; b's columns but the key get ``prefix``."""
+    """Pairs of one key with a positive overlap, and ``overlap_ms``; b's columns but the key get ``prefix``.
+
+    In role 1 the interval of a is the longer one or of equal level, in role 2 that of b is; ``bucket`` is the length of the
+    lowest level's cells.
+    """
     right = b.select(F.col(key), *[F.col(c).alias(prefix + c) for c in b.columns if c != key])
     bs, be = (prefix + c for c in b_cols)
-    x = _bucketed(a, *a_cols, bucket).withColumnRenamed("_first", "_first_a")
-    y = _bucketed(right, bs, be, bucket).withColumnRenamed("_first", "_first_b")
-    met = x.join(y, [key, "_bucket"]).where(F.col("_bucket") == F.greatest("_first_a", "_first_b"))
+    of_a, of_b = _levels(a, *a_cols, bucket), _levels(right, bs, be, bucket)
+    own_a, own_b = _level(_length(*a_cols), bucket), _level(_length(bs, be), bucket)
+    last = lambda s, e: F.greatest(F.col(e), F.col(s) + 1) - 1
+    in_a = [(1, k, own_a == k) for k in of_a if of_b and k >= of_b[0]] + [(2, k, own_a < k) for k in of_b if of_a and k > of_a[0]]
+    in_b = [(1, k, own_b <= k) for k in of_a] + [(2, k, own_b == k) for k in of_b if of_a and k > of_a[0]]
+    never = [(0, 0, F.lit(False))]
+    x = _in_cells(a, F.col(a_cols[0]), last(*a_cols), bucket, in_a or never).withColumnRenamed("_first", "_first_a")
+    y = _in_cells(right, F.col(bs), last(bs, be), bucket, in_b or never).withColumnRenamed("_first", "_first_b")
+    met = x.join(y, [key, "_role", "_level", "_cell"]).where(F.col("_cell") == F.greatest("_first_a", "_first_b"))
     overlap = F.least(F.col(a_cols[1]), F.col(be)) - F.greatest(F.col(a_cols[0]), F.col(bs))
-    return met.withColumn("overlap_ms", overlap).where("overlap_ms > 0").drop("_bucket", "_first_a", "_first_b")
+    return met.withColumn("overlap_ms", overlap).where("overlap_ms > 0").drop("_role", "_level", "_cell", "_first_a", "_first_b")
 
 
 def self_overlaps(df: DataFrame, keys: Sequence[str], ident: str, min_ms: int, cols=("start_ms", "end_ms"), bucket: int = BUCKET_MS) -> DataFrame:
@@ -48,28 +90,29 @@ def majority_label(a: DataFrame, b: DataFrame, key: str, ident: Sequence[str], l
 
 
 def points_in(points: DataFrame, spans: DataFrame, key: str, at: str, bucket: int = BUCKET_MS, prefix: str = "b_", cols=("start_ms", "end_ms")) -> DataFrame:
-    """Points within spans (start included, end not); only the spans are exploded."""
+    """Points within spans (start included, end not): spans are stored at their level, a point visits one cell of each level there is."""
     right = spans.select(F.col(key), *[F.col(c).alias(prefix + c) for c in spans.columns if c != key])
     s, e = (prefix + c for c in cols)
-    y = _bucketed(right, s, e, bucket).drop("_first")
-    x = points.withColumn("_bucket", F.floor(F.col(at) / bucket))
-    return x.join(y, [key, "_bucket"]).where((F.col(at) >= F.col(s)) & (F.col(at) < F.col(e))).drop("_bucket")
+    own, levels = _level(_length(s, e), bucket), _levels(right, s, e, bucket) or [0]
+    y = _in_cells(right, F.col(s), F.greatest(F.col(e), F.col(s) + 1) - 1, bucket, [(1, k, own == k) for k in levels]).drop("_first", "_role")
+    x = _in_cells(points, F.col(at), F.col(at), bucket, [(1, k, F.lit(True)) for k in levels]).drop("_first", "_role")
+    return x.join(y, [key, "_level", "_cell"]).where((F.col(at) >= F.col(s)) & (F.col(at) < F.col(e))).drop("_level", "_cell")
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, by: str, value: Sequence[str], tolerance: int | None = None, direction: str = "backward") -> DataFrame:
     """The last row of right at or before each left time (forward: the first at or after), within ``tolerance``.
 
-    Union and a running last value: no row is multiplied. Among right rows of one time the one whose values sort
-    last counts (forward: first). Without a match the values are null.
+    Union and a running last value: no row is multiplied, and a long series is cut into pieces, each of which hands its
+    last row on. Among right rows of one time the one whose values sort last counts (forward: first). Without a match
+    the values are null.
     """
+    back = direction == "backward"
     x = left.withColumn("_left", F.struct(*left.columns)).select(key, F.col(at).alias("_t"), "_left")
-    x = x.withColumn("_right", F.lit(None).cast(right.select(F.struct(F.col(by).alias("_by"), *value).alias("s")).schema["s"].dataType)).withColumn("_side", F.lit(1))
-    y = right.select(key, F.col(by).alias("_t"), F.lit(None).cast(x.schema["_left"].dataType).alias("_left"), F.struct(F.col(by).alias("_by"), *value).alias("_right"), F.lit(0).alias("_side"))
-    if direction == "backward":
-        w = Window.partitionBy(key).orderBy("_t", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(key).orderBy(F.col("_t").desc(), "_side", F.col("_right").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    got = x.unionByName(y).withColumn("_m", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    x = x.withColumn("_right", F.lit(None).cast(right.select(F.struct(F.col(by).alias("_by"), *value).alias("s")).schema["s"].dataType)).withColumn("_side", F.lit(int(back)))
+    y = right.select(key, F.col(by).alias("_t"), F.lit(None).cast(x.schema["_left"].dataType).alias("_left"), F.struct(F.col(by).alias("_by"), *value).alias("_right"), F.lit(int(not back)).alias("_side"))
+    rows = with_pieces(x.unionByName(y), [key], "_t")
+    # right rows of a time come first, from either side
+    got = running_last(rows, [key], [F.col("_t"), F.col("_side"), F.col("_right")], {"_m": F.col("_right")}, backward=not back).where(F.col("_side") == int(back))
     near = F.abs(F.col("_t") - F.col("_m._by")) <= (tolerance if tolerance is not None else 2**62)
     return got.select("_left.*", *[F.when(near, F.col(f"_m.{c}")).alias(c) for c in ["_by", *value]]).withColumnRenamed("_by", "matched_" + by)
 
