@@ -151,7 +151,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("n"))
     spot = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rows = usable.join(sizes.select("lang", share.alias("share")), "lang").where(spot < F.col("share")).select("lang", "text")
+    # one row a language, as the model has: small enough to send everywhere, so that texts stay where they are
+    rows = usable.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(spot < F.col("share")).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Hypervectors(dims, gram, seed), {}
