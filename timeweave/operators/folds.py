@@ -1,41 +1,43 @@
-"""Grouped folds: decisions that depend on earlier decisions in the same series.
+"""Folds: decisions that depend on earlier decisions in the same series.
 
-One group is one series and must fit a task; series are many and run in parallel. Each fold gets its rows in order.
+Each fold gets its rows in order, as a stream. Where no decision reaches past a certain row (a silence, a cut, a change of
+microphone), the rows after it are a stretch of their own: stretches of one series go to many tasks, and only one stretch
+must be walked in one.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterable, Sequence
+from bisect import bisect_left, bisect_right
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.operators.grouped import fold
 from timeweave.operators.intervals import merge_intervals
+from timeweave.operators.pieces import running_last, running_total, with_pieces
 
 
-def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, step: Callable[[list], Iterable[tuple]]) -> DataFrame:
-    """``step`` takes a series' rows (named tuples, in order) and gives the result rows without the keys."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+def stretches(df: DataFrame, keys: list[str], order: list[str], new: dict, starts: Column, into: str = "_stretch") -> DataFrame:
+    """``df`` with the stretch of each row: the first of ``order`` at the last row where ``starts`` holds.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(list(order), kind="stable")
-        made = list(step(list(g.astype(object).where(g.notna(), None).itertuples(index=False))))
-        out = pd.DataFrame(made, columns=names)
-        for k in reversed(keys):
-            out.insert(0, k, g[k].iloc[0])
-        return out
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema]))
+    ``new`` names values of the row before (null at a series' first row) that ``starts`` may use. Rows before and stretches
+    are found by pieces, so a series that holds most rows is not a single task's.
+    """
+    rows = with_pieces(df, keys, order[0])
+    place = [F.col(o) for o in order]
+    # a value that is null is still the row before's
+    before = running_last(rows, keys, place, {"_before": F.struct(*[v.alias(n) for n, v in new.items()])}, before=True)
+    first = F.col("_before").isNull()
+    begun = F.when(first | F.coalesce(starts, F.lit(False)), F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)]))
+    return running_last(before.withColumn("_begun", begun), keys, place, {into: F.col("_begun")}).drop("_before", "_begun", "_piece")
 
 
 def accumulate_changes(scores: DataFrame, key: str, at: str, score: str, threshold: float, budget: float, floor: float) -> DataFrame:
     """Cuts (score above the threshold) and points where small changes add up to the budget, ``floor`` apart at least.
 
-    A cut starts the sum anew; a sum that is full too soon stays full until the floor has passed.
+    A cut starts the sum anew, and a stretch of its own; a sum that is full too soon stays full until the floor has passed.
     """
 
     def step(rows):
@@ -51,11 +53,12 @@ def accumulate_changes(scores: DataFrame, key: str, at: str, score: str, thresho
                     total, last = 0.0, t
                     yield t, "change"
 
-    return fold(scores.select(key, at, score), [key], [at], "at long, kind string", step)
+    rows = stretches(scores.select(key, at, score), [key], [at], {at: F.col(at)}, F.col(score) > threshold)
+    return fold(rows, [key, "_stretch"], [at], "at long, kind string", step, lazy=True).drop("_stretch")
 
 
 def drop_near_repeats(frames: DataFrame, key: str, at: str, ident: str, bits: str, distance: int = 5, gap: int = 60_000) -> DataFrame:
-    """Rows that aren't within ``distance`` bits and ``gap`` of the last row kept."""
+    """Rows that aren't within ``distance`` bits and ``gap`` of the last row kept; after a hole of ``gap`` a row is always kept."""
 
     def step(rows):
         kept = None
@@ -65,7 +68,8 @@ def drop_near_repeats(frames: DataFrame, key: str, at: str, ident: str, bits: st
                 kept = r
                 yield (getattr(r, ident), getattr(r, at))
 
-    return fold(frames.select(key, at, ident, bits), [key], [at, ident], "id long, at long", step)
+    rows = stretches(frames.select(key, at, ident, bits), [key], [at, ident], {"at": F.col(at)}, F.col(at) - F.col("_before.at") >= gap)
+    return fold(rows, [key, "_stretch"], [at, ident], "id long, at long", step, lazy=True).drop("_stretch")
 
 
 def transcript_windows(segments: DataFrame, key: str, length: int = 30_000, overlap: int = 5_000) -> DataFrame:
@@ -96,7 +100,10 @@ FUNCTION_WORDS = frozenset(
 
 
 def sentence_units(segments: DataFrame, key: str, pause: int = 600, hole: int = 6_000, longest: int = 25_000) -> DataFrame:
-    """Segments grouped into units that end on punctuation, a pause, a capital, a hole, a microphone change or length."""
+    """Segments grouped into units that end on punctuation, a pause, a capital, a hole, a microphone change or length.
+
+    ``first`` and ``last`` count a series' segments from 0. Nothing reaches past punctuation, a hole or a microphone change.
+    """
 
     def trimmed(word):
         kept = [i for i, c in enumerate(word) if c.isalnum()]
@@ -117,10 +124,17 @@ def sentence_units(segments: DataFrame, key: str, pause: int = 600, hole: int =
             forced = r.end_ms - rows[start].start_ms > longest and last not in FUNCTION_WORDS
             split = nxt is None or nxt.start_ms - r.end_ms > hole or bool(nxt.off_mic) != bool(r.off_mic)
             if strong or weak or forced or split:
-                yield start, i, rows[start].start_ms, r.end_ms, " ".join((x.text or "").strip() for x in rows[start : i + 1]), strong
+                yield rows[start].place, r.place, rows[start].start_ms, r.end_ms, " ".join((x.text or "").strip() for x in rows[start : i + 1]), strong
                 start = i + 1
 
-    return fold(segments.select(key, "start_ms", "end_ms", "segment_id", "text", "off_mic"), [key], ["start_ms", "segment_id"], "first int, last int, start_ms long, end_ms long, text string, strong boolean", step)
+    order = ["start_ms", "segment_id"]
+    rows = with_pieces(segments.select(key, "start_ms", "end_ms", "segment_id", "text", "off_mic"), [key], "start_ms")
+    rows = running_total(rows, [key], [F.col(o) for o in order], F.lit(1), "place").drop("_piece")
+    off = F.coalesce(F.col("off_mic"), F.lit(False))
+    told = F.substring(F.rtrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+$", "")), -1, 1)
+    apart = F.col("_before.strong") | (F.col("start_ms") - F.col("_before.end_ms") > hole) | (F.col("_before.off") != off)
+    rows = stretches(rows, [key], order, {"strong": told.isin(".", "!", "?", "…"), "end_ms": F.col("end_ms"), "off": off}, apart)
+    return fold(rows, [key, "_stretch"], order, "first int, last int, start_ms long, end_ms long, text string, strong boolean", step).drop("_stretch")
 
 
 def collapse_repeats(segments: DataFrame, key: str, within: int = 60_000) -> DataFrame:
@@ -130,22 +144,27 @@ def collapse_repeats(segments: DataFrame, key: str, within: int = 60_000) -> Dat
         return " ".join("".join(c for c in t if c.isalnum() or c.isspace()).lower().split())
 
     def step(rows):
-        kept: list[list] = []
+        last: list | None = None
         for r in rows:
             text = r.text or ""
-            if kept and r.start_ms - kept[-1][1] <= within:
-                a, b = plain(kept[-1][3]), plain(text)
+            if last and r.start_ms - last[1] <= within:
+                a, b = plain(last[3]), plain(text)
                 short = min(len(a), len(b))
                 common = next((i for i in range(short) if a[i] != b[i]), short)
                 if short >= 12 and common * 10 >= short * 7:
                     if len(b) > len(a):
-                        grown = kept[-1][2] + (len(b) - len(a)) * 1000 // 15
-                        kept[-1][2:] = [min(grown, max(r.end_ms, kept[-1][2])), text]
+                        grown = last[2] + (len(b) - len(a)) * 1000 // 15
+                        last[2:] = [min(grown, max(r.end_ms, last[2])), text]
                     continue
-            kept.append([r.segment_id, r.start_ms, r.end_ms, text])
-        return map(tuple, kept)
+            if last:
+                yield tuple(last)
+            last = [r.segment_id, r.start_ms, r.end_ms, text]
+        if last:
+            yield tuple(last)
 
-    return fold(segments.select(key, "start_ms", "end_ms", "segment_id", "text"), [key], ["start_ms", "segment_id"], "segment_id long, start_ms long, end_ms long, text string", step)
+    order = ["start_ms", "segment_id"]
+    rows = stretches(segments.select(key, "start_ms", "end_ms", "segment_id", "text"), [key], order, {"start_ms": F.col("start_ms")}, F.col("start_ms") - F.col("_before.start_ms") > within)
+    return fold(rows, [key, "_stretch"], order, "segment_id long, start_ms long, end_ms long, text string", step, lazy=True).drop("_stretch")
 
 
 def stitch_chunks(segments: DataFrame, key: str, slack: int = 300) -> DataFrame:
@@ -164,7 +183,7 @@ def stitch_chunks(segments: DataFrame, key: str, slack: int = 300) -> DataFrame:
                 covered = max(covered, r.last)
 
     chunks = segments.groupBy(key, "chunk").agg(F.max("end_ms").alias("last")).withColumn("chunk", F.col("chunk").cast("long"))
-    edge = fold(chunks, [key], ["chunk"], "chunk long, _edge long", cover)
+    edge = fold(chunks, [key], ["chunk"], "chunk long, _edge long", cover, lazy=True)
     x = segments.join(edge, [key, "chunk"]).where((F.col("end_ms") > F.col("_edge") + slack) | (F.col("_edge") < 0))
     out = [F.col(key), F.col("segment_id"), F.greatest("start_ms", "_edge").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")]
     if "words" in segments.columns:
@@ -183,7 +202,10 @@ def chunk_bounds(videos: DataFrame, silences: DataFrame, key: str, every: int, r
         mids, length, at = [r.mid for r in rows if r.mid is not None], rows[0].length_ms, 0
         while length - at > every * (1 + reach):
             want = at + every
-            near = [m for m in mids if abs(m - want) <= every * reach and m > at]
+            low, high = bisect_left(mids, want - every * reach), bisect_right(mids, want + every * reach)
+            after = max(bisect_right(mids, at), low)
+            k = bisect_left(mids, want, after, max(high, after))
+            near = [mids[j] for j in (k - 1, k) if after <= j < high]
             at = min(near, key=lambda m: (abs(m - want), m)) if near else want
             yield (at,)
 
@@ -249,9 +271,7 @@ def link_tracks(boxes: DataFrame, key: str, least: float = 0.3, expire: int = 1_
         boxes = boxes.withColumn("embedding", F.lit(None).cast("array<double>"))
     rows = boxes.select(key, "at_ms", "box_id", "x", "y", "w", "h", "embedding")
     # no track outlives a silence longer than ``expire``, so each stretch between such silences is a group of its own
-    w = Window.partitionBy(key).orderBy("at_ms", "box_id")
-    rows = rows.withColumn("_new", F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) > expire, F.lit(True)).cast("int"))
-    rows = rows.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = stretches(rows, [key], ["at_ms", "box_id"], {"at_ms": F.col("at_ms")}, F.col("at_ms") - F.col("_before.at_ms") > expire)
     return fold(rows, [key, "_stretch"], ["at_ms", "box_id"], "box_id long, track long", step).drop("_stretch")
 
 
@@ -328,46 +348,66 @@ def select_diverse(pool: DataFrame, key: str, n: int, ident: str = "clip_id", sa
 def drop_repeats(clips: DataFrame, key: str, order: str, least: int = 100) -> DataFrame:
     """Clips in first-use order without those that play footage of an earlier kept one for over ``least``.
 
-    clips(key, order, video_id, in_ms, out_ms)
+    clips(key, order, video_id, in_ms, out_ms); clips of different videos of one key have nothing to do with each other.
     """
 
     def step(rows):
-        kept: dict[int, list] = {}
+        before: list = []
         for r in rows:
-            before = kept.setdefault(r.video_id, [])
             if all(min(r.out_ms, e) - max(r.in_ms, s) <= least for s, e in before):
                 before.append((r.in_ms, r.out_ms))
                 yield (getattr(r, order),)
 
-    return fold(clips.select(key, order, "video_id", "in_ms", "out_ms"), [key], [order], f"{order} long", step)
+    return fold(clips.select(key, order, "video_id", "in_ms", "out_ms"), [key, "video_id"], [order], f"{order} long", step, lazy=True).drop("video_id")
 
 
 def merge_contiguous(clips: DataFrame, key: str, order: str, slack: int = 50, longest: int = 60_000) -> DataFrame:
     """Back-to-back clips of one video joined, whose sound, framing, gain and tracks (all other columns) are equal, while
-    the joined length stays within ``longest``.
+    the joined length stays within ``longest``; a joined clip ends where the later of its clips does.
 
-    clips(key, order, video_id, in_ms, out_ms, audio, ...). What two neighbours decide is a window; only a run of clips
-    that could all be joined meets in a task. Other columns are those of a joined clip's first one.
+    clips(key, order, video_id, in_ms, out_ms, audio, ...), perhaps with ``exact`` and ``closing`` (booleans: such a clip is
+    joined with none, or to none before it) and ``from_ref``, ``to_ref``: the sentences it was written with, both or
+    neither, where one with an ``@`` pins its edge to a word. Pinned edges don't meet; a joined clip has the first's
+    ``from_ref`` and the last's ``to_ref``, none if one clip had none, unless that would forget a pinned outer edge. Other
+    columns are those of a joined clip's first one. Rows that differ start a stretch, so only what could be joined meets.
     """
-    rest = [c for c in clips.columns if c not in (key, order, "in_ms", "out_ms")]
-    w = Window.partitionBy(key).orderBy(order)
-    same = F.abs(F.col("in_ms") - F.lag("out_ms").over(w)) <= slack
-    for c in rest:
-        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
-    runs = clips.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-    def step(rows):
-        out: list[list] = []
-        for r in rows:
-            if out and r.out_ms - out[-1][1] <= longest:
-                out[-1][2] = r.out_ms
-            else:
-                out.append([getattr(r, order), r.in_ms, r.out_ms])
-        return map(tuple, out)
+    marks = [c for c in ("exact", "closing", "from_ref", "to_ref") if c in clips.columns]
+    same = [c for c in clips.columns if c not in (key, order, "in_ms", "out_ms", *marks)]
+    rows = clips.select(*clips.columns)
+    for c, kind in (("exact", "boolean"), ("closing", "boolean"), ("from_ref", "string"), ("to_ref", "string")):
+        if c not in marks:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    on = lambda c: F.coalesce(c.contains("@"), F.lit(False))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    apart = flag(F.col("exact")) | F.col("_before.exact") | flag(F.col("closing")) | on(F.col("from_ref")) | F.col("_before.pinned")
+    for i, c in enumerate(same):
+        apart = apart | ~F.col(f"_before.s{i}").eqNullSafe(F.col(c))
+    kept = {"exact": flag(F.col("exact")), "pinned": on(F.col("to_ref"))} | {f"s{i}": F.col(c) for i, c in enumerate(same)}
+    rows = stretches(rows, [key], [order], kept, apart)
+    pins = lambda ref: ref is not None and "@" in ref
+
+    def joined(a: list, r) -> tuple | None:
+        """(from, to) of both as one, None if they can't be one."""
+        if a[3] is not None and r.from_ref is not None:
+            return a[3], r.to_ref
+        return None if pins(a[3]) or pins(r.to_ref) else (None, None)
+
+    def step(clips):
+        last: list | None = None
+        for r in clips:
+            refs = joined(last, r) if last and abs(r.in_ms - last[2]) <= slack and r.out_ms - last[1] <= longest else None
+            if refs:
+                last[2:5] = [max(last[2], r.out_ms), *refs]
+                continue
+            if last:
+                yield tuple(last)
+            last = [getattr(r, order), r.in_ms, r.out_ms, r.from_ref, r.to_ref, *[getattr(r, c) for c in same]]
+        if last:
+            yield tuple(last)
 
-    made = fold(runs.select(key, "_run", order, "in_ms", "out_ms"), [key, "_run"], [order], f"{order} long, in_ms long, out_ms long", step)
-    return made.join(clips.select(key, order, *rest), [key, order]).select(key, order, "video_id", "in_ms", "out_ms", *[c for c in rest if c != "video_id"])
+    kinds = {f.name: f.dataType.simpleString() for f in clips.schema.fields}
+    made = fold(rows, [key, "_stretch"], [order], f"{order} long, in_ms long, out_ms long, from_ref string, to_ref string" + "".join(f", {c} {kinds[c]}" for c in same), step, lazy=True)
+    return made.select(key, order, "video_id", "in_ms", "out_ms", *[c for c in ("from_ref", "to_ref") if c in marks], *[c for c in same if c != "video_id"])
 
 
 def plan_times(videos: DataFrame, changes: DataFrame, key: str, thin: int = 500, lead: int = 200, fill: int = 20_000, most: int = 400) -> DataFrame:
@@ -390,7 +430,7 @@ def plan_times(videos: DataFrame, changes: DataFrame, key: str, thin: int = 500,
                 taken = r.t
                 yield (r.t,)
 
-    picks = fold(rows, [key], ["was", "cut", "t"], "at_ms double", step).join(v, key)
+    picks = fold(rows, [key], ["was", "cut", "t"], "at_ms double", step, lazy=True).join(v, key)
     w = Window.partitionBy(key).orderBy("at_ms")
     gap = F.coalesce(F.lead("at_ms").over(w), F.col("length_ms")) - F.col("at_ms")
     parts = F.when(gap > fill, F.ceil(gap / fill)).otherwise(1).cast("int")

@@ -175,19 +175,6 @@ def best_face(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.where(~F.coalesce("cut_off", F.lit(False))).groupBy(key).agg(F.max_by("box_id", F.struct(worth, -F.col("box_id"))).alias("box_id"))
 
 
-def collision_free_names(files: DataFrame, existing: DataFrame) -> DataFrame:
-    """``new_name`` within each folder: the name itself if free, else name_1, name_2, ... past those taken."""
-    w = Window.partitionBy("folder_id", "name").orderBy("file_id")
-    stem, ext = F.regexp_replace("name", r"\.[^.]+$", ""), F.regexp_extract("name", r"\.[^.]+$", 0)
-    base = F.regexp_extract("_taken", r"^(.*?)(?:_(\d+))?(\.[^.]+)?$", 1)
-    taken = existing.select("folder_id", F.col("name").alias("_taken"))
-    used = taken.select("folder_id", F.concat(base, F.regexp_extract("_taken", r"\.[^.]+$", 0)).alias("name"), F.coalesce(F.expr("try_cast(regexp_extract(_taken, '_(\\\\d+)(\\\\.[^.]+)?$', 1) AS INT)"), F.lit(0)).alias("_no"))
-    top = used.groupBy("folder_id", "name").agg((F.max("_no") + 1).alias("_from"))
-    ranked = files.withColumn("_r", F.row_number().over(w)).join(top, ["folder_id", "name"], "left")
-    n = F.coalesce("_from", F.lit(0)) + F.col("_r") - 1
-    return ranked.select("file_id", "folder_id", "name", F.when(n == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext)).alias("new_name"))
-
-
 def merge_identities(rows: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
     """Rows repointed by mapping(node, component), which is transitively closed."""
     return rows.join(mapping.select(F.col("node").alias(key), F.col("component").alias("_c")), key, "left").withColumn(key, F.coalesce("_c", key)).drop("_c")

@@ -57,3 +57,17 @@ def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     # pieces with something before them: those of long series only
     out = got.join(F.broadcast(carried), same, "left")
     return out.select(*df.columns, *[F.coalesce(f"_in_{n}", f"_carry_{n}").alias(n) for n in values])
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, into: str, piece: str = "_piece") -> DataFrame:
+    """``df`` (with pieces) and the sum of ``value`` over the rows before each, 0 at a series' first."""
+    w = Window.partitionBy(*keys, piece).orderBy(*[o.asc_nulls_last() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+    got = df.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    along = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, piece).agg(F.sum(value).alias("_sum")).withColumn("_carry", F.sum("_sum").over(along)).where("_carry IS NOT NULL")
+    sums = sums.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.col(piece).alias("_cp"), "_carry")
+    same = F.col(piece) == F.col("_cp")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_c{i}"))
+    out = got.join(F.broadcast(sums), same, "left")
+    return out.select(*df.columns, (F.col("_in") + F.coalesce("_carry", F.lit(0))).alias(into))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import folder_of, non_speech
-from timeweave.operators.library import collision_free_names
+from timeweave.operators.names import collision_free_names
 from timeweave.operators.series import camera_style, shaky_time, upper_median_of
 
 # Lines and share of them from which a voice is the interviewer's; decibels under the median that are off
@@ -188,14 +188,15 @@ def organize_plan(files: DataFrame, listing: DataFrame) -> tuple[DataFrame, Data
     """(plan, counts): where each file of a project would go, its category's folder below the watched one.
 
     files(file_id, project_id, folder, path, category) in scope, listing(path) of what exists. plan(file_id, project_id,
-    path, target, organized, conflict): names are free of what exists and of each other; a file that is already in
-    its folder stays; one that is missing is a conflict. counts(project_id, files, to_move, organized, conflicts)
+    path, target, organized, conflict): names are given in the order of paths, free of what exists and of each other; a
+    file that is already in its folder stays and keeps its name; one that is missing is a conflict. counts(project_id, files, to_move, organized, conflicts)
     """
     x = files.withColumn("name", F.regexp_extract("path", r"[^/]+$", 0)).withColumn("dir", F.concat_ws("/", F.regexp_replace("folder", "/+$", ""), folder_of(F.col("category"))))
     x = x.withColumn("organized", F.regexp_replace("path", r"/[^/]+$", "") == F.col("dir"))
     there = listing.select("path").distinct()
-    taken = there.select(F.regexp_replace("path", r"/[^/]+$", "").alias("folder_id"), F.regexp_extract("path", r"[^/]+$", 0).alias("name"))
-    names = collision_free_names(x.where("NOT organized").select("file_id", F.col("dir").alias("folder_id"), "name"), taken).select("file_id", "new_name")
+    kept = there.unionByName(x.where("organized").select("path"))
+    taken = kept.select(F.regexp_replace("path", r"/[^/]+$", "").alias("folder_id"), F.regexp_extract("path", r"[^/]+$", 0).alias("name"))
+    names = collision_free_names(x.where("NOT organized").select("file_id", F.col("dir").alias("folder_id"), "name", "path"), taken, ["path", "file_id"]).select("file_id", "new_name")
     missing = x.select("file_id", "path").join(there, "path", "left_anti").select("file_id", F.lit("missing").alias("conflict"))
     plan = x.join(names, "file_id", "left").join(missing, "file_id", "left")
     plan = plan.select("file_id", "project_id", "path", F.when(F.col("organized"), F.col("path")).otherwise(F.concat_ws("/", "dir", "new_name")).alias("target"), "organized", "conflict")

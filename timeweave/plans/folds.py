@@ -90,7 +90,7 @@ def w29_shots_from_turns(spark, d):
 
 
 @query("""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY clip_index) AS i FROM clips), r AS (SELECT DISTINCT script_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS head, CAST(NULL AS BIGINT) AS video_id, CAST(NULL AS BIGINT) AS in_ms, CAST(NULL AS BIGINT) AS out_ms, CAST(NULL AS VARCHAR) AS audio FROM c
-UNION ALL SELECT c.script_id, c.i, CASE WHEN r.video_id = c.video_id AND r.audio = c.audio AND abs(c.in_ms - r.out_ms) <= 5000 AND c.out_ms - r.in_ms <= 60000 THEN head ELSE c.clip_index END, c.video_id, CASE WHEN r.video_id = c.video_id AND r.audio = c.audio AND abs(c.in_ms - r.out_ms) <= 5000 AND c.out_ms - r.in_ms <= 60000 THEN r.in_ms ELSE c.in_ms END, c.out_ms, c.audio
+UNION ALL SELECT c.script_id, c.i, CASE WHEN r.video_id = c.video_id AND r.audio = c.audio AND abs(c.in_ms - r.out_ms) <= 5000 AND c.out_ms - r.in_ms <= 60000 THEN head ELSE c.clip_index END, c.video_id, CASE WHEN r.video_id = c.video_id AND r.audio = c.audio AND abs(c.in_ms - r.out_ms) <= 5000 AND c.out_ms - r.in_ms <= 60000 THEN r.in_ms ELSE c.in_ms END, CASE WHEN r.video_id = c.video_id AND r.audio = c.audio AND abs(c.in_ms - r.out_ms) <= 5000 AND c.out_ms - r.in_ms <= 60000 THEN greatest(r.out_ms, c.out_ms) ELSE c.out_ms END, c.audio
 FROM r JOIN c ON c.script_id = r.script_id AND c.i = r.i + 1) SELECT script_id, head AS clip_index, any_value(video_id) AS video_id, min(in_ms) AS in_ms, max_by(out_ms, i) AS out_ms, any_value(audio) AS audio FROM r WHERE head IS NOT NULL GROUP BY 1, 2""", "clips")
 def w41_merge_contiguous(spark, d):
     return fo.merge_contiguous(fixture(spark, d, "clips"), "script_id", "clip_index", 5_000)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from timeweave.operators import catalog as cat
 from timeweave.operators import library as li
 from timeweave.operators import reports as rp
+from timeweave.operators.names import collision_free_names
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
 
@@ -69,11 +70,20 @@ def l9_best_face(spark, d):
     return li.best_face(e, "label")
 
 
-@query("""SELECT file_id, 'clip' || CASE WHEN row_number() OVER (PARTITION BY folder_id ORDER BY file_id) + CASE WHEN folder_id % 2 = 0 THEN 3 ELSE 0 END - 1 = 0 THEN '' ELSE '_' || CAST(row_number() OVER (PARTITION BY folder_id ORDER BY file_id) + CASE WHEN folder_id % 2 = 0 THEN 3 ELSE 0 END - 1 AS VARCHAR) END || '.mp4' AS new_name FROM files""", "files")
+@query(r"""WITH RECURSIVE f AS (SELECT file_id, folder_id, CASE file_id % 6 WHEN 0 THEN 'clip.mp4' WHEN 1 THEN 'clip_1.mp4' WHEN 2 THEN 'clip' WHEN 3 THEN 'clip_1_1.mp4' WHEN 4 THEN 'clip_' || (file_id % 7) || '.mp4' ELSE '.clip' END AS name,
+row_number() OVER (PARTITION BY folder_id ORDER BY file_id) AS i FROM files),
+p AS (SELECT *, CASE WHEN regexp_matches(name, '^.+\.') THEN regexp_replace(name, '\.[^.]*$', '') ELSE name END AS stem, CASE WHEN regexp_matches(name, '^.+\.') THEN regexp_extract(name, '\.[^.]*$') ELSE '' END AS ext FROM f),
+r AS (SELECT DISTINCT folder_id, CAST(0 AS BIGINT) AS i, CASE WHEN folder_id % 2 = 0 THEN ['clip_2.mp4', 'clip_1_2.mp4'] ELSE CAST([] AS VARCHAR[]) END AS taken, CAST(NULL AS BIGINT) AS file_id, CAST(NULL AS VARCHAR) AS new_name FROM p
+UNION ALL SELECT folder_id, i, list_append(taken, nn), file_id, nn FROM (SELECT p.folder_id, p.i, p.file_id, taken, CASE WHEN NOT list_contains(taken, name) THEN name
+ELSE stem || '_' || list_filter(range(1, len(taken) + 2), lambda k: NOT list_contains(taken, stem || '_' || k || ext))[1] || ext END AS nn FROM r JOIN p ON p.folder_id = r.folder_id AND p.i = r.i + 1) a)
+SELECT file_id, new_name FROM r WHERE file_id IS NOT NULL""", "files")
 def t12_collision_free_names(spark, d):
-    f = fixture(spark, d, "files").select("file_id", "folder_id", F.lit("clip.mp4").alias("name"))
-    existing = f.where("folder_id % 2 = 0").select("folder_id", F.lit("clip_2.mp4").alias("name")).distinct()
-    return li.collision_free_names(f, existing).select("file_id", "new_name")
+    i = F.col("file_id")
+    name = F.when(i % 6 == 0, "clip.mp4").when(i % 6 == 1, "clip_1.mp4").when(i % 6 == 2, "clip").when(i % 6 == 3, "clip_1_1.mp4").when(i % 6 == 4, F.concat(F.lit("clip_"), (i % 7).cast("string"), F.lit(".mp4"))).otherwise(".clip")
+    f = fixture(spark, d, "files").select("file_id", "folder_id", name.alias("name"))
+    even = f.where("folder_id % 2 = 0").select("folder_id").distinct()
+    existing = even.withColumn("name", F.explode(F.array(F.lit("clip_2.mp4"), F.lit("clip_1_2.mp4"))))
+    return collision_free_names(f, existing).select("file_id", "new_name")
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 5 = 0 AND user_id >= 5 THEN user_id - 5 ELSE user_id END AS user_id FROM events""")
