@@ -162,6 +162,25 @@ def test_embedding_duplicates_equal_brute_force(spark):
     assert rows == [(0, 0, None), (5, 2, 5), (5, 2, 5), (6, 2, 5)]
 
 
+def test_links_count_at_both_ends_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    centre = rng.standard_normal((3, 16))
+    x = np.vstack([c + 0.25 * rng.standard_normal((n, 16)) for c, n in zip(centre, (90, 40, 2))] + [rng.standard_normal((60, 16))])
+    x = np.vstack([x, x[:3]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    monkeypatch.setattr(hnsw, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(hnsw, "PAIRS_HELD", 500)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in hnsw.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+    low = list(range(len(x)))
+    for _ in range(len(x)):
+        low = [min([low[i], *[low[j] for j in np.flatnonzero(near[i])]]) for i in range(len(x))]
+    assert [got[i].component_id for i in range(len(x))] == low
+
+
 def test_audit_sees_lost_small_groups_and_rare_links(monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 16))
