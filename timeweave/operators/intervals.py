@@ -50,7 +50,7 @@ def _in_cells(df: DataFrame, start: Column, last: Column, bucket: int, wanted: S
         lambda n: F.struct(c["role"].alias("_role"), c["level"].alias("_level"), F.floor(start / c["size"]).alias("_first"), n.alias("_cell")),
     )
     cells = F.flatten(F.transform(F.filter(asked, lambda c: F.coalesce(c["ok"], F.lit(False))), each))
-    return df.withColumn("_at", F.explode(cells)).select("*", "_at.*").drop("_at")
+    return df.withColumn("_dyadic", F.explode(cells)).select("*", "_dyadic.*").drop("_dyadic")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: int = BUCKET_MS, a_cols=("start_ms", "end_ms"), b_cols=("start_ms", "end_ms"), prefix: str = "b_") -> DataFrame:

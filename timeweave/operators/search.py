@@ -5,6 +5,7 @@ Queries are a table; one query is a table of one row. Scope is applied before an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
 from timeweave.functions.text import query_terms, search_words
+from timeweave.operators.grouped import fold
 from timeweave.operators.vectors import matrix
-from timeweave.sources.scratch import materialize
+from timeweave.sources.scratch import materialize, release
 
 K1, B, RRF_K = 1.2, 0.75, 60
 MERGE_GAP_MS, LONGEST_MOMENT_MS = 10_000, 60_000
+#: Documents that are bounded and scored together; cells of a table of terms by queries.
+BLOCK_DOCS, TABLE_CELLS = 256, 8_000_000
 FOLDED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
 
 
@@ -39,6 +45,90 @@ def build_postings(chunks: DataFrame, ident: str = "chunk_id", text: str = "text
     return materialize(postings.repartition("term").sortWithinPartitions("term", ident), "postings"), materialize(lengths, "lengths")
 
 
+def _query_chunks(terms: DataFrame) -> Iterator[pd.DataFrame]:
+    """Terms (query_id, q) of some queries at a time, whole queries, so many that their table of terms by queries is bounded."""
+    sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("terms")).first()
+    n = sizes["queries"] or 0
+    # a chunk of n / c queries has at most terms / c different terms
+    chunks = max(1, math.ceil(math.sqrt(n * (sizes["terms"] or 0) / TABLE_CELLS))) if n else 0
+    for c in range(chunks):
+        some = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c).toPandas()
+        if len(some):
+            yield some
+
+
+def _best_scores(weights: DataFrame, asked: pd.DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc, score, hit) of weights(q, doc, w): documents that have all of a query's terms, and each task's best others.
+
+    Documents lie whole in one task and go past the queries in blocks. The largest weights of a block's terms bound what
+    any of its documents can score; a query whose ``limit``-th best score so far is above that skips the block, and no
+    (query, term, document) becomes a row.
+    """
+    queries, names = asked["query_id"].drop_duplicates().tolist(), sorted(asked["q"].unique())
+    place, column = {q: i for i, q in enumerate(names)}, {q: i for i, q in enumerate(queries)}
+    table = np.zeros((len(names), len(queries)))
+    table[asked["q"].map(place), asked["query_id"].map(column)] = 1.0
+    spark = weights.sparkSession
+    held = spark.sparkContext.broadcast((table, np.array(queries, dtype=object)))
+    index = spark.createDataFrame([(q, i) for q, i in place.items()], "q string, i int")
+    docs = weights.join(F.broadcast(index), "q").groupBy("doc").agg(F.collect_list("i").alias("i"), F.collect_list("w").alias("w"))
+    out = StructType([StructField("query_id", _kind_of(asked["query_id"]))]).add("doc", docs.schema["doc"].dataType).add("score", "double").add("hit", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, queries = held.value
+        need = table.sum(axis=0)
+        least = np.full(table.shape[1], -np.inf)
+        kept: list = [([], [], []) for _ in queries]
+
+        def trim(j: int) -> None:
+            score, doc, hit = (np.concatenate(x) for x in kept[j])
+            rounded = np.round(score, 9)
+            if len(score) > limit:
+                cut = np.partition(rounded, len(score) - limit)[len(score) - limit]
+                least[j] = cut
+                ok = rounded >= cut  # ties stay: which of them counts is for all tasks to decide
+                score, doc, hit = score[ok], doc[ok], hit[ok]
+            kept[j] = ([score], [doc], [hit])
+
+        def packed(j: int, doc: np.ndarray, score: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([queries[j]] * len(doc)), pa.array(doc), pa.array(score), pa.array(hit.astype(np.int64))], ["query_id", "doc", "score", "hit"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK_DOCS):
+                part = b.slice(at, BLOCK_DOCS)
+                doc, size = np.asarray(part.column(0)), np.diff(np.asarray(part.column(1).offsets))
+                dense = np.zeros((len(doc), table.shape[0]))
+                dense[np.repeat(np.arange(len(doc)), size), np.asarray(part.column(1).flatten())] = np.asarray(part.column(2).flatten())
+                some = dense.any(axis=0)  # terms that the block doesn't have add nothing
+                bound = dense[:, some].max(axis=0) @ table[some]
+                has_all = (some.astype(float) @ table) >= need
+                live = np.flatnonzero((bound > 0) & ((np.round(bound, 9) + 1e-9 >= least) | has_all & (need > 1)))
+                if not len(live):
+                    continue
+                of = table[np.ix_(some, live)]
+                score, hit = dense[:, some] @ of, (dense[:, some] > 0).astype(np.float64) @ of
+                for k, j in enumerate(live):
+                    whole = (hit[:, k] >= need[j]) & (need[j] > 1)
+                    if whole.any():
+                        yield packed(j, doc[whole], score[whole, k], hit[whole, k])
+                    good = (hit[:, k] > 0) & ~whole & (np.round(score[:, k], 9) >= least[j])
+                    if good.any():
+                        for into, x in zip(kept[j], (score[good, k], doc[good], hit[good, k])):
+                            into.append(x)
+                        if sum(map(len, kept[j][0])) > 4 * limit:
+                            trim(j)
+        for j in range(len(queries)):
+            if kept[j][0]:
+                trim(j)
+                yield packed(j, kept[j][1][0], kept[j][0][0], kept[j][2][0])
+
+    return docs.mapInArrow(run, out)
+
+
+def _kind_of(values: pd.Series):
+    return StringType() if values.dtype == object or str(values.dtype).startswith("str") else LongType()
+
+
 def keyword_candidates(queries: DataFrame, postings: DataFrame, lengths: DataFrame, scope: DataFrame | None = None, ident: str = "chunk_id", limit: int = 200) -> DataFrame:
     """(query_id, ident, tier, score, rank): phrase 3, all terms 2, any term 1 (0 for one-word queries).
 
@@ -66,10 +156,15 @@ def keyword_candidates(queries: DataFrame, postings: DataFrame, lengths: DataFra
     df = per.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
-    weights = per.join(df, "q").join(lengths, ident).select("q", ident, weight.alias("w"))
-    # dealt by document once: what the queries add up to of a document is summed where it lies
-    scored = weights.repartition(ident).join(terms, "q")
-    scored = scored.groupBy("query_id", ident).agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("hit")).join(counts, "query_id")
+    weights = materialize(per.join(df, "q").join(lengths, ident).select("q", F.col(ident).alias("doc"), weight.alias("w")), "weights")
+    scored = None
+    for some in _query_chunks(terms):
+        one = _best_scores(weights, some, limit)
+        scored = one if scored is None else scored.unionByName(one)
+    if scored is None:
+        scored = weights.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc {weights.schema['doc'].dataType.simpleString()}, score double, hit long")
+    scored = materialize(scored.withColumnRenamed("doc", ident), "scored").join(counts, "query_id")
+    release(weights)
     whole = scored.where("hit = n_terms AND n_terms > 1").select("query_id", ident)
     words = folded.select("query_id", F.posexplode(search_words(F.col("text"))).alias("at", "term"))
     n_words = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_words"))
@@ -78,9 +173,11 @@ def keyword_candidates(queries: DataFrame, postings: DataFrame, lengths: DataFra
     phrase = phrase.select("query_id", ident).distinct().withColumn("_phrase", F.lit(True))
     tier = F.when(F.col("n_terms") == 1, 0).when(F.col("_phrase"), 3).when(F.col("hit") == F.col("n_terms"), 2).otherwise(1)
     ranked = scored.join(phrase, ["query_id", ident], "left").withColumn("tier", tier)
-    by_tier = Window.partitionBy("query_id", "tier").orderBy(F.col("score").desc(), ident)
+    # scores are compared at nine decimals: sums of equal weights in another order are equal
+    best = F.round("score", 9).desc()
+    by_tier = Window.partitionBy("query_id", "tier").orderBy(best, ident)
     kept = ranked.withColumn("_r", F.row_number().over(by_tier)).where(F.col("_r") <= limit)
-    order = Window.partitionBy("query_id").orderBy(F.col("tier").desc(), F.col("score").desc(), ident)
+    order = Window.partitionBy("query_id").orderBy(F.col("tier").desc(), best, ident)
     return kept.select("query_id", ident, "tier", "score", F.row_number().over(order).cast("long").alias("rank"))
 
 
@@ -140,23 +237,22 @@ def moments(ranked: DataFrame, limit: int = 20) -> DataFrame:
     times ``limit`` then goes by creation, and the result by tier, score and video.
     """
 
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        made: list[dict] = []
-        for r in g.sort_values("rank").itertuples():
-            into = next((m for m in made if r.start_ms <= m["end_ms"] + MERGE_GAP_MS and r.end_ms + MERGE_GAP_MS >= m["start_ms"]), None)
+    def merge(rows):
+        made: list[list] = []  # start, end, tier, score, born, hits
+        for r in rows:
+            into = next((m for m in made if r.start_ms <= m[1] + MERGE_GAP_MS and r.end_ms + MERGE_GAP_MS >= m[0]), None)
             if into is None:
-                made.append({"query_id": r.query_id, "video_id": r.video_id, "start_ms": r.start_ms, "end_ms": r.end_ms, "tier": r.tier, "score": r.score, "born": r.rank, "hits": 1})
+                made.append([r.start_ms, r.end_ms, r.tier, r.score, r.rank, 1])
                 continue
-            into["tier"] = max(into["tier"], r.tier)
-            into["score"] += r.score * 0.5
-            into["hits"] += 1
-            start, end = min(into["start_ms"], r.start_ms), max(into["end_ms"], r.end_ms)
+            start, end = min(into[0], r.start_ms), max(into[1], r.end_ms)
+            into[2:4] = max(into[2], r.tier), into[3] + r.score * 0.5
+            into[5] += 1
             if end - start <= LONGEST_MOMENT_MS:
-                into["start_ms"], into["end_ms"] = start, end
-        return pd.DataFrame(made)
+                into[:2] = start, end
+        return map(tuple, made)
 
-    kind = "query_id long, video_id long, start_ms long, end_ms long, tier int, score double, born long, hits int"
-    got = ranked.groupBy("query_id", "video_id").applyInPandas(merge, kind)
+    rows = ranked.select("query_id", "video_id", "start_ms", "end_ms", "tier", "score", "rank")
+    got = fold(rows, ["query_id", "video_id"], ["rank"], "start_ms long, end_ms long, tier int, score double, born long, hits int", merge)
     born = Window.partitionBy("query_id").orderBy("born")
     got = got.withColumn("_b", F.row_number().over(born)).where(F.col("_b") <= limit * 3)
     best = Window.partitionBy("query_id").orderBy(F.col("tier").desc(), F.col("score").desc(), "video_id", "start_ms")

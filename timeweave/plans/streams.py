@@ -40,3 +40,11 @@ def s8_run_states(spark, d):
 def s9_expire(spark, d):
     t = fixture(spark, d, "events").select(F.col("user_id").alias("project_id"), (F.col("event_id") * 1_000_000).alias("deleted_ms"), F.col("event_id").alias("item_id"))
     return st.expire(t, 9_000_000_000)[1]
+
+
+@query("""WITH w AS (SELECT user_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start FROM events, (VALUES (0), (1)) AS t(k))
+SELECT user_id, epoch_us(start) // 1000 AS start_ms, epoch_us(start) // 1000 + 7200000 AS end_ms, count(*) AS n, round(count(*) / 7200e0, 9) AS per_second FROM w GROUP BY user_id, start""")
+def s6_throughput(spark, d):
+    e = fixture(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    got = st.throughput(e, "user_id", "at", "2 hours", "1 hour")
+    return got.select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n", F.round("per_second", 9).alias("per_second"))

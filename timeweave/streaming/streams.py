@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timeweave.functions.text import dbfs
@@ -30,13 +31,50 @@ def first_seen(stream: DataFrame, keys: list[str], at: str, late: str = "1 hour"
     return stream.dropDuplicates(keys)
 
 
-def levels(samples: DataFrame, key: str, idx: str, value: str, per: int = 160) -> DataFrame:
-    """(key, frame, db): mean-square level of every ``per`` samples; frames that aren't full are left out."""
+def keep_first_seen(stream: DataFrame, keys: list[str], at: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Each key's first row, for ever: a running query that adds to the Parquet table at ``path``, partitioned by batch.
+
+    A batch is compared with the partitions of earlier batches only and writes its own whole, so a batch that is replayed
+    after a failure finds what it found before and changes nothing. Within a batch the earliest row of a key counts.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+    return stream.writeStream.foreachBatch(lambda batch, n: take_first_seen(batch, n, keys, at, path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def take_first_seen(batch: DataFrame, batch_id: int, keys: list[str], at: str, path: str) -> None:
+    """One batch of :func:`keep_first_seen`; again and again with the same result."""
+    before = batch.sparkSession.read.option("basePath", path).parquet(path).where(F.col("batch") < batch_id).select(*keys)
+    order = Window.partitionBy(*keys).orderBy(F.col(at).asc_nulls_last(), *[c for c in batch.columns if c not in (*keys, at)])
+    first = batch.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    same = [first[k].eqNullSafe(before[k]) for k in keys]
+    first.join(before, same, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def levels(samples: DataFrame, key: str, idx: str, value: str, per: int = 160, rate: int | None = None, late: str = "10 seconds") -> DataFrame:
+    """(key, frame, db): mean-square level of every ``per`` samples; frames that aren't full are left out.
+
+    On a stream with ``rate`` (samples a second) a frame's end is event time: its level is told once the watermark has
+    passed it, and its state is gone then, so state holds the frames of ``late`` at most.
+    """
     x = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.when(F.isnan(F.col(value).cast("double")), 0.0).otherwise(F.coalesce(F.col(value).cast("double"), F.lit(0.0)))))
-    got = samples.groupBy(key, F.floor(F.col(idx) / per).alias("frame")).agg(F.avg(x * x).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    frame = F.floor(F.col(idx) / per)
+    by = [key, frame.alias("frame")]
+    if samples.isStreaming and rate:
+        samples = samples.withColumn("_ended", F.timestamp_micros(F.ceil((frame + 1) * F.lit(per * 1_000_000.0 / rate)).cast("long"))).withWatermark("_ended", late)
+        by.append("_ended")
+    got = samples.groupBy(*by).agg(F.avg(x * x).alias("_m"), F.count(F.lit(1)).alias("_n"))
     return got.where(F.col("_n") == per).select(key, "frame", dbfs(F.col("_m")).alias("db"))
 
 
+def throughput(events: DataFrame, key: str, at: str, size: str = "1 minute", slide: str = "10 seconds", late: str = "1 minute") -> DataFrame:
+    """(key, start, end, n, per_second): events in sliding windows; on a stream a window is told once the watermark has passed it."""
+    e = events.withWatermark(at, late) if events.isStreaming else events
+    got = e.groupBy(key, F.window(at, size, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    seconds = F.unix_micros("w.end") - F.unix_micros("w.start")
+    return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("n") * 1_000_000.0 / seconds).alias("per_second"))
+
+
 def settled(files: DataFrame, delay_ms: int, late: str = "1 minute") -> DataFrame:
     """(path, mtime, size) of a file once event time has passed its last change by ``delay_ms``; a change starts anew.
 
@@ -93,10 +131,40 @@ def job_states(events: DataFrame) -> DataFrame:
 
 def run_states(events: DataFrame, stale_ms: int, now_ms: int) -> DataFrame:
     """Newest report of every run; runs still running that said nothing for ``stale_ms`` are failed."""
-    last = events.groupBy("run_id").agg(F.max_by("state", "at_ms").alias("state"), F.max("at_ms").alias("at_ms"))
+    last = events.groupBy("run_id").agg(F.max(F.struct("at_ms", "state")).alias("_r")).select("run_id", "_r.state", "_r.at_ms")
     return last.withColumn("state", F.when((F.col("state") == "running") & (F.lit(now_ms) - F.col("at_ms") > stale_ms), "failed").otherwise(F.col("state")))
 
 
+def stream_run_states(events: DataFrame, stale_ms: int, late: str = "1 minute") -> DataFrame:
+    """(run_id, state, at_ms): a run's newest report as it changes, and ``failed`` once event time has passed a running
+    one's last report by more than ``stale_ms``.
+
+    events(run_id, state, at timestamp). A run's state is its newest report; it is dropped once the run has ended or
+    failed and the watermark has passed it. A report of a run that was failed for silence takes it up again.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, at = state.get if state.exists else ("", -1)
+        if state.hasTimedOut:
+            state.remove()
+            if now == "running":
+                yield pd.DataFrame({"run_id": [key[0]], "state": ["failed"], "at_ms": [at]})
+            return
+        before = (now, at)
+        for f in frames:
+            for r in f.itertuples(index=False):
+                ms = int(r.at.timestamp() * 1000)
+                if (ms, r.state) > (at, now):  # of reports of one time the greater state, whatever the order they come in
+                    now, at = r.state, ms
+        state.update((now, at))
+        state.setTimeoutTimestamp(max(at + stale_ms + 1, state.getCurrentWatermarkMs() + 1))
+        if (now, at) != before:
+            yield pd.DataFrame({"run_id": [key[0]], "state": [now], "at_ms": [at]})
+
+    e = events.withWatermark("at", late)
+    return e.groupBy("run_id").applyInPandasWithState(run, "run_id long, state string, at_ms long", "state string, at_ms long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def expire(trash: DataFrame, now_ms: int, days: int = 30) -> tuple[DataFrame, DataFrame]:
     """(items, summary): what has lain longer than ``days`` (project_id, item_id), and (project_id, n, first, last)."""
     old = trash.where(F.lit(now_ms) - F.col("deleted_ms") > days * 86_400_000)
