@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions import text as tx
 from timeweave.operators import reports as rp
+from timeweave.operators.glossary import correct_by_glossary
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
 
@@ -116,3 +117,14 @@ def b7_categories(spark, d):
     e = fixture(spark, d, "events")
     cat = F.when(F.col("event_type") == "click", "broll").when(F.col("event_type") == "view", "drone").when(F.col("event_type") == "purchase", "interview").otherwise(F.col("event_type"))
     return e.withColumn("category", cat).select("event_id", tx.folder_of(F.col("category")).alias("folder"), tx.plays_ambience(F.col("category"), F.greatest(F.col("value") - 10, F.lit(0.0)), F.when(F.col("event_id") % 2 == 0, "manual").otherwise("auto")).alias("ambience"))
+
+
+@query(r"""WITH g AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS heard FROM benchmark), m AS (SELECT map(list(heard), list(upper(heard))) AS m FROM g),
+p AS (SELECT doc_id, source, m, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS parts FROM documents, m)
+SELECT doc_id, coalesce(array_to_string(CASE WHEN source IN ('src0', 'src1') THEN list_transform(parts, lambda x: coalesce(m[lower(x)], x)) ELSE parts END, ''), '') AS text FROM p""")
+def t7_glossary(spark, d):
+    """Whole documents of two sources by a glossary of all longer words of the benchmark, which it writes in capitals."""
+    docs = fixture(spark, d, "documents").select("doc_id", "source", "text")
+    heard = fixture(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("heard")).distinct()
+    words = heard.select(F.explode(F.array(F.lit("src0"), F.lit("src1"))).alias("source"), F.upper("heard").alias("term"), "heard")
+    return correct_by_glossary(docs, "text", words, "source").select("doc_id", "text")
