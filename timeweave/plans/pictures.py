@@ -61,7 +61,7 @@ def _descriptions(spark, d):
     c = fixture(spark, d, "chunks")
     i = F.col("chunk_id")
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (i % len(v) + 1).cast("int"))
-    text = F.concat(F.substring("text", 1, 30), F.lit(" "), pick("a drone over a landscape", "source code on a desk", "a man speaking to camera", "holding a microphone", "live music", "an exterior"))
+    text = F.concat("text", F.lit(" "), pick("a drone over a landscape", "source code on a desk", "a man speaking to camera", "holding a microphone", "live music", "an exterior"))
     desc = F.struct(text.alias("description"), pick("wide", "medium", "close-up", "slide", "b-roll").alias("shot"), F.array(pick("Interview", "code", "sky", "aerial view", "singer", "ui", "nature")).alias("tags"), F.array(pick("microphone", "car", "guitar")).alias("objects"))
     return c.where("kind = 'frame'").select("video_id", desc.alias("description"))
 
