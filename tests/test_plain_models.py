@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeweave.functions import text as tx
-from timeweave.operators import captions, classify, folds, people, pictures, speech, story, topics, vectors
+from timeweave.operators import captions, classify, folds, people, pictures, search, speech, story, topics, vectors
 from timeweave.plans import folds as plans
 from timeweave.plans import pictures as pplans
 from timeweave.plans import search as splans
@@ -270,6 +270,45 @@ def test_c14_alignment(spark):
         assert len(times) == len(words) and all(0 <= a <= b <= 100 for a, b in times) and all(p[1] <= q[0] + 1e-9 for p, q in zip(times, times[1:], strict=False))
 
 
+def test_c14_matches_a_longest_common_subsequence():
+    """As many words keep their own times as the textbook recursion matches."""
+    from functools import lru_cache
+
+    rng = random.Random(17)
+    for _ in range(40):
+        words = [rng.choice(["a", "b", "c", "...", "B"]) for _ in range(rng.randint(1, 12))]
+        heard = [rng.choice(["A", "b", "c", "--"]) for _ in range(rng.randint(0, 12))]
+        a, b = [speech._plain(w) for w in words], [speech._plain(w) for w in heard]
+
+        @lru_cache(None)
+        def most(i, j):
+            if i == len(a) or j == len(b):  # noqa: B023
+                return 0
+            return max(most(i + 1, j), most(i, j + 1), most(i + 1, j + 1) + 1 if a[i] and a[i] == b[j] else 0)  # noqa: B023
+
+        times = speech.align(words, [(w, 100.0 * j, 100.0 * j + 7.0) for j, w in enumerate(heard)], 0, 100_000)
+        assert sum(t[0] % 100 == 0 and t[1] == t[0] + 7 for t in times) == most(0, 0)
+
+
+def test_m5_w29_f7_against_plain_python(spark):
+    rng = random.Random(23)
+    edges = [(k, v, f, rng.choice([None, 0.01, 0.2, 0.2, round(rng.random(), 2)])) for k in range(6) for v in range(5) for f in range(4) if rng.random() < 0.7]
+    got = {(r.k, r.voice, r.face): r.confidence for r in folds.assign_links(spark.createDataFrame(edges, "k long, voice long, face long, corr double"), "k").collect()}
+    want = {}
+    for k in range(6):
+        mine, used = [e for e in edges if e[0] == k], set()
+        for _, v, f, c in sorted((e for e in mine if e[3] is not None and e[3] >= 0.02), key=lambda e: (-e[3], e[1], e[2])):
+            if ("v", v) not in used and ("f", f) not in used:
+                used |= {("v", v), ("f", f)}
+                rival = max([o[3] for o in mine if o[3] is not None and (o[1] == v) != (o[2] == f)], default=0.0)
+                want[k, v, f] = np.tanh(5 * max(c - rival, 0.0))
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    texts = ["One two Three four five", "nothing here", "“Éa” three", "x " * 30 + "three", None, ""]
+    df = spark.createDataFrame([(i, t, "thr") for i, t in enumerate(texts)], "i long, t string, q string")
+    told = [r.snippet for r in search.with_snippet(df, "t", "q", n=4).orderBy("i").collect()]
+    assert told == ["One two [Three] four …", None, "“Éa” [three]", "… x x [three]", None, None]
+
+
 def test_q7_w35_stories(spark):
     rows = [seg(1, 0, 4000, "What do you think of it?", 2), seg(2, 4200, 8000, "Yeah I like it a lot."), seg(3, 8100, 12_000, "En general it works well."), seg(4, 12_050, 16_000, "We go on from there."), seg(5, 17_000, 19_000, "Okay then.", 2, True)]
     s = spark.createDataFrame(rows, SEGMENT)

@@ -40,10 +40,13 @@ def align(words: list[str], timed: list, start: float, end: float) -> list[tuple
     """
     a, b = [_plain(w) for w in words], [_plain(t[0]) for t in timed]
     best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    equal = np.array([[x != "" and x == y for y in b] for x in a], bool).reshape(len(a), len(b))
+    number = {w: k for k, w in enumerate(sorted(set(a + b) - {""}), 1)}
+    mine, theirs = np.array([number.get(w, 0) for w in a]), np.array([number.get(w, -1) for w in b])
+    equal = mine[:, None] == theirs[None, :] if a and b else np.zeros((len(a), len(b)), bool)
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if equal[i, j] else max(best[i + 1, j], best[i, j + 1])
+        # a whole row at once: what a match or the row below gives, and the best of it from there on
+        row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + equal[i])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     times: list = [None] * len(a)
     i = j = 0
     floor = start
