@@ -426,3 +426,21 @@ def test_closing_pictures_and_limits_of_quotes(spark):
     assert runs[0] == (5990, 59) and runs[19] == (5990, 40) and 20 not in runs
     ends = {r.unit_id: r.n for r in library.clip_candidates(many.withColumnRenamed("segment_id", "unit_id"), "video_id", 1_000, 60_000, lambda: F.col("e.unit_id")).collect()}
     assert ends[0] == 60 and ends[10] == 50
+
+
+def test_a11_a2_files_on_disk(spark, tmp_path):
+    cues = spark.createDataFrame([(1, 1000, 2500, "Two"), (1, 0, 999, "One"), (7, 3_600_000, 3_601_001, "A\nB")], "script_id long, start_ms long, end_ms long, text string")
+    from timeweave.operators import edits, library
+
+    edits.write_srt(cues, f"{tmp_path}/srt")
+    read = lambda k: [p.read_text() for p in (tmp_path / "srt" / f"script_id={k}").glob("part-*")]
+    assert read(1) == ["1\n00:00:00,000 --> 00:00:00,999\nOne\n\n2\n00:00:01,000 --> 00:00:02,500\nTwo\n"]
+    assert read(7) == ["1\n01:00:00,000 --> 01:00:01,001\nA\nB\n"]
+    for name in ("a.mp4", "b.MKV", "c.txt", ".hidden.mp4", "d_proxy.mov", "sub/e.mov", "Proxies/f.mov", "g h.webm"):
+        f = tmp_path / "media" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x" * 3)
+    names = lambda df: sorted(r.path.split("/media/")[1].replace("%20", " ") for r in df.collect())
+    all_ = library.list_media(spark, [f"{tmp_path}/media"])
+    assert names(all_) == ["a.mp4", "b.MKV", "g h.webm", "sub/e.mov"] and {r.size for r in all_.collect()} == {3}
+    assert names(library.list_media(spark, [f"{tmp_path}/media"], recursive=False)) == ["a.mp4", "b.MKV", "g h.webm"]

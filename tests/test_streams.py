@@ -120,3 +120,22 @@ def test_settled_files_of_a_stream(spark, tmp_path):
     got = drain(st.settled(st.stream_files(spark, f"{tmp_path}/in", kind, 1), 100_000, "1 second"))
     batch = st.settled(df, 100_000).select("path", "size", "at").collect()
     assert sorted((r[0], r[1]) for r in got) == sorted((r.path, r.size) for r in batch) == [("a", 1), ("b", 2), ("c", 5)]
+
+
+def test_ledger_with_switches_and_reopened_stages(spark, tmp_path):
+    import random
+
+    stages, rng = ["hash", "probe", "frames", "embed"], random.Random(3)
+    events = ["pending", "running", "done", "failed", "failed", "skipped", "interrupted", "disabled", "enabled", "reopened"]
+    rows = [(rng.randint(1, 3), rng.choice(stages), n, rng.choice(events)) for n in range(160)]
+    kind = "video_id long, stage string, seq long, event string"
+    write_in_turn(spark, f"{tmp_path}/in", rows, kind, 4)
+    got = {}
+    for r in drain(st.job_ledger(st.stream_files(spark, f"{tmp_path}/in", kind, 1), stages), "update"):
+        if r[4] >= got.get(r[:2], (None, None, -1))[2]:
+            got[r[:2]] = r[2:]
+    batch = {(r.video_id, r.stage): (r.state, r.attempts, r.seq) for r in st.job_ledger(spark.createDataFrame(rows, kind), stages).collect()}
+    assert got == batch
+    few = [(1, "hash", 1, "done"), (1, "probe", 2, "failed"), (1, "frames", 3, "disabled"), (1, "embed", 4, "running"), (1, "frames", 5, "running"), (1, "embed", 6, "interrupted"), (1, "probe", 7, "reopened"), (1, "frames", 8, "enabled"), (1, "probe", 9, "failed")]
+    told = {r.stage: (r.state, r.attempts) for r in st.job_ledger(spark.createDataFrame(few, kind), stages).collect()}
+    assert told == {"hash": ("done", 0), "probe": ("failed", 1), "frames": ("pending", 0), "embed": ("pending", 0)}

@@ -168,3 +168,9 @@ def srt_text(cues: DataFrame, key: str = "script_id") -> DataFrame:
     block = F.concat_ws("\n", F.col("_n").cast("string"), F.concat(fmt_srt(F.col("start_ms")), F.lit(" --> "), fmt_srt(F.col("end_ms"))), "text", F.lit(""))
     one = cues.withColumn("_n", n).select(key, F.struct("_n", block.alias("b")).alias("s"))
     return one.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["b"]), "\n").alias("srt"))
+
+
+def write_srt(cues: DataFrame, path: str, key: str = "script_id") -> None:
+    """Each script's cues as one text file below ``path``, in a folder named by the script."""
+    rows = srt_text(cues, key).repartition(key)  # one row a script, so one file
+    rows.select(key, F.regexp_replace("srt", r"\n\z", "").alias("value")).write.partitionBy(key).text(path)  # the writer ends the line

@@ -48,3 +48,17 @@ def s6_throughput(spark, d):
     e = fixture(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
     got = st.throughput(e, "user_id", "at", "2 hours", "1 hour")
     return got.select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n", F.round("per_second", 9).alias("per_second"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS video_id, event_type AS stage, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' WHEN 3 THEN 'failed' WHEN 4 THEN 'interrupted' WHEN 5 THEN 'enabled' ELSE 'disabled' END AS event FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY video_id, stage ORDER BY seq) AS i FROM e), f AS (SELECT video_id, stage, min(i) AS i FROM k WHERE event NOT IN ('interrupted', 'enabled') GROUP BY 1, 2),
+n AS (SELECT k.*, row_number() OVER (PARTITION BY k.video_id, k.stage ORDER BY seq) AS n FROM k JOIN f ON k.video_id = f.video_id AND k.stage = f.stage AND k.i >= f.i),
+r AS (SELECT video_id, stage, n, event AS state, CAST(CASE WHEN event = 'failed' THEN 1 ELSE 0 END AS BIGINT) AS attempts, seq FROM n WHERE n = 1
+UNION ALL SELECT n.video_id, n.stage, n.n, CASE WHEN event = 'enabled' THEN CASE WHEN state = 'disabled' THEN 'pending' ELSE state END WHEN state = 'disabled' THEN state WHEN event = 'interrupted' THEN CASE WHEN state = 'running' THEN 'pending' ELSE state END ELSE event END,
+CASE WHEN state = 'disabled' THEN attempts WHEN event = 'done' THEN 0 WHEN event = 'failed' THEN attempts + 1 ELSE attempts END, n.seq FROM r JOIN n ON n.video_id = r.video_id AND n.stage = r.stage AND n.n = r.n + 1)
+SELECT video_id, stage, max_by(state, n) AS state, max_by(attempts, n) AS attempts, max(seq) AS seq FROM r GROUP BY 1, 2""")
+def s5_job_ledger(spark, d):
+    e, i = fixture(spark, d, "events"), F.col("event_id")
+    event = F.element_at(F.array(*map(F.lit, ("pending", "running", "done", "failed", "interrupted", "enabled", "disabled"))), (i % 7 + 1).cast("int"))
+    rows = e.select(F.col("user_id").alias("video_id"), F.col("event_type").alias("stage"), i.alias("seq"), event.alias("event"))
+    return st.job_ledger(rows, [])

@@ -129,6 +129,74 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("video_id", "stage").applyInPandasWithState(run, kind, "state string, attempts long, seq long", "update", GroupStateTimeout.NoTimeout)
 
 
+#: What a ledger's event does to its stage: these name the new state, the others below depend on the old one.
+REPORTED = ("pending", "running", "done", "failed", "skipped")
+
+
+def _apply(jobs: dict, stages: list[str], stage: str, seq: int, event: str) -> set[str]:
+    """One event taken into a video's jobs, {stage: [state, attempts, seq]}; the stages that it touched.
+
+    ``interrupted`` puts what runs back to pending; ``disabled`` stops a stage, whose reports then count for nothing, and
+    ``enabled`` makes it pending again; ``reopened`` makes a stage and all later ones pending and unattempted, but for
+    disabled ones and those that never had a job.
+    """
+    touched = set()
+    for name in stages[stages.index(stage) :] if event == "reopened" and stage in stages else [stage]:
+        job = jobs.get(name)
+        if job is None:
+            if event not in (*REPORTED, "disabled"):
+                continue
+            job = jobs[name] = ["pending", 0, -1]
+        if seq <= job[2]:
+            continue
+        job[2] = seq
+        touched.add(name)
+        if event == "enabled":
+            job[0] = "pending" if job[0] == "disabled" else job[0]
+        elif job[0] == "disabled":
+            continue
+        elif event == "interrupted":
+            job[0] = "pending" if job[0] == "running" else job[0]
+        elif event == "reopened":
+            job[:2] = ["pending", 0]
+        elif event == "disabled" or event in REPORTED:
+            job[0] = event
+            job[1] = 0 if event == "done" else job[1] + (event == "failed")
+    return touched
+
+
+def job_ledger(events: DataFrame, stages: list[str]) -> DataFrame:
+    """(video_id, stage, state, attempts, seq) after all events(video_id, stage, seq, event) of :func:`_apply`, in order of seq.
+
+    A batch folds each video's events as a stream of rows. A stream keeps a video's jobs, one small row a stage, and tells
+    the rows that a trigger touched; an event older than its stage's last one is ignored.
+    """
+    kind = "stage string, state string, attempts long, seq long"
+    if not events.isStreaming:
+        from timeweave.operators.grouped import fold
+
+        def step(rows):
+            jobs: dict = {}
+            for r in rows:
+                _apply(jobs, stages, r.stage, r.seq, r.event)
+            return [(k, *v) for k, v in sorted(jobs.items())]
+
+        return fold(events.select("video_id", "stage", "seq", "event"), ["video_id"], ["seq"], kind, step, lazy=True)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import json
+
+        jobs = json.loads(state.get[0]) if state.exists else {}
+        touched: set[str] = set()
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+            touched |= _apply(jobs, stages, r.stage, int(r.seq), r.event)
+        state.update((json.dumps(jobs),))
+        rows = [(key[0], k, *jobs[k]) for k in sorted(touched)]
+        yield pd.DataFrame(rows, columns=["video_id", "stage", "state", "attempts", "seq"])
+
+    return events.groupBy("video_id").applyInPandasWithState(run, f"video_id long, {kind}", "jobs string", "update", GroupStateTimeout.NoTimeout)
+
+
 def run_states(events: DataFrame, stale_ms: int, now_ms: int) -> DataFrame:
     """Newest report of every run; runs still running that said nothing for ``stale_ms`` are failed."""
     last = events.groupBy("run_id").agg(F.max(F.struct("at_ms", "state")).alias("_r")).select("run_id", "_r.state", "_r.at_ms")
