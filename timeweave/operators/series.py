@@ -46,18 +46,28 @@ def nearest_rank_of(df: DataFrame, keys: Sequence[str], value: str, shares: dict
 def rolling_threshold(levels: DataFrame, key: str, idx: str, level: str, per_block: int, half: int, floor: tuple[float, float], speech: tuple[float, float], least: float) -> DataFrame:
     """(key, block, threshold): one row for every ``per_block`` samples, from the samples within ``half`` of its centre.
 
-    threshold = max(percentile floor[0] + floor[1], percentile speech[0] - speech[1], least), nearest ranks. A sample
-    reaches only the blocks whose window holds it.
+    threshold = max(percentile floor[0] + floor[1], percentile speech[0] - speech[1], least), nearest ranks. Blocks are
+    handled a piece of some at a time, which spans eight half windows or more: a sample goes to its own piece, and to a
+    neighbour where that one's windows reach it, and to no window as a row.
     """
+    many = max(1, -(-8 * half // per_block))
+    span, reach = many * per_block, half + per_block
     ends = levels.groupBy(key).agg((F.max(idx) + 1).alias("_n"))
-    blocks = ends.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / per_block))))
-    centre = F.floor((F.col("block") * per_block + F.least((F.col("block") + 1) * per_block, F.col("_n"))) / 2)
-    blocks = blocks.withColumn("_lo", F.greatest(centre - half, F.lit(0))).withColumn("_hi", F.least(centre + half, F.col("_n")))
-    cell = blocks.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / half), F.floor((F.col("_hi") - 1) / half))))
-    met = cell.join(levels.select(key, F.col(idx).alias("_i"), F.col(level).alias("_v"), F.floor(F.col(idx) / half).alias("_cell")), [key, "_cell"]).where("_i >= _lo AND _i < _hi")
-    got = met.groupBy(key, "block").agg(F.collect_list("_v").alias("_vs"))
-    line = F.greatest(nearest_rank(F.col("_vs"), floor[0]) + floor[1], nearest_rank(F.col("_vs"), speech[0]) - speech[1], F.lit(least))
-    return got.select(key, "block", line.alias("threshold"))
+    i = F.col(idx).cast("long")
+    near = F.sequence(F.greatest(F.floor((i - reach) / span), F.lit(0)), F.floor((i + reach) / span))
+    rows = levels.select(key, i.alias("_i"), F.col(level).alias("_v"), F.explode(near).alias("_piece"))
+    held = rows.groupBy(key, "_piece").agg(F.collect_list(F.struct("_i", "_v")).alias("_vs")).join(ends, key)
+
+    def threshold(block: Column) -> Column:
+        centre = F.floor((block * per_block + F.least((block + 1) * per_block, F.col("_n"))) / 2)
+        inside = F.filter("_vs", lambda x: (x["_i"] >= F.greatest(centre - half, F.lit(0))) & (x["_i"] < F.least(centre + half, F.col("_n"))))
+        # null where nothing lies near the block
+        line = lambda v: F.when(F.size(v) > 0, F.greatest(nearest_rank(v, floor[0]) + floor[1], nearest_rank(v, speech[0]) - speech[1], F.lit(least)))
+        return F.transform(F.array(F.transform(inside, lambda x: x["_v"])), line)[0]
+
+    first, last = F.col("_piece") * many, F.least((F.col("_piece") + 1) * many - 1, F.floor((F.col("_n") - 1) / per_block))
+    blocks = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda b: F.struct(b.alias("block"), threshold(b).alias("threshold"))))
+    return held.select(key, F.explode(blocks).alias("_b")).select(key, "_b.block", "_b.threshold").where("threshold IS NOT NULL")
 
 
 def hysteresis_regions(series: DataFrame, key: str, idx: str, low: Column, high: Column, min_gap: int, min_len: int) -> DataFrame:
