@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeweave.functions import text as tx
-from timeweave.operators import captions, classify, folds, people, pictures, search, speech, story, topics, vectors
+from timeweave.operators import captions, classify, folds, linkage, people, pictures, search, speech, story, topics, vectors
 from timeweave.plans import folds as plans
 from timeweave.plans import pictures as pplans
 from timeweave.plans import search as splans
@@ -174,7 +174,7 @@ def test_s7_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_m1_clusters_equal_greedy_merging(spark):
+def test_m1_clusters_equal_greedy_merging(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((120, 8))
     x[60:] = x[:60] + 0.5 * rng.standard_normal((60, 8))
@@ -195,6 +195,10 @@ def test_m1_clusters_equal_greedy_merging(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     no = spark.createDataFrame(sorted(apart), "a long, b long")
     assert {r.id: r.cluster for r in vectors.cluster(df, "id", "v", 0.6, no).collect()} == want
+    # in rounds over all tasks, in blocks of a few clusters
+    monkeypatch.setattr(vectors, "ONE_TASK", 5)
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 9)
+    assert {r.id: r.cluster for r in vectors.cluster(df, "id", "v", 0.6, no).collect()} == want
 
 
 def test_similar_pairs_are_exact_over_cells_and_parts(spark, monkeypatch):
