@@ -262,6 +262,29 @@ def test_w17_w18_sentences(spark):
     assert speech.split_sentences(df.limit(0), regions).count() == 0
 
 
+def test_w17_words_leave_the_silence(spark):
+    told = [("so", 0, 900), ("We", 1050, 1150), ("are", 1150, 1250), ("now", 1250, 1400), ("almost", 1400, 1700), ("there", 2400, 2900), ("then", 2950, 3200)]
+    words = [{"text": t, "start_ms": a, "end_ms": b} for t, a, b in told]
+    kind = "video_id long, segment_id long, start_ms long, end_ms long, text string, speaker long, off_mic boolean, words array<struct<text:string,start_ms:long,end_ms:long>>"
+    df = spark.createDataFrame([(1, 1, 0, 3600, "so. We are now almost there then", 1, False, words)], kind)
+    regions = spark.createDataFrame([(1, 0, 950), (1, 1900, 3600)], REGION)
+    got = speech.split_sentences(df, regions).orderBy("sentence").collect()
+    assert [r.text for r in got] == ["so.", "We are now almost there then"]
+    w = [tuple(x) for x in got[1].words]
+    # four words timed in the silence share the time from 1900, where speech resumes, to "there", which keeps its own
+    share = [3, 4, 4, 7]
+    marks = [1900 + 500 * sum(share[:k]) / sum(share) for k in range(5)]
+    assert [a for a, _ in w[:4]] == [round(m) for m in marks[:4]]
+    assert w[4] == (2400, 2900) and w[5] == (2950, 3200)
+    plain = speech.split_sentences(df, regions.limit(0)).orderBy("sentence").collect()
+    assert [tuple(x) for x in plain[1].words][:2] == [(1050, 1150), (1150, 1250)]
+    # a sentence that itself begins in the silence: its moved words end where the next ones begin
+    timed = [{"i": k, "s": float(a), "e": float(b), "n": len(t), "timed": True} for k, (t, a, b) in enumerate(told[1:])]
+    one = spark.createDataFrame([(1, 1, 1000.0, 3600.0, timed)], "video_id long, sentence long, start_ms double, end_ms double, _words array<struct<i:long,s:double,e:double,n:int,timed:boolean>>")
+    moved = [tuple(x) for x in speech._word_times(one, regions).first().words]
+    assert moved == [(round(a), round(b)) for a, b in zip(marks, marks[1:])] + [(2400, 2900), (2950, 3200)]
+
+
 def test_c14_alignment(spark):
     got = speech.align("the quick brown fox".split(), [("the", 0, 100), ("brown", 300, 400), ("socks", 400, 500)], 0, 800)
     assert got == [(0, 100), (100, 300), (300, 400), (400, 800)]

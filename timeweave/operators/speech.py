@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from timeweave.functions.text import bare, ends_clause, ends_on_tag, ends_sentence, opener_class
 from timeweave.operators.folds import fold
-from timeweave.operators.intervals import overlap_join, points_in
+from timeweave.operators.intervals import asof, overlap_join, points_in
 from timeweave.sources.scratch import materialize
 
 # Fixed values, in milliseconds: a pause that ends a sentence, the longest sentence, how near punctuation speaks for
 # itself, the shortest sentence that a pause makes and the pause that stands alone, how far an edge is moved, how far
-# on the wrong side of a word a pause is, the longest credible word, the shortest gap, the longest sound without words.
+# on the wrong side of a word a pause is, how far beyond measured speech a time still counts as in it and what is one moment, the longest credible word, the shortest gap, the longest sound without words.
 PAUSE_BREAK, LONGEST, PUNCTUATION_NEAR, SHORTEST, ALONE_PAUSE, SNAP_EDGE = 650, 14_000, 10_000, 1_200, 1_500, 350
+SPEECH_EDGE, SAME_MOMENT = 20.0, 1e-3
 WORD_SIDE, MAX_WORD, MIN_GAP, MAX_UNTRANSCRIBED, TAIL_WORDS = 100, 700, 80, 2_000, 2
 TIMES = "array<struct<start_ms:double,end_ms:double>>"
 
@@ -257,7 +258,7 @@ def split_sentences(segments: DataFrame, regions: DataFrame) -> DataFrame:
     A sentence ends at a stop or a change of voice, at a long pause where nobody punctuates, and inside one of over
     14 s at its best comma or pause. Its ends then move onto the pauses of the measured speech, never across a timed
     word; sound between two sentences that no word accounts for belongs to neither. ``words`` are times of its words,
-    null where none was timed.
+    those that were timed in measured silence moved to where speech resumes; null where none was timed.
     """
     words = materialize(boundaries(materialize(tokens(carry_tails(segments)), "tokens"), regions), "boundaries")
     need = words.select("video_id", "stretch", "i", "start_ms", "end_ms", "pause", "soft", "tag", "clause", "next_tag")
@@ -289,10 +290,45 @@ def split_sentences(segments: DataFrame, regions: DataFrame) -> DataFrame:
 
     times = fold(rows, ["video_id"], ["sentence"], "sentence long, start_ms double, end_ms double", walk)
     out = times.join(one.select("video_id", "sentence", "text", "_words"), ["video_id", "sentence"])
-    inside = lambda t: F.least(F.greatest(t, F.col("start_ms")), F.col("end_ms"))
-    told = F.transform("_words", lambda t: F.struct(F.round(inside(t["s"]), 0).cast("long").alias("start_ms"), F.round(inside(t["e"]), 0).cast("long").alias("end_ms")))
-    timed = F.exists("_words", lambda t: t["timed"])
-    return out.select("video_id", "sentence", F.round("start_ms", 3).alias("start_ms"), F.round("end_ms", 3).alias("end_ms"), "text", F.when(timed, told).alias("words"))
+    told = _word_times(out.where(F.exists("_words", lambda t: t["timed"])), regions)
+    return out.join(told, ["video_id", "sentence"], "left").select("video_id", "sentence", F.round("start_ms", 3).alias("start_ms"), F.round("end_ms", 3).alias("end_ms"), "text", "words")
+
+
+def _word_times(sentences: DataFrame, regions: DataFrame) -> DataFrame:
+    """(video_id, sentence, words) of sentences(video_id, sentence, start_ms, end_ms, _words) that a recogniser timed.
+
+    A time is right inside measured speech and wrong in its silence: a word that begins there moves to where the speech
+    resumes, and words that come to lie on one moment share the time up to the next word by characters and a space. A moved
+    word ends where the next begins, another at its own end, but inside the sentence and before the next word. Where the
+    measured speech has no gap all times count as right.
+    """
+    r = regions.select("video_id", F.col("start_ms").cast("double").alias("_from"), F.col("end_ms").cast("double").alias("_to"))
+    gap = F.col("_from") - F.lag("_to").over(Window.partitionBy("video_id").orderBy("_from", "_to"))
+    measured = r.withColumn("_gap", gap).groupBy("video_id").agg(F.coalesce(F.max("_gap") >= MIN_GAP, F.lit(False)).alias("_measured"))
+    x = sentences.select("video_id", "sentence", "start_ms", "end_ms", F.posexplode("_words").alias("pos", "t")).select("*", "t.s", "t.e", "t.n").drop("t")
+    x = x.withColumn("at", F.least(F.greatest("s", "start_ms"), F.col("end_ms")))
+    x = asof(x, r.select("video_id", (F.col("_from") - SPEECH_EDGE).alias("_from"), "_to"), "video_id", "at", "_from", ["_to"]).drop("matched__from")
+    x = asof(x, r.select("video_id", "_from"), "video_id", "at", "_from", [], None, "forward").join(measured, "video_id", "left")
+    silent = F.coalesce("_measured", F.lit(False)) & ~F.coalesce(F.col("at") <= F.col("_to") + SPEECH_EDGE, F.lit(False))
+    x = x.withColumn("off", silent).withColumn("at", F.when(silent, F.least(F.coalesce("matched__from", "at"), F.col("end_ms"))).otherwise(F.col("at")))
+    one = Window.partitionBy("video_id", "sentence")
+    upto = one.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("at", F.max(F.greatest("at", "start_ms")).over(upto)).withColumn("last", F.max_by("e", "pos").over(one))
+    before, after = F.lag("at").over(one.orderBy("pos")), F.lead("at").over(one.orderBy("pos"))
+    x = x.withColumn("_new", F.coalesce(F.col("at") - before >= SAME_MOMENT, F.lit(True)).cast("int")).withColumn("_later", F.when(after - F.col("at") >= SAME_MOMENT, after))
+    x = x.withColumn("_moment", F.sum("_new").over(upto))
+    moment = Window.partitionBy("video_id", "sentence", "_moment")
+    weight = F.col("n") + 1.0
+    until = F.coalesce(F.max("_later").over(moment), F.least(F.greatest("last", "at"), F.col("end_ms")))
+    earlier = F.coalesce(F.sum(weight).over(moment.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    spread = F.min("at").over(moment) + (until - F.min("at").over(moment)) * earlier / F.sum(weight).over(moment)
+    x = x.withColumn("at", F.when(F.count(F.lit(1)).over(moment) > 1, spread).otherwise(F.col("at")))
+    following = F.coalesce(F.lead("at").over(one.orderBy("pos")), F.col("end_ms"))
+    own = F.least(F.least(F.greatest("e", "at"), F.greatest("end_ms", "at")), F.greatest(following, F.col("at")))
+    x = x.withColumn("to", F.greatest(F.when(F.col("off"), following).otherwise(own), F.col("at")))
+    whole = lambda c: F.round(c, 0).cast("long")
+    word = F.struct("pos", F.struct(whole("at").alias("start_ms"), whole("to").alias("end_ms")).alias("w"))
+    return x.groupBy("video_id", "sentence").agg(F.transform(F.array_sort(F.collect_list(word)), lambda v: v["w"]).alias("words"))
 
 
 def _edge_moves(last: DataFrame, regions: DataFrame) -> DataFrame:
