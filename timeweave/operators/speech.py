@@ -290,6 +290,7 @@ def split_sentences(segments: DataFrame, regions: DataFrame) -> DataFrame:
 
     times = fold(rows, ["video_id"], ["sentence"], "sentence long, start_ms double, end_ms double", walk)
     out = times.join(one.select("video_id", "sentence", "text", "_words"), ["video_id", "sentence"])
+    out = materialize(out, "spans")
     told = _word_times(out.where(F.exists("_words", lambda t: t["timed"])), regions)
     return out.join(told, ["video_id", "sentence"], "left").select("video_id", "sentence", F.round("start_ms", 3).alias("start_ms"), F.round("end_ms", 3).alias("end_ms"), "text", "words")
 

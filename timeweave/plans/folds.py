@@ -50,6 +50,7 @@ def w11_transcript_windows(spark, d):
     return fo.transcript_windows(fixture(spark, d, "segments"), "video_id")
 
 
+# Fixed values in the SQL: words that a sentence doesn't end on.
 @query(r"""WITH RECURSIVE s AS (SELECT *, row_number() OVER w - 1 AS i, lead(start_ms) OVER w AS ns, lead(off_mic) OVER w AS noff, lead(coalesce(text, '')) OVER w AS nt, regexp_replace(coalesce(text, ''), '\s+$', '') AS t FROM segments WINDOW w AS (PARTITION BY video_id ORDER BY start_ms, segment_id)),
 f AS (SELECT *, regexp_matches(t, '[.!?…]$') AS strong, lower(regexp_replace(regexp_extract(t, '\S+$'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) IN ('a', 'al', 'como', 'con', 'cuando', 'de', 'del', 'el', 'en', 'entonces', 'es', 'esa', 'ese', 'esta', 'este', 'hay', 'la', 'las', 'lo', 'los', 'me', 'mi', 'muy', 'ni', 'no', 'o', 'para', 'pero', 'por', 'porque', 'que', 'se', 'si', 'sin', 'su', 'sus', 'te', 'tu', 'un', 'una', 'unas', 'unos', 'y', 'ya', 'yo', 'an', 'and', 'are', 'as', 'at', 'be', 'because', 'but', 'by', 'for', 'from', 'i', 'if', 'in', 'is', 'it', 'my', 'of', 'on', 'or', 'so', 'that', 'the', 'their', 'then', 'this', 'to', 'was', 'we', 'with', 'you', 'your') AS small, ns IS NULL OR ns - end_ms > 6000 OR noff <> off_mic AS split,
 coalesce(ns - end_ms >= 600 OR regexp_matches(regexp_extract(nt, '[\p{L}¿¡]'), '[\p{Lu}¿¡]'), true) AS opens FROM s),
