@@ -23,12 +23,13 @@ def timed_words(text: Column, start: Column, end: Column, own: Column) -> Column
     total = F.greatest(F.aggregate(words, F.lit(0.0), lambda s, w: s + F.length(w) + 1), F.lit(1.0))
     span = (end - start).cast("double")
 
+    # what holds for the whole text is carried along: within the step it would be worked out again for each word
     def step(acc: Column, w: Column) -> Column:
         upto = acc["n"] + F.length(w) + 1
-        one = F.struct(w.alias("text"), (start + span * acc["n"] / total).alias("start_ms"), (start + span * upto / total).alias("end_ms"))
-        return F.struct(upto.cast("double").alias("n"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = F.struct(w.alias("text"), (start + span * acc["n"] / acc["total"]).alias("start_ms"), (start + span * upto / acc["total"]).alias("end_ms"))
+        return F.struct(upto.cast("double").alias("n"), acc["total"].alias("total"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zero = F.struct(F.lit(0.0).alias("n"), F.array().cast(WORDS).alias("out"))
+    zero = F.struct(F.lit(0.0).alias("n"), total.alias("total"), F.array().cast(WORDS).alias("out"))
     shared = F.aggregate(words, zero, step, lambda a: a["out"])
     measured = F.zip_with(words, own, lambda w, t: F.struct(w.alias("text"), t["start_ms"].cast("double").alias("start_ms"), t["end_ms"].cast("double").alias("end_ms")))
     return F.when((F.size(own) == F.size(words)) & (F.size(words) > 0), measured).otherwise(shared)
