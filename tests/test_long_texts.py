@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from timeweave.operators import library, story
+from timeweave.operators import library, speech, story
 
 WORDS = 12_000
 
@@ -43,3 +43,12 @@ def test_words_in_range_of_a_long_text(long_text):
             want.append(w)
         n += len(w)
     assert got == " ".join(want)
+
+
+def test_word_times_of_a_long_text(long_text):
+    words, df = long_text
+    times = quick(speech.word_times(df).select("times"))
+    total, n = sum(len(w) + 1 for w in words), 0
+    for w, t in zip(words, times, strict=True):
+        assert t.start_ms == pytest.approx(1_000 + WORDS * 10 * n / total)
+        n += len(w) + 1

@@ -101,12 +101,13 @@ def _shared_times(words: Column, start: Column, end: Column) -> Column:
     total = F.aggregate(words, F.lit(0.0), lambda s, w: s + weight(w))
     length = (end - start).cast("double")
 
+    # what holds for the whole text is carried along: within the step it would be worked out again for each word
     def step(acc: Column, w: Column) -> Column:
         upto = acc["n"] + weight(w)
-        mark = F.struct((start + length * acc["n"] / total).alias("start_ms"), (start + length * upto / total).alias("end_ms"))
-        return F.struct(upto.alias("n"), F.concat(acc["out"], F.array(mark)).alias("out"))
+        mark = F.struct((acc["start"] + acc["length"] * acc["n"] / acc["total"]).alias("start_ms"), (acc["start"] + acc["length"] * upto / acc["total"]).alias("end_ms"))
+        return F.struct(upto.alias("n"), F.concat(acc["out"], F.array(mark)).alias("out"), *[acc[c].alias(c) for c in ("total", "start", "length")])
 
-    zero = F.struct(F.lit(0.0).alias("n"), F.array().cast(TIMES).alias("out"))
+    zero = F.struct(F.lit(0.0).alias("n"), F.array().cast(TIMES).alias("out"), total.alias("total"), start.alias("start"), length.alias("length"))
     return F.aggregate(words, zero, step, lambda a: a["out"])
 
 
