@@ -2,7 +2,7 @@
 
 import random
 
-from timeweave.operators import library, shared_words
+from timeweave.operators import library, shared_words, story
 
 
 def test_pictures_of_lines_equal_all_pairs(spark, monkeypatch):
@@ -24,3 +24,13 @@ def test_pictures_of_lines_equal_all_pairs(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scripts_of_one_last_line(spark):
+    scripts = spark.createDataFrame([(1, 1, "the deer on the fence", 2000), (2, 1, "the deer on the fence", 2000), (3, 1, None, 2000), (4, 1, "nothing alike", 500)], "script_id long, project_id long, last_line string, hold_ms long")
+    frames = spark.createDataFrame([(1, 0, "deer fence", 9000), (2, 0, "deer", 9000), (2, 50, "fence deer", 9000), (2, 40, "fence deer", 9000), (3, 10, "house", 9000)], "video_id long, at_ms long, text string, length_ms long")
+    scope = frames.select(F.lit(1).cast("long").alias("project_id"), "video_id").distinct()
+    used = spark.createDataFrame([(1, 2)], "script_id long, video_id long")
+    talk = spark.createDataFrame([], "video_id long, start_ms long, end_ms long")
+    got = {r.script_id: (r.video_id, r.at_ms, r.shared) for r in story.closing_pictures(scripts, used, frames, scope, talk).collect()}
+    assert got == {1: (1, 0, 2), 2: (2, 50, 2), 3: (3, 10, 0), 4: (3, 10, 0)}

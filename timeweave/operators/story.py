@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timeweave.functions.text import CONNECTIVES, REPLIES, bare, content_words, ends_on_tag, opener_class, sentence_ref
 from timeweave.operators.edits import KEY, issues
 from timeweave.operators.intervals import coverage_share, overlap_join, points_in
+from timeweave.operators.shared_words import most_shared
 
 # Fixed values, in milliseconds: an edge word, what is heard at least, how far a word reaches past a cut and how far off
 # its time may be, how deep inside a sentence an edge cuts the thought, and the pause under which somebody runs on.
@@ -148,21 +149,28 @@ def closing_pictures(scripts: DataFrame, clips: DataFrame, frames: DataFrame, sc
     instant are one.
     """
     words = lambda c: content_words(F.col(c))
-    room = scripts.join(scope.select("project_id", "video_id").distinct(), "project_id").join(clips.select("script_id", "video_id").distinct(), ["script_id", "video_id"], "left_anti")
+    # scripts of one last line ask once, and the line's text goes no further
+    asked = scripts.groupBy("project_id", "hold_ms", "last_line").agg(F.min("script_id").cast("long").alias("line"))
+    told = scripts.join(asked, ["project_id", "hold_ms", "last_line"], "left").select("script_id", "project_id", "hold_ms", "line")
+    room = told.join(scope.select("project_id", "video_id").distinct(), "project_id").join(clips.select("script_id", "video_id").distinct(), ["script_id", "video_id"], "left_anti")
     holds = scripts.select("project_id", "hold_ms").distinct()
     # frames that speech covers are out for each length of hold, whichever script asks
     f = frames.join(scope.select("project_id", "video_id").distinct(), "video_id").join(holds, "project_id").withColumn("until", F.col("at_ms") + F.col("hold_ms"))
     f = f.where(F.col("length_ms") >= F.col("until"))
     loud = overlap_join(f.select("project_id", "video_id", "at_ms", "hold_ms", "until"), speech.select("video_id", "start_ms", "end_ms"), "video_id", a_cols=("at_ms", "until"))
     quiet = f.join(loud.select("project_id", "video_id", "at_ms", "hold_ms").distinct(), ["project_id", "video_id", "at_ms", "hold_ms"], "left_anti")
-    # words meet by an equi-join; frames that share none come last, one a video being enough
-    ask = room.select("script_id", "project_id", "video_id", "hold_ms", F.explode(words("last_line")).alias("w"))
-    met = ask.join(quiet.select("project_id", "video_id", "hold_ms", "at_ms", F.explode(words("text")).alias("w")).distinct(), ["project_id", "video_id", "hold_ms", "w"])
-    shared = met.groupBy("script_id", "video_id", "at_ms").agg(F.count(F.lit(1)).alias("shared"))
-    any_of = quiet.groupBy("project_id", "video_id", "hold_ms").agg(F.max("at_ms").alias("at_ms"))
-    rest = room.join(any_of, ["project_id", "video_id", "hold_ms"]).select("script_id", "video_id", "at_ms", F.lit(0).cast("long").alias("shared"))
+    # of each video the best frame counts, and one that shares nothing comes last
+    place = ["project_id", "video_id", "hold_ms"]
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in place]).alias("key")
+    lines = asked.join(scope.select("project_id", "video_id").distinct(), "project_id").select(key, "line", F.lit(-1).cast("long").alias("own"), words("last_line").alias("words"))
+    items = quiet.select(*place, "at_ms", F.explode(words("text")).alias("w")).groupBy(*place, "at_ms").agg(F.collect_set("w").alias("words"))
+    met = most_shared(lines, items.select(key, (-F.col("at_ms")).cast("long").alias("item"), F.lit(-2).cast("long").alias("own"), "words"), 1)
+    top = met.groupBy("key", "line").agg(F.max(F.struct("shared", (-F.col("item")).alias("at_ms"))).alias("t"))
+    any_of = quiet.groupBy(*place).agg(F.max("at_ms").alias("at_ms"))
+    shown = room.join(any_of, place).select("script_id", "video_id", "at_ms", key, "line")
+    shown = shown.join(top, ["key", "line"], "left").select("script_id", F.coalesce("t.shared", F.lit(0).cast("long")).alias("shared"), "video_id", F.coalesce("t.at_ms", "at_ms").alias("at_ms"))
     best = F.max(F.struct("shared", "video_id", "at_ms")).alias("b")
-    return shared.unionByName(rest).groupBy("script_id").agg(best).select("script_id", "b.video_id", "b.at_ms", "b.shared")
+    return shown.groupBy("script_id").agg(best).select("script_id", "b.video_id", "b.at_ms", "b.shared")
 
 
 def speech_within(frames: DataFrame, segments: DataFrame, reach: int = 15_000) -> DataFrame:
