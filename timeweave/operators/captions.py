@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.operators.folds import fold
+from timeweave.operators.grouped import fold
 from timeweave.operators.intervals import overlap_join
 from timeweave.operators.library import words_in_range
+from timeweave.operators.pieces import running_last, with_pieces
+from timeweave.sources.scratch import materialize
 
 # What a cue lasts about, how far an edit's anchor may be off or how much of both must be shared, the
 # shortest edited cue and the shortest one kept.
@@ -41,14 +43,22 @@ def split_cues(text: str, start: float, end: float, chars: int, lines: int) -> l
     letters = sum(map(len, words))
     wanted = max(math.floor((end - start) / CUE_MS + 0.5), math.ceil(letters / (chars * lines)), 1)
     most = min(chars * lines, math.ceil(letters / wanted)) if wanted > 1 else chars * lines
-    cues: list[list[str]] = [[]]
+    # a cue's lines grow with its words: each word is laid once, however long its cue is
+    cues: list[list[str]] = []
     for w in words:
-        grown = cues[-1] + [w]
-        if cues[-1] and (len(" ".join(grown)) > most or pack_lines(grown, chars, lines) is None):
-            cues.append([w])
-        else:
-            cues[-1].append(w)
-    told = ["\n".join(pack_lines(c, chars, lines) or [" ".join(c)]) for c in cues]
+        if cues:
+            made = cues[-1]
+            joins = len(made[-1]) + 1 + len(w) <= chars
+            if used + 1 + len(w) <= most and (joins or len(made) < lines):
+                used += 1 + len(w)
+                if joins:
+                    made[-1] += " " + w
+                else:
+                    made.append(w)
+                continue
+        cues.append([w])
+        used = len(w)
+    told = ["\n".join(c) for c in cues]
     told[0] = told[0][:1].upper() + told[0][1:]
     whole, at, out = sum(map(len, told)), start, []
     for i, t in enumerate(told):
@@ -89,13 +99,14 @@ def apply_cue_edits(cues: DataFrame, edits: DataFrame) -> DataFrame:
     """(script_id, cue, start_ms, end_ms, text, edited, hidden): cues with each hand edit on the one it names best.
 
     edits(script_id, edit, video_id, src_start_ms, src_end_ms, new_text, new_start_ms, new_end_ms, hidden), new times on
-    the source's clock, null where unchanged; in order of ``edit`` each takes the best cue still free. Of two visible
-    cues that overlap then, the one edited by hand keeps its time. A script's cues that have edits meet in one task.
+    the source's clock, null where unchanged; in order of ``edit``, one of a script each, every edit takes the best cue
+    still free. Of two visible cues that overlap then, the one edited by hand keeps its time. Only edits whose cues'
+    places in the source meet are walked together. Both tables are read more than once.
     """
     a, b = F.col("src_start_ms"), F.col("src_end_ms")
     e = edits.select("script_id", "video_id", "edit", *[F.col(c).alias("e_" + c) for c in ("src_start_ms", "src_end_ms", "new_text", "new_start_ms", "new_end_ms", "hidden")])
     spread = lambda df, s, t: df.withColumn("_lo", F.floor(s).cast("long") - ANCHOR_MS - 1).withColumn("_hi", F.ceil(t).cast("long") + ANCHOR_MS + 1)
-    left = spread(cues.withColumn("_key", F.struct("script_id", "video_id")), a, b)
+    left = spread(cues.select("script_id", "video_id", "cue", "src_start_ms", "src_end_ms").withColumn("_key", F.struct("script_id", "video_id")), a, b)
     right = spread(e.withColumn("_key", F.struct("script_id", "video_id")).drop("script_id", "video_id"), F.col("e_src_start_ms"), F.col("e_src_end_ms"))
     met = overlap_join(left, right, "_key", a_cols=("_lo", "_hi"), b_cols=("_lo", "_hi"))
     ea, eb = F.col("b_e_src_start_ms"), F.col("b_e_src_end_ms")
@@ -103,46 +114,39 @@ def apply_cue_edits(cues: DataFrame, edits: DataFrame) -> DataFrame:
     close = (F.abs(a - ea) <= ANCHOR_MS) & (F.abs(b - eb) <= ANCHOR_MS)
     share = F.greatest(F.least(b, eb) - F.greatest(a, ea), F.lit(0.0)) / (F.greatest(b, eb) - F.least(a, ea))
     score = F.when(close, off / 1e3).when(share >= ANCHOR_SHARE, 2 - share)
-    names = ("edit", "score", "new_text", "new_start_ms", "new_end_ms", "hidden")
-    scored = met.withColumn("_s", score).where("_s IS NOT NULL").select("script_id", "cue", F.struct(F.col("b_edit").alias("edit"), F.col("_s").alias("score"), *[F.col("b_e_" + n).alias(n) for n in names[2:]]).alias("m"))
-    per = scored.groupBy("script_id", "cue").agg(F.collect_list("m").alias("matches"))
-    touched = edits.select("script_id").distinct()
-    rows = cues.join(touched, "script_id", "left_semi").join(per, ["script_id", "cue"], "left").select("script_id", "cue", "start_ms", "end_ms", "text", "offset_ms", "min_ms", "max_ms", "matches")
-    told = "cue long, start_ms double, end_ms double, text string, edited boolean, hidden boolean"
-    done = fold(rows, ["script_id"], ["cue"], told, _edited)
-    rest = cues.join(touched, "script_id", "left_anti").select("script_id", "cue", F.col("start_ms").cast("double"), F.col("end_ms").cast("double"), "text", F.lit(False).alias("edited"), F.lit(False).alias("hidden"))
-    return done.unionByName(rest)
-
-
-def _edited(rows: list) -> list[tuple]:
-    pairs = sorted(((m["edit"], m["score"], r.cue, m) for r in rows for m in (r.matches if r.matches is not None else [])), key=lambda p: p[:3])
-    by_edit: dict = {}
-    for edit, score, cue, m in pairs:
-        by_edit.setdefault(edit, []).append((score, cue, m))
-    chosen: dict[int, dict] = {}
-    for edit in sorted(by_edit):
-        free = next(((cue, m) for _, cue, m in by_edit[edit] if cue not in chosen), None)
-        if free:
-            chosen[free[0]] = free[1]
-    out = []
+    given = [F.col("b_e_" + n).alias(n) for n in ("new_text", "new_start_ms", "new_end_ms", "hidden")]
+    scored = met.select("script_id", "video_id", "cue", F.col("b_edit").alias("edit"), score.alias("score"), *given, F.least(a, ea).cast("double").alias("lo"), F.greatest(b, eb).cast("double").alias("hi"))
+    scored = materialize(scored.where("score IS NOT NULL"), "matches")
+    # matches of one cue or one edit both hold its place, so what lies beyond all places so far is free of them
+    keys, order = ["script_id", "video_id"], ["lo", "edit", "cue"]
+    rows = running_last(with_pieces(scored, keys, "lo"), keys, [F.col(o) for o in order], {"_far": F.col("hi")}, before=True, farthest=True)
+    begun = F.when(F.col("_far").isNull() | (F.col("lo") > F.col("_far")), F.struct(*order))
+    rows = running_last(rows, keys, [F.col(o) for o in order], {"_stretch": begun}).drop("_far", "_piece", "lo", "hi")
+    taken = fold(rows, [*keys, "_stretch"], ["edit", "score", "cue"], "cue long, told string, retold boolean, from_ms double, to_ms double, hid boolean", _taken)
+    touched = edits.select("script_id").distinct().withColumn("_touched", F.lit(True))
+    x = cues.select("script_id", "cue", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), "text", "offset_ms", "min_ms", "max_ms")
+    x = x.join(taken.drop("_stretch", "video_id"), ["script_id", "cue"], "left").join(touched, "script_id", "left")
+    hold = lambda t: F.least(F.greatest(F.col(t) + F.col("offset_ms"), F.col("min_ms")), F.col("max_ms")).cast("double")
+    x = x.withColumn("start_ms", F.coalesce(F.when(F.col("from_ms").isNotNull(), hold("from_ms")), "start_ms")).withColumn("end_ms", F.coalesce(F.when(F.col("to_ms").isNotNull(), hold("to_ms")), "end_ms"))
+    x = x.withColumn("end_ms", F.when(F.col("hid").isNotNull() & (F.col("end_ms") < F.col("start_ms") + SHORTEST_MS), F.col("start_ms") + SHORTEST_MS).otherwise(F.col("end_ms")))
+    changed = F.coalesce(F.col("retold") | F.col("from_ms").isNotNull() | F.col("to_ms").isNotNull(), F.lit(False))
+    x = x.select("script_id", "cue", "start_ms", "end_ms", F.coalesce("told", "text").alias("text"), changed.alias("edited"), F.coalesce("hid", F.lit(False)).alias("hidden"), F.coalesce("_touched", F.lit(False)).alias("_touched"))
+    # a cue's end meets the next one's start only, and either is changed by this pair alone
+    w = Window.partitionBy("script_id", "hidden").orderBy("start_ms", "cue")
+    before, after = F.lag(F.struct("end_ms", "edited")).over(w), F.lead(F.struct("start_ms", "edited")).over(w)
+    seen = F.col("_touched") & ~F.col("hidden")
+    pushed = seen & (before["end_ms"] > F.col("start_ms")) & before["edited"] & ~F.col("edited")
+    cut = seen & (F.col("end_ms") > after["start_ms"]) & ~(F.col("edited") & ~after["edited"])
+    x = x.select("script_id", "cue", F.when(pushed, before["end_ms"]).otherwise(F.col("start_ms")).alias("start_ms"), F.when(cut, after["start_ms"]).otherwise(F.col("end_ms")).alias("end_ms"), "text", "edited", "hidden", "_touched")
+    return x.where(~F.col("_touched") | (F.col("end_ms") > F.col("start_ms") + KEPT_MS)).drop("_touched")
+
+
+def _taken(rows: list) -> Iterator[tuple]:
+    """Each cue that an edit takes; rows come by edit, score and cue."""
+    given = lambda x: x if x is not None and x == x else None  # noqa: E731  neither null nor not-a-number
+    done, cues = set(), set()
     for r in rows:
-        m, start, end, text = chosen.get(r.cue), r.start_ms, r.end_ms, r.text
-        given = lambda x: x is not None and x == x  # noqa: E731  neither null nor not-a-number
-        hold = lambda t: min(max(t + r.offset_ms, r.min_ms), r.max_ms)  # noqa: B023, E731
-        if m is not None:
-            text = m["new_text"].strip() if m["new_text"] and m["new_text"].strip() else text
-            start = hold(m["new_start_ms"]) if given(m["new_start_ms"]) else start
-            end = hold(m["new_end_ms"]) if given(m["new_end_ms"]) else end
-            if end < start + SHORTEST_MS:
-                end = min(start + SHORTEST_MS, max(r.max_ms, start + SHORTEST_MS))
-        changed = m is not None and (m["new_text"] is not None or given(m["new_start_ms"]) or given(m["new_end_ms"]))
-        out.append([r.cue, float(start), float(end), text, changed, bool(m is not None and m["hidden"])])
-    out.sort(key=lambda c: c[1])
-    seen = [c for c in out if not c[5]]
-    for one, two in zip(seen, seen[1:], strict=False):
-        if one[2] > two[1]:
-            if one[4] and not two[4]:
-                two[1] = one[2]
-            else:
-                one[2] = two[1]
-    return [tuple(c) for c in out if c[2] > c[1] + KEPT_MS]
+        if r.edit not in done and r.cue not in cues:
+            done.add(r.edit)
+            cues.add(r.cue)
+            yield r.cue, (r.new_text or "").strip() or None, r.new_text is not None, given(r.new_start_ms), given(r.new_end_ms), bool(r.hidden)

@@ -12,6 +12,7 @@ from timeweave.operators import story as sy
 from timeweave.operators import topics as tp
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
+from timeweave.sources.scratch import materialize
 
 QUERIES, ORACLES, query = registrar()
 
@@ -189,7 +190,7 @@ def w32_caption_cues(spark, d):
 
 @query("")
 def w33_cue_edits(spark, d):
-    cues = cp.caption_cues(*_sounding(spark, d))
+    cues = materialize(cp.caption_cues(*_sounding(spark, d)), "cues")
     some = cues.where("cue % 5 = 0")
     edits = some.select("script_id", F.col("cue").alias("edit"), "video_id", (F.col("src_start_ms") + 30).alias("src_start_ms"), (F.col("src_end_ms") - 30).alias("src_end_ms"), F.when(F.col("cue") % 2 == 0, "by hand").alias("new_text"),
                         F.col("src_start_ms").alias("new_start_ms"), F.when(F.col("cue") % 3 == 0, F.col("src_end_ms") + 400).alias("new_end_ms"), (F.col("cue") % 35 == 0).alias("hidden"))
