@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ PAUSE_BREAK, LONGEST, PUNCTUATION_NEAR, SHORTEST, ALONE_PAUSE, SNAP_EDGE = 650,
 SPEECH_EDGE, SAME_MOMENT = 20.0, 1e-3
 WORD_SIDE, MAX_WORD, MIN_GAP, MAX_UNTRANSCRIBED, TAIL_WORDS = 100, 700, 80, 2_000, 2
 TIMES = "array<struct<start_ms:double,end_ms:double>>"
+#: Texts that are aligned together.
+ALIGNED_ROWS = 256
 
 
 def _plain(w: str) -> str:
@@ -77,17 +80,30 @@ def align(words: list[str], timed: list, start: float, end: float) -> list[tuple
 
 def align_words(words: Column, timed: Column, start: Column, end: Column) -> Column:
     """A time for each word of ``words`` from ``timed``, array<struct<text, start_ms, end_ms>>, in Arrow batches."""
-    return F.pandas_udf(_aligned, TIMES)(words, timed, start, end)
-
-
-def _aligned(words: pd.Series, timed: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    def one(w, t, s, e):
-        if w is None:
-            return None
-        got = [(x["text"] or "", float(x["start_ms"]), float(x["end_ms"])) for x in (t if t is not None else [])]
-        return [{"start_ms": a, "end_ms": b} for a, b in align(list(w), got, float(s), float(e))]
-
-    return pd.Series([one(*row) for row in zip(words, timed, start, end, strict=True)])
+    return F.arrow_udf(_aligned, TIMES)(words, timed, start.cast("double"), end.cast("double"))
+
+
+def _aligned(words: pa.Array, timed: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+    # some rows at a time become Python values: a batch has rows by their number, however long their texts are
+    times, sizes, begins, ends = [], [], start.to_pylist(), end.to_pylist()
+    for at in range(0, len(words), ALIGNED_ROWS):
+        said, heard = words.slice(at, ALIGNED_ROWS).to_pylist(), timed.slice(at, ALIGNED_ROWS)
+        flat = heard.flatten()
+        told = [pc.struct_field(flat, n).to_pylist() for n in ("text", "start_ms", "end_ms")]
+        stops = np.cumsum(pc.fill_null(pc.list_value_length(heard), 0)).tolist()
+        made: list[tuple[float, float]] = []
+        for i, (w, lo, hi) in enumerate(zip(said, [0, *stops], stops)):
+            if w is None:
+                sizes.append(None)
+                continue
+            got = [(t or "", float(x), float(y)) for t, x, y in zip(*[c[lo:hi] for c in told], strict=True)]
+            made += align(w, got, begins[at + i], ends[at + i]) if w else []
+            sizes.append(len(w))
+        times.append(np.array(made, np.float64).reshape(-1, 2))
+    both = np.concatenate(times) if times else np.zeros((0, 2))
+    upto = np.cumsum([0, *[n or 0 for n in sizes]])
+    offsets = pa.array(upto, pa.int32(), mask=np.array([*[n is None for n in sizes], False]))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["start_ms", "end_ms"]))
 
 
 def words_of(c: Column) -> Column:
