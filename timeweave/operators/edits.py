@@ -156,6 +156,7 @@ def snap_edges(clips: DataFrame, sentences: DataFrame, reach: int = 750) -> Data
     """
     from timeweave.operators.intervals import nearest
 
+    clips = clips.select(*KEY, "video_id", "in_ms", "out_ms", *[c for c in ("owned_in", "owned_out") if c in clips.columns])
     a = nearest(clips, sentences.select("video_id", F.col("start_ms").alias("_s")), "video_id", "in_ms", "_s", [], reach)
     b = nearest(a, sentences.select("video_id", F.col("end_ms").alias("_e")), "video_id", "out_ms", "_e", [], reach)
     free = lambda c: ~F.coalesce(c, F.lit(False)) if c in clips.columns else F.lit(True)
