@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from timeweave.operators.folds import fold
 from timeweave.operators.intervals import nearest
 from timeweave.operators.vectors import cosine
+from timeweave.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ def topic_boundaries(sentences: DataFrame, windows: DataFrame, p: Topics = Topic
     too few windows are cut about every ``fallback`` at the longest pause near. A video's sentences and dips, some
     thousands of rows, meet in one task.
     """
-    found = dips(similarity_curve(windows, p))
+    found = materialize(dips(similarity_curve(windows, p)), "dips")  # read several times
     stats = found.groupBy("video_id").agg(F.avg("depth").alias("_m"), F.stddev_pop("depth").alias("_d"))
     found = found.join(stats, "video_id").withColumn("deep", F.col("depth") >= F.greatest(F.col("_m") + p.spread * F.coalesce("_d", F.lit(0.0)), F.lit(p.least_depth)))
     order = Window.partitionBy("video_id").orderBy("start_ms", "segment_id")
