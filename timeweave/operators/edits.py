@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import fmt_srt
-from timeweave.operators.intervals import asof, overlap_join, points_in, self_overlaps
+from timeweave.operators.intervals import asof, overlap_join, self_overlaps
 
 KEY = ("script_id", "clip_index")
 
@@ -40,11 +40,18 @@ def issues(df: DataFrame, rule: str, severity: Column | str, message: Column | s
 
 def check_mid_sentence(clips: DataFrame, sentences: DataFrame, slack: int = 300, overrun: int = 600) -> DataFrame:
     """Clips whose in or out lies inside a sentence by more than the slack (for the out, by the overrun at its end)."""
-    s = sentences.select("video_id", "start_ms", "end_ms")
-    inside_in = points_in(clips.withColumn("_at", F.col("in_ms")), s, "video_id", "_at").where((F.col("_at") - F.col("b_start_ms") > slack) & (F.col("b_end_ms") - F.col("_at") > slack))
-    inside_out = points_in(clips.withColumn("_at", F.col("out_ms")), s, "video_id", "_at").where((F.col("_at") - F.col("b_start_ms") > slack) & (F.col("b_end_ms") - F.col("_at") > overrun))
-    both = issues(inside_in, "mid_sentence", "warning", "starts inside a sentence").unionByName(issues(inside_out, "mid_sentence", "warning", "ends inside a sentence"))
-    return both.distinct()
+    c = clips.select(*KEY, "video_id", "in_ms", "out_ms", F.least("in_ms", "out_ms").alias("_lo"), (F.greatest("in_ms", "out_ms") + 1).alias("_hi"))
+    # a sentence around either edge overlaps what lies between them, so both edges meet it in one join
+    met = overlap_join(c, sentences.select("video_id", "start_ms", "end_ms"), "video_id", a_cols=("_lo", "_hi"))
+
+    def inside(at: str, over: int) -> Column:
+        before, after = F.col(at) - F.col("b_start_ms"), F.col("b_end_ms") - F.col(at)
+        return F.coalesce((before >= 0) & (after > 0) & (before > slack) & (after > over), F.lit(False))
+
+    found = met.select(*KEY, inside("in_ms", slack).alias("_in"), inside("out_ms", overrun).alias("_out")).where("_in OR _out")
+    told = F.array_compact(F.array(F.when(F.col("_in"), "starts inside a sentence"), F.when(F.col("_out"), "ends inside a sentence")))
+    per = found.groupBy(*KEY).agg(F.max("_in").alias("_in"), F.max("_out").alias("_out")).withColumn("_told", F.explode(told))
+    return issues(per, "mid_sentence", "warning", F.col("_told"))
 
 
 def check_length(clips: DataFrame, least: int, most: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from timeweave.operators import edits as ed
 from timeweave.plans.base import registrar
 from timeweave.sources.fixtures import fixture
+from timeweave.sources.scratch import materialize
 
 QUERIES, ORACLES, query = registrar()
 
@@ -71,12 +72,13 @@ cut AS (SELECT script_id, count(*) AS cuts FROM mid GROUP BY 1), met AS (SELECT
 
 
 def _metrics(spark, d):
-    c, i = _clips(spark, d).withColumn("beat_id", F.concat(F.lit("b"), (F.col("clip_index") % 3).cast("string"))), F.col("script_id")
+    clips = materialize(_clips(spark, d), "clips")  # read seven times: numbered once
+    c, i = clips.withColumn("beat_id", F.concat(F.lit("b"), (F.col("clip_index") % 3).cast("string"))), F.col("script_id")
     targets = c.select("script_id").distinct().withColumn("target_ms", F.lit(60_000))
     purpose = F.when(i % 4 == 0, F.col("beat_id")).when(i % 4 == 1, "same").otherwise(F.concat(F.lit("tell "), "beat_id"))
     beats = c.select("script_id", "beat_id").distinct().select("*", purpose.alias("purpose"), F.when((i % 6 == 0) & (F.col("beat_id") == "b1"), "read").alias("narration"), F.when(i % 5 == 0, 4000).alias("bed_ms"))
     drafts = c.groupBy("script_id").agg((F.count(F.lit(1)) + F.when(i % 7 == 0, 2).otherwise(0)).alias("clips"))
-    return ed.edit_metrics(c, q1_mid_sentence(spark, d), _segments(spark, d), targets, beats, drafts)
+    return ed.edit_metrics(c, ed.check_mid_sentence(clips, _segments(spark, d)), _segments(spark, d), targets, beats, drafts)
 
 
 @query(f"WITH {METRICS} SELECT * FROM met", "clips", "segments")
