@@ -42,20 +42,26 @@ def _levels(df: DataFrame, start: str, end: str, bucket: int) -> list[int]:
     return sorted(r[0] for r in held.select(_level(_length(start, end), bucket)).distinct().collect())
 
 
-def _in_cells(df: DataFrame, start: Column, last: Column, bucket: int, wanted: Sequence[tuple[int, int, Column]]) -> DataFrame:
-    """``df`` with a row for each cell it has by ``wanted``, (role, level, whether): ``_role``, ``_level``, ``_first``, ``_cell``."""
+def _in_cells(df: DataFrame, start: Column, last: Column, bucket: int, wanted: Sequence[tuple[int, int, Column]], keep: bool = False) -> DataFrame:
+    """``df`` with a row for each cell it has by ``wanted``, (role, level, whether): ``_role``, ``_level``, ``_first``, ``_cell``.
+
+    With ``keep`` a row without cells stays as one, and ``_home`` tells the first row made of each."""
     asked = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(k).alias("level"), F.lit(float(bucket * STEP**k)).alias("size"), ok.alias("ok")) for r, k, ok in wanted])
     each = lambda c: F.transform(
         F.sequence(F.floor(start / c["size"]), F.floor(last / c["size"])),
         lambda n: F.struct(c["role"].alias("_role"), c["level"].alias("_level"), F.floor(start / c["size"]).alias("_first"), n.alias("_cell")),
     )
     cells = F.flatten(F.transform(F.filter(asked, lambda c: F.coalesce(c["ok"], F.lit(False))), each))
+    if keep:
+        return df.select("*", F.posexplode_outer(cells).alias("_home", "_dyadic")).select(*df.columns, (F.coalesce("_home", F.lit(0)) == 0).alias("_home"), "_dyadic.*")
     return df.withColumn("_dyadic", F.explode(cells)).select("*", "_dyadic.*").drop("_dyadic")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: int = BUCKET_MS, a_cols=("start_ms", "end_ms"), b_cols=("start_ms", "end_ms"), prefix: str = "b_") -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: int = BUCKET_MS, a_cols=("start_ms", "end_ms"), b_cols=("start_ms", "end_ms"), prefix: str = "b_", keep: bool = False) -> DataFrame:
     """Pairs of one key with a positive overlap, and ``overlap_ms``; b's columns but the key get ``prefix``.
 
+    With ``keep`` a has at most one row more each, with nulls for b and ``overlap_ms``, and at least one: for sums over all of a.
+
     In role 1 the interval of a is the longer one or of equal level, in role 2 that of b is; ``bucket`` is the length of the
     lowest level's cells.
     """
@@ -67,10 +73,17 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: int = BUCKET_MS,
     in_a = [(1, k, own_a == k) for k in of_a if of_b and k >= of_b[0]] + [(2, k, own_a < k) for k in of_b if of_a and k > of_a[0]]
     in_b = [(1, k, own_b <= k) for k in of_a] + [(2, k, own_b == k) for k in of_b if of_a and k > of_a[0]]
     never = [(0, 0, F.lit(False))]
-    x = _in_cells(a, F.col(a_cols[0]), last(*a_cols), bucket, in_a or never).withColumnRenamed("_first", "_first_a")
+    x = _in_cells(a, F.col(a_cols[0]), last(*a_cols), bucket, in_a or never, keep).withColumnRenamed("_first", "_first_a")
     y = _in_cells(right, F.col(bs), last(bs, be), bucket, in_b or never).withColumnRenamed("_first", "_first_b")
-    met = x.join(y, [key, "_role", "_level", "_cell"]).where(F.col("_cell") == F.greatest("_first_a", "_first_b"))
     overlap = F.least(F.col(a_cols[1]), F.col(be)) - F.greatest(F.col(a_cols[0]), F.col(bs))
+    if keep:
+        y = y.withColumnsRenamed({c: f"_of_{c}" for c in (key, "_role", "_level", "_cell")})
+        on = (F.col("_cell") == F.greatest("_first_a", "_first_b")) & (overlap > 0)
+        for c in (key, "_role", "_level", "_cell"):
+            on = on & (x[c] == y[f"_of_{c}"])
+        met = x.join(y, on, "left").where(F.col("_home") | F.col("_of_" + key).isNotNull())
+        return met.select(*a.columns, *[c for c in right.columns if c != key], F.when(F.col("_of_" + key).isNotNull(), overlap).alias("overlap_ms"))
+    met = x.join(y, [key, "_role", "_level", "_cell"]).where(F.col("_cell") == F.greatest("_first_a", "_first_b"))
     return met.withColumn("overlap_ms", overlap).where("overlap_ms > 0").drop("_role", "_level", "_cell", "_first_a", "_first_b")
 
 
@@ -83,10 +96,19 @@ def self_overlaps(df: DataFrame, keys: Sequence[str], ident: str, min_ms: int, c
 
 def majority_label(a: DataFrame, b: DataFrame, key: str, ident: Sequence[str], label: str, **how) -> DataFrame:
     """For each interval of a the label of b that covers most of it, ties to the smaller label; null without any."""
-    got = overlap_join(a, b.select(key, label, "start_ms", "end_ms").where(F.col(label).isNotNull()), key, **how)
-    per = got.groupBy(*ident, F.col("b_" + label).alias(label)).agg(F.sum("overlap_ms").alias("_ms"))
-    best = per.groupBy(*ident).agg(F.max_by(label, F.struct("_ms", -F.col(label))).alias(label), F.max("_ms").alias("covered_ms"))
-    return a.select(*ident).join(best, list(ident), "left")
+    edges = how.get("a_cols", ("start_ms", "end_ms"))
+    got = overlap_join(a.select(*dict.fromkeys([*ident, key, *edges])), b.select(key, label, "start_ms", "end_ms").where(F.col(label).isNotNull()), key, keep=True, **how)
+    per = got.select(*ident, F.col("b_" + label).alias(label), "overlap_ms").repartition(*ident).groupBy(*ident, label).agg(F.sum("overlap_ms").alias("_ms"))
+    best = per.groupBy(*ident).agg(F.max_by(label, F.when(F.col(label).isNotNull(), F.struct("_ms", -F.col(label)))).alias(label), F.max("_ms").alias("covered_ms"))
+    return best.select(*ident, *[F.when(_named(ident), F.col(c)).alias(c) for c in (label, "covered_ms")])
+
+
+def _named(ident: Sequence[str]) -> Column:
+    """Whether no part of a row's name is null: one that has none is covered by nothing."""
+    got = F.lit(True)
+    for c in ident:
+        got = got & F.col(c).isNotNull()
+    return got
 
 
 def points_in(points: DataFrame, spans: DataFrame, key: str, at: str, bucket: int = BUCKET_MS, prefix: str = "b_", cols=("start_ms", "end_ms")) -> DataFrame:
@@ -181,6 +203,7 @@ def split_intervals(df: DataFrame, min_ms: int, target_ms: int) -> DataFrame:
 
 def coverage_share(ranges: DataFrame, spans: DataFrame, key: str, ident: Sequence[str], cols=("start_ms", "end_ms")) -> DataFrame:
     """Share of each range that spans cover, overlaps summed, at most 1; 0 where nothing covers it."""
-    got = overlap_join(ranges, spans, key, a_cols=cols).groupBy(*ident).agg(F.sum("overlap_ms").alias("_ms"))
-    share = F.least(F.lit(1.0), F.coalesce("_ms", F.lit(0)) / (F.col(cols[1]) - F.col(cols[0])))
-    return ranges.join(got, list(ident), "left").select(*ident, share.alias("share"))
+    met = overlap_join(ranges.select(*dict.fromkeys([*ident, key, *cols])), spans.select(key, "start_ms", "end_ms"), key, a_cols=cols, keep=True)
+    got = met.groupBy(*ident, (F.col(cols[1]) - F.col(cols[0])).alias("_length")).agg(F.sum("overlap_ms").alias("_ms"))
+    share = F.least(F.lit(1.0), F.when(_named(ident), F.coalesce("_ms", F.lit(0))).otherwise(0) / F.col("_length"))
+    return got.select(*ident, share.alias("share"))
