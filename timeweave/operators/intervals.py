@@ -21,6 +21,9 @@ BUCKET_MS = 30_000
 
 STEP = 8
 LEVELS = 16
+#: For sums over overlaps: cells that an interval of the second table has at each level of the first, on average and at most,
+#: and intervals that are held together in a cell. Beyond them the tables meet by :func:`overlap_join`.
+MEAN_CELLS, MOST_CELLS, CELL_ROWS = 8, 4096, 4096
 
 
 def _length(start: str, end: str) -> Column:
@@ -75,7 +78,8 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, bucket: int = BUCKET_MS,
     never = [(0, 0, F.lit(False))]
     x = _in_cells(a, F.col(a_cols[0]), last(*a_cols), bucket, in_a or never, keep).withColumnRenamed("_first", "_first_a")
     y = _in_cells(right, F.col(bs), last(bs, be), bucket, in_b or never).withColumnRenamed("_first", "_first_b")
-    overlap = F.least(F.col(a_cols[1]), F.col(be)) - F.greatest(F.col(a_cols[0]), F.col(bs))
+    # least() passes over nulls: an interval without an end overlaps nothing
+    overlap = F.when(F.col(a_cols[1]).isNotNull() & F.col(be).isNotNull(), F.least(F.col(a_cols[1]), F.col(be)) - F.greatest(F.col(a_cols[0]), F.col(bs)))
     if keep:
         y = y.withColumnsRenamed({c: f"_of_{c}" for c in (key, "_role", "_level", "_cell")})
         on = (F.col("_cell") == F.greatest("_first_a", "_first_b")) & (overlap > 0)
@@ -94,10 +98,60 @@ def self_overlaps(df: DataFrame, keys: Sequence[str], ident: str, min_ms: int, c
     return got.where((F.col(ident) < F.col("b_" + ident)) & (F.col("overlap_ms") > min_ms)).drop("_key")
 
 
+def with_cell(a: DataFrame, b: DataFrame, key: str, a_cols: Sequence[str], b_cols: Sequence[str], values: Sequence[str] = (), bucket: int = BUCKET_MS) -> DataFrame | None:
+    """``a``, a row each, and ``_near``: structs of ``values``, ``_s`` and ``_e`` of all intervals of b that it may overlap, sorted.
+
+    A row of a lies in one cell, that of its start at its own level; b's intervals lie in the cells they touch there and the
+    one before. So a is shuffled once, with no row twice, and a sum over a row's overlaps needs no shuffle after that. None
+    where that would not be bounded: b's intervals are far longer than a's, many lie in one cell, or times are no integers.
+    """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    of_a = _levels(a, *a_cols, bucket)
+    if not of_a or of_a[-1] == LEVELS - 1 or any(dict(x.dtypes)[c] not in whole for x, cols in ((a, a_cols), (b, b_cols)) for c in cols):
+        return None
+    s, e = (F.col(c).cast("long") for c in b_cols)
+    held = b.where(F.col(key).isNotNull() & s.isNotNull() & e.isNotNull()).select(F.col(key), F.struct(*values, s.alias("_s"), e.alias("_e")).alias("_near"))
+    s, e = F.col("_near._s"), F.col("_near._e")
+    sizes = {k: bucket * STEP**k for k in of_a}
+    lowest = {k: F.floor((s - size) / float(size)) for k, size in sizes.items()}
+    highest = {k: F.floor((F.greatest(e, s + 1) - 1) / float(size)) for k, size in sizes.items()}
+    each = sum((highest[k] - lowest[k] + 1).cast("double") for k in of_a)
+    rows, cells, most = held.agg(F.count(F.lit(1)), F.sum(each), F.max(each)).first()
+    if not rows or cells > MEAN_CELLS * len(of_a) * rows or most > MOST_CELLS * len(of_a):
+        return None
+    at = lambda k: lambda n: F.struct(F.lit(k).alias("_level"), n.alias("_cell"))
+    spread = F.flatten(F.array(*[F.transform(F.sequence(lowest[k], highest[k]), at(k)) for k in of_a]))
+    place = [key, "_level", "_cell"]
+    laid = held.select(key, "_near", F.explode(spread).alias("_at")).select(key, "_at._level", "_at._cell", "_near")
+    if laid.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] > CELL_ROWS:
+        return None
+    level = _level(_length(*a_cols), bucket)
+    cell = F.coalesce(*[F.when(F.col("_level") == k, F.floor(F.col(a_cols[0]) / float(size))) for k, size in sizes.items()])
+    near = laid.groupBy(*place).agg(F.sort_array(F.collect_list("_near")).alias("_near"))
+    return a.withColumn("_level", level).withColumn("_cell", F.when(F.col(a_cols[1]).isNotNull(), cell)).join(near, place, "left").select(*a.columns, "_near")
+
+
+def _shared_ms(cols: Sequence[str], x: Column) -> Column:
+    """Length of the overlap of a row's interval with one of its ``_near``, 0 without any."""
+    return F.greatest(F.least(F.col(cols[1]), x["_e"]) - F.greatest(F.col(cols[0]), x["_s"]), F.lit(0)).cast("long")
+
+
 def majority_label(a: DataFrame, b: DataFrame, key: str, ident: Sequence[str], label: str, **how) -> DataFrame:
-    """For each interval of a the label of b that covers most of it, ties to the smaller label; null without any."""
+    """For each interval of a, named by ``ident``, the label of b that covers most of it, ties to the smaller label; null without any."""
     edges = how.get("a_cols", ("start_ms", "end_ms"))
-    got = overlap_join(a.select(*dict.fromkeys([*ident, key, *edges])), b.select(key, label, "start_ms", "end_ms").where(F.col(label).isNotNull()), key, keep=True, **how)
+    ranges, said = a.select(*dict.fromkeys([*ident, key, *edges])), b.select(key, label, "start_ms", "end_ms").where(F.col(label).isNotNull())
+    near = with_cell(ranges, said, key, edges, ("start_ms", "end_ms"), [label], how.get("bucket", BUCKET_MS))
+    if near is not None:
+        none, zero = F.lit(None).cast(said.schema[label].dataType), F.lit(0).cast("long")
+
+        def add(got: Column, x: Column) -> Column:
+            # labels come in order: the last one's sum so far, and the first label of the largest sum
+            ms = F.when(got["last"] == x[label], got["ms"]).otherwise(zero) + _shared_ms(edges, x)
+            return F.struct(x[label].alias("last"), ms.alias("ms"), F.when(ms > got["most"], x[label]).otherwise(got["best"]).alias("best"), F.greatest(ms, got["most"]).alias("most"))
+
+        fold = F.aggregate("_near", F.struct(none.alias("last"), zero.alias("ms"), none.alias("best"), zero.alias("most")), add)
+        return near.select(*ident, F.when(_named(ident), fold).alias("_got")).select(*ident, F.col("_got.best").alias(label), F.when(F.col("_got.most") > 0, F.col("_got.most")).alias("covered_ms"))
+    got = overlap_join(ranges, said, key, keep=True, **how)
     per = got.select(*ident, F.col("b_" + label).alias(label), "overlap_ms").repartition(*ident).groupBy(*ident, label).agg(F.sum("overlap_ms").alias("_ms"))
     best = per.groupBy(*ident).agg(F.max_by(label, F.when(F.col(label).isNotNull(), F.struct("_ms", -F.col(label)))).alias(label), F.max("_ms").alias("covered_ms"))
     return best.select(*ident, *[F.when(_named(ident), F.col(c)).alias(c) for c in (label, "covered_ms")])
@@ -202,8 +256,12 @@ def split_intervals(df: DataFrame, min_ms: int, target_ms: int) -> DataFrame:
 
 
 def coverage_share(ranges: DataFrame, spans: DataFrame, key: str, ident: Sequence[str], cols=("start_ms", "end_ms")) -> DataFrame:
-    """Share of each range that spans cover, overlaps summed, at most 1; 0 where nothing covers it."""
-    met = overlap_join(ranges.select(*dict.fromkeys([*ident, key, *cols])), spans.select(key, "start_ms", "end_ms"), key, a_cols=cols, keep=True)
-    got = met.groupBy(*ident, (F.col(cols[1]) - F.col(cols[0])).alias("_length")).agg(F.sum("overlap_ms").alias("_ms"))
+    """Share of each range, named by ``ident``, that spans cover, overlaps summed, at most 1; 0 where nothing covers it."""
+    one, two = ranges.select(*dict.fromkeys([*ident, key, *cols])), spans.select(key, "start_ms", "end_ms")
+    length, got = F.col(cols[1]) - F.col(cols[0]), with_cell(one, two, key, cols, ("start_ms", "end_ms"))
+    if got is not None:
+        got = got.select(*ident, length.alias("_length"), F.aggregate("_near", F.lit(0).cast("long"), lambda ms, x: ms + _shared_ms(cols, x)).alias("_ms"))
+    else:
+        got = overlap_join(one, two, key, a_cols=cols, keep=True).groupBy(*ident, length.alias("_length")).agg(F.sum("overlap_ms").alias("_ms"))
     share = F.least(F.lit(1.0), F.when(_named(ident), F.coalesce("_ms", F.lit(0))).otherwise(0) / F.col("_length"))
     return got.select(*ident, share.alias("share"))
