@@ -36,3 +36,21 @@ def test_scripts_of_one_last_line(spark):
     talk = spark.createDataFrame([], "video_id long, start_ms long, end_ms long")
     got = {r.script_id: (r.video_id, r.at_ms, r.shared) for r in story.closing_pictures(scripts, used, frames, scope, talk).collect()}
     assert got == {1: (1, 0, 2), 2: (2, 50, 2), 3: (3, 10, 0), 4: (3, 10, 0)}
+
+
+def test_lines_meet_some_blocks_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(shared_words, "ITEMS", 5)
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(12)]
+    lines = [("ab"[i % 2], i, rng.randrange(3), rng.sample(vocabulary, rng.randrange(6))) for i in range(40)]
+    items = [("ab"[i % 2], i, rng.randrange(3), rng.sample(vocabulary, rng.randrange(6))) for i in range(70)]
+    want = []
+    for key, line, own, words in lines:
+        near = sorted((-len(set(words) & set(w)), i) for c, i, o, w in items if c == key and o != own and set(words) & set(w))
+        want += [(key, line, i, -n) for n, i in near[:3]]
+    # a row for each line and block of the blocks of one time, and the best so far
+    sent, plain = [], shared_words._in_blocks
+    monkeypatch.setattr(shared_words, "_in_blocks", lambda *a: sent.append(len(a[-1])) or plain(*a))
+    got = shared_words.most_shared(spark.createDataFrame(lines, "key string, line long, own long, words array<string>"), spark.createDataFrame(items, "key string, item long, own long, words array<string>"), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sent == [4, 4, 4, 2]
